@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -14,6 +15,8 @@ BROADCAST_ROWS = 1_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 #: One word.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What str.split() would cut at besides BLANKS.
+ODD_BLANK = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -57,3 +60,8 @@ def text_of(name: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def words(text: str) -> list[str]:
+    """The matches of WORD."""
+    return re.findall(WORD, text) if ODD_BLANK.search(text) else text.split()

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, packing, quality
+from . import chat, exact, lines, mixing, near, packing, quality, toxicity, warc
 from .common import documents
 from .sql import ORACLES
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies", "source")
 
@@ -22,6 +31,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).drop("reason")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(documents(spark, sf_dir))
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_digests(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(documents(spark, sf_dir))
 
@@ -33,5 +50,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(table.unionByName(own))).drop("n_tokens", "n_loss_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_exact_dedup, op6_quality_rules, op9_packing, op10_chat)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_toxicity, op3_order_minhash, op4_mixing, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op8_warc_derivatives, op9_packing, op10_chat)
+}
 __all__ = ["ORACLES", "QUERIES"]
