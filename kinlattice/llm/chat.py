@@ -36,7 +36,7 @@ TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEPARATOR) + "(.*?)" +
 FORMATTED = "conv_id long, formatted string, input_ids array<int>, loss_mask array<boolean>, starts array<int>, ends array<int>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
 #: Characters of rendered text encoded at a time.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 
 def escape(text: str) -> str:
@@ -109,16 +109,35 @@ def load(path: str):
     return _TOKENIZERS[path]
 
 
+def encode(text: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, starts and ends of the tokens of a rendered conversation.
+
+    Each character is encoded once. A long conversation goes through the tokenizer in blocks of whole turns, since its
+    encodings take some hundred times the memory of their text; no token reaches over a turn's border, so the blocks' tokens are those of
+    the whole.
+    """
+    ids, starts, ends, at = [], [], [], 0
+    while at < len(text) or not ids:
+        cut = text.find(END, at + BATCH_CHARS)
+        upto = len(text) if cut < 0 else cut + len(END)
+        e = load(path).encode(text[at:upto], add_special_tokens=False)
+        offsets = np.asarray(e.offsets, np.int32).reshape(-1, 2) + np.int32(at)
+        ids.append(np.asarray(e.ids, np.int32))
+        starts.append(offsets[:, 0])
+        ends.append(offsets[:, 1])
+        at = upto
+    return np.concatenate(ids), np.concatenate(starts), np.concatenate(ends)
+
+
 def format_conversations(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """conv_id, formatted, input_ids, loss_mask, and the offsets of the tokens in code points."""
     path = tokenizer or default_tokenizer()
 
     def encoded(rows: list[tuple]) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], [], []]
-        for (conv, text, spans), e in zip(rows, load(path).encode_batch([r[1] for r in rows], add_special_tokens=False), strict=True):
-            offsets = np.asarray(e.offsets, np.int32).reshape(-1, 2)
-            marked = mask(spans, offsets[:, 0], offsets[:, 1])
-            for column, x in zip(out, (conv, text, e.ids, marked, offsets[:, 0], offsets[:, 1]), strict=True):
+        for conv, text, spans in rows:
+            ids, starts, ends = encode(text, path)
+            for column, x in zip(out, (conv, text, ids, mask(spans, starts, ends), starts, ends), strict=True):
                 column.append(x)
         ints = pa.list_(pa.int32())
         kinds = (pa.int64(), pa.string(), ints, pa.list_(pa.bool_()), ints, ints)
