@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, mixing, near, packing, quality, toxicity, warc
+from . import chat, exact, lines, mixing, near, packing, quality, suffix, toxicity, warc
 from .common import documents
 from .sql import ORACLES
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_digests(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score(docs, toxicity.train(docs, labels))
@@ -52,6 +56,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_toxicity, op3_order_minhash, op4_mixing, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op8_warc_derivatives, op9_packing, op10_chat)
+    for f in (op1_suffix_dedup, op2_toxicity, op3_order_minhash, op4_mixing, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op8_warc_derivatives, op9_packing, op10_chat)
 }
 __all__ = ["ORACLES", "QUERIES"]
