@@ -1,0 +1 @@
+"""Relational-graph analytics on Spark: tables as a typed, time-stamped graph, queried with DataFrames."""

@@ -1,0 +1 @@
+"""No streaming: the engine covers batch queries over stored graphs only."""
