@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import let
+from ..plans.shape import cut, ensure_checkpoint_dir
+
+__all__ = ["BLANKS", "BROADCAST_ROWS", "ODD_BLANK", "WORD", "cut", "documents", "ensure_checkpoint_dir", "let", "map_arrow", "shuffle_partitions", "small_side", "text_of", "words"]
+
 #: Rows of (long, long) that may be broadcast: 16 bytes each, so 16 MB at most before hashing.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a batch that goes to a Python worker at once.
+BATCH_BYTES = 8 << 20
 #: Characters that separate words, the complement of [^\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: One word.
@@ -19,38 +26,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 ODD_BLANK = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; make a local one only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinlattice-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that a lost executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if its counted rows are few enough; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_BYTES, unless the session names a size of its own.
+
+    Batches are cut by rows otherwise, and some thousand long texts would be in memory several times over.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "64MB", "67108864"):
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, inside an expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_of(name: str = "text") -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shuffle_partitions, text_of
+from .common import cut, map_arrow, shuffle_partitions, text_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -136,7 +136,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
         if held:
             yield pieces(held)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), run, PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, text_of
+from .common import BROADCAST_ROWS, cut, map_arrow, text_of
 
 LENGTH = 200
 FIRST = 32
@@ -226,9 +226,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """t1, t2, spans: per distinct text with any, the maximal repeated spans as start, stop, start, stop, ..."""
     keyed = _keyed(docs)
     texts = keyed.select("text", "t1", "t2", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"))
-    shared = cut(texts.select("text").mapInArrow(_ranks, "rank long").groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"))
+    shared = cut(map_arrow(texts.select("text"), _ranks, "rank long").groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"))
     side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    found = texts.mapInArrow(_stretches, "rank long, stretch long, t1 long, t2 long, id long, at long").join(side, "rank", "left_semi")
+    found = map_arrow(texts, _stretches, "rank long, stretch long, t1 long, t2 long, id long, at long").join(side, "rank", "left_semi")
     found = cut(found.groupBy("rank", "stretch", "t1", "t2", "at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")))
 
     one = found.groupBy("rank", "stretch").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "id", "at")).alias("x"))
@@ -242,19 +242,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     lists = unsettled.groupBy("t1", "t2", "id").agg(F.collect_list(F.struct("rank", "at", (F.col("n") > 1).alias("twice"), (F.col("different") > SPLIT).alias("split"))).alias("anchors"))
     size = unsettled.count()
     lists = F.broadcast(lists) if size <= BROADCAST_ROWS else lists
-    stretches = texts.join(lists, ["t1", "t2", "id"]).select("text", "t1", "t2", "anchors").mapInArrow(_cut_out, _STRETCH)
+    stretches = map_arrow(texts.join(lists, ["t1", "t2", "id"]).select("text", "t1", "t2", "anchors"), _cut_out, _STRETCH)
     even = unsettled.where(F.col("different") > SPLIT).isEmpty()
     if not even:
         stretches = cut(stretches)
-    local = stretches.where("not split").repartition("rank").sortWithinPartitions("rank").mapInArrow(_double, _SPANS)
+    local = map_arrow(stretches.where("not split").repartition("rank").sortWithinPartitions("rank"), _double, _SPANS)
     spans = settled.unionByName(local)
     if not even:
-        windows = cut(stretches.where("split").mapInArrow(_windows, "rank long, t1 long, t2 long, twice boolean, window long, start long"))
+        windows = cut(map_arrow(stretches.where("split"), _windows, "rank long, t1 long, t2 long, twice boolean, window long, start long"))
         many = windows.groupBy("rank", "window").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("rank", "window")
         hits = windows.where("not twice").join(many, ["rank", "window"], "left_semi")
         spans = spans.unionByName(hits.select("t1", "t2", "start", (F.col("start") + LENGTH).alias("stop")))
     lists = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
-    return cut(lists.mapInArrow(_merge, "t1 long, t2 long, spans array<long>"))
+    return cut(map_arrow(lists, _merge, "t1 long, t2 long, spans array<long>"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     side = F.broadcast(spans) if size <= BROADCAST_ROWS else spans
     rows = _keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(side, ["t1", "t2"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

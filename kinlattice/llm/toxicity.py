@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, words
+from .common import map_arrow, text_of, words
 
 #: Labelled rows that training may use, and features that it keeps.
 SAMPLE = 5_000
@@ -200,4 +200,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), scores], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return map_arrow(rows, run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
