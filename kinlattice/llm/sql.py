@@ -76,3 +76,28 @@ SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_remove
   sha256(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: lines[i]), chr(10))) AS kept_sha256
 FROM d LEFT JOIN n USING (rid)
 """
+
+ORACLES["op4_mixing"] = r"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+b AS (SELECT *, round(16.0::DOUBLE * sqrt((size - size % (1::BIGINT << greatest(length(bin(size)) - 6, 0)::INT))::DOUBLE))::BIGINT AS wt FROM s),
+f AS (SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s GROUP BY source),
+g AS (SELECT *, 2.0::DOUBLE * source_size / w AS full_at FROM f),
+l AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+  2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+  sum(w) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM g),
+v AS (SELECT (budget - filled) / open_w AS level FROM l WHERE (budget - filled) / open_w <= full_at ORDER BY full_at, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(2.0::DOUBLE * source_size, w * level), 2.0::DOUBLE * source_size) AS target FROM l LEFT JOIN v ON true),
+h AS (SELECT source, wt, sum(size)::BIGINT AS words FROM b WHERE size > 0 GROUP BY 1, 2),
+i AS (SELECT h.source, wt, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY h.source ORDER BY wt DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(wt * words) OVER (PARTITION BY h.source ORDER BY wt DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS scale
+  FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT source, first(scale ORDER BY wt DESC) AS scale FROM i WHERE scale * wt <= 2 GROUP BY 1),
+e AS (SELECT b.*, t.source_size, t.target, CASE WHEN size > 0 THEN least(2.0::DOUBLE, coalesce(scale * wt, 2.0)) ELSE 0 END AS e
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON b.source IS NOT DISTINCT FROM c.source),
+p AS (SELECT *, floor(e)::BIGINT AS certain, e - floor(e) AS p,
+  (cast('0x' || substr(md5('mix-1|' || coalesce(doc_id, -1)), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM e),
+o AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
+k AS (SELECT *, floor(odds / (1 + odds) * 281474976710656::DOUBLE)::BIGINT AS k, target - sum(certain * size) OVER (PARTITION BY source) AS rest FROM o),
+r AS (SELECT *, k IS NOT NULL AND coalesce(sum(CASE WHEN k IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY k NULLS LAST, coalesce(doc_id, -1), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE <= rest AS sampled FROM k)
+SELECT doc_id, size, source_size, target, ((certain + sampled::INT) * size)::BIGINT AS taken FROM r
+"""
