@@ -22,10 +22,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that a lost executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and read it from there, so that a lost executor loses nothing.
+
+    The shuffle files behind it aren't needed any more and go at once, so that a loop of many rounds holds one round's at most.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    was = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a frame of its own: the setting is read when a frame is made
+    finally:
+        spark.conf.set(_CLEAN_UP, was)
 
 
 def with_position(df: DataFrame, *order: Column | str, position: str = "pos", before: dict[str, str] | None = None) -> DataFrame:
