@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, let, text_of
+from .common import cut, let, small_side, text_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -76,21 +76,20 @@ def _repeated_words(words: Column) -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every whole text; one narrow pass."""
     text = text_of()
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return docs.select(
         "doc_id",
         "lang",
         "source",
-        let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_words(w).cast("long").alias("r"))).alias("w"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), _repeated_words(w).cast("long").alias("r"))).alias("w"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
     ).select(
         "doc_id",
         "lang",
         "source",
         F.col("w.n").alias("n_words"),
-        "word_chars",
+        F.col("w.c").alias("word_chars"),
         "n_symbols",
         F.col("l.d").alias("n_dup_lines"),
         F.col("w.r").alias("n_repeat_words"),
@@ -138,7 +137,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     corpus = _bounds(sketches.withColumn("k", F.lit(1)), ["k"], "all")
     joined = one.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("k", F.lit(1)).join(corpus, "k")
     pick = lambda n: F.when(F.col("own_n") >= LEAST_DOCUMENTS, F.col(f"own_{n}")).when(F.col("lang_n") >= LEAST_DOCUMENTS, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(n).alias(f"max_{n}") for n in RATIOS])
+    return cut(joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(n).alias(f"max_{n}") for n in RATIOS]))
 
 
 def base_failed() -> Column:
@@ -146,8 +145,11 @@ def base_failed() -> Column:
 
 
 def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
-    """The measured rows with base_failed, the first ratio out of bounds (or null), and kept."""
-    joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    """The measured rows with base_failed, the first ratio out of bounds (or null), and kept.
+
+    bounds has one row per language and source; it is counted before it is broadcast.
+    """
+    joined = measured.join(small_side(bounds, bounds.count()), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     reason = F.coalesce(*[F.when((F.col("n_words") >= JUDGED_WORDS) & (ratio(n) > F.col(f"max_{n}")), F.lit(n)) for n in RATIOS])
     return joined.withColumn("base_failed", base_failed()).withColumn("reason", reason).withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull())
 
