@@ -57,6 +57,11 @@ def log_loss(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.avg("v").alias("logloss"))
 
 
+def cross_entropy(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """The loss of a class head: the log-loss metric with its sign turned."""
+    return log_loss(scores, labels).select((-F.col("logloss")).alias("loss"))
+
+
 def softmax(scores: DataFrame, digits: int = 9) -> DataFrame:
     """row_id, class_id, p. Rounded, so that noise in last bits doesn't break ties."""
     top = scores.groupBy("row_id").agg(F.max("score").alias("top"))

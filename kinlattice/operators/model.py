@@ -7,6 +7,7 @@ weights broadcast. Weights are inputs: none are trained here, and random_weights
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -66,8 +67,8 @@ def pool(x: np.ndarray, names: np.ndarray, mask: np.ndarray, task: np.ndarray, w
     return attention(t[:, None, :], names, x, mask, w, i, heads)[:, 0] * (t @ w[f"{i}.lin"])
 
 
-def forward(nodes: DataFrame, names: list[list[float]], edges: DataFrame, relations: DataFrame, spec: ModelSpec, weights: dict[str, np.ndarray], task: list[float] | None = None) -> DataFrame:
-    """row_id, emb of every node.
+def forward(nodes: DataFrame, names: list[list[float]], edges: DataFrame, relations: DataFrame, spec: ModelSpec, weights: dict[str, np.ndarray], task: list[float] | None = None, each_layer: bool = False) -> DataFrame:
+    """row_id, emb of every node; with each_layer row_id, layer, emb after every layer.
 
     nodes: row_id, feats array<array<double>>, mask array<boolean>; names: a vector per column; edges: center, rel, nbr; relations: rel, emb.
     task: the task vector; the mean of the column names if there is none. Lineage is cut after each layer.
@@ -114,10 +115,12 @@ def forward(nodes: DataFrame, names: list[list[float]], edges: DataFrame, relati
         return spark.createDataFrame([(r["rel"], (np.asarray(r["emb"]) @ weights[f"{i}.{which}"] + weights[f"{i}.{which}_bias"]).tolist()) for r in rows], "rel string, w array<double>")
 
     now = nodes.select(F.col("row_id").cast("long").alias("row_id"), "feats", "mask", F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("array<double>").alias("t"))
+    layers = []
     for i in range(spec.layers):
         made = cut(now.mapInPandas(before(i), state + ", m array<double>"))
         vectors, centers = made.select("row_id", F.col("m").alias("emb")), made.select(F.col("row_id").alias("center"))
         out = relation_mean_max(edges, vectors, scaled("rel", i), centers, d).select(F.col("center").alias("row_id"), F.col("v").alias("out"))
         back = relation_mean_max(reverse(edges), vectors, scaled("rev", i), centers, d).select(F.col("center").alias("row_id"), F.col("v").alias("back"))
         now = made.drop("m").join(out, "row_id").join(back, "row_id").mapInPandas(after(i), state)
-    return now.select("row_id", F.col("x").alias("emb"))
+        layers.append(now.select("row_id", F.lit(i).alias("layer"), F.col("x").alias("emb")))
+    return reduce(DataFrame.unionByName, layers) if each_layer else now.select("row_id", F.col("x").alias("emb"))

@@ -65,6 +65,17 @@ def mask_rows(values: DataFrame, masked: Column) -> DataFrame:
     return values.where(~F.array_contains(masked, F.col("name")))
 
 
+def mask_sampled(values: DataFrame, masked: Column, scope: str = "root") -> DataFrame:
+    """Long-form features of sampled instances (hop, name, …) without masked ones of the roots, or of all instances.
+
+    With scope "root" a root's row that is reached again through a cycle keeps its columns.
+    """
+    if scope not in ("root", "all"):
+        raise ValueError(f"scope {scope}")
+    hidden = F.array_contains(masked, F.col("name"))
+    return values.where(~hidden if scope == "all" else ~hidden | (F.col("hop") > 0))
+
+
 def drop_columns(df: DataFrame, masked: list[str]) -> DataFrame:
     """The variant that projects masked columns away."""
     return df.drop(*masked)

@@ -135,6 +135,17 @@ def sampled_customer_summary(spark, d):
     return rows.groupBy("root_id").agg(F.sum((F.col("hop") == 1).cast("long")).alias("n_orders"), F.sum((F.col("hop") == 2).cast("long")).alias("n_lines"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
 
 
+@query(_BACK + """SELECT root_id, inst_id, hop::INT AS hop, x.name, x.value FROM every JOIN customer ON node_type = 'customer' AND row_id = c_custkey,
+  (SELECT unnest(['customer___c_name', 'customer___c_mktsegment']) AS name, unnest([c_name, c_mktsegment]) AS value) x WHERE hop > 0 OR x.name <> 'customer___c_mktsegment'""")
+def mask_sampled_roots(spark, d):
+    """The target column is hidden in the roots; a root that is reached again keeps it."""
+    c = read_table(spark, d, "customer")
+    edges = {("customer", PLACED, "orders"): orders_of_customers(spark, d), ("orders", PLACED, "customer"): customers_of_orders(spark, d)}
+    found = sampling.with_features(sampling.sample(customers(spark, d, cutoff=False), "customer", edges, SampleSpec(hops=2, fanout=3)), c, "customer", "c_custkey", ["c_name", "c_mktsegment"])
+    pairs = F.array(*[F.struct(F.lit(f"customer___{n}").alias("name"), F.col(n).alias("value")) for n in ("c_name", "c_mktsegment")])
+    return tasks.mask_sampled(found.select("root_id", "inst_id", "hop", F.explode(pairs).alias("x")).select("root_id", "inst_id", "hop", "x.*"), F.array(F.lit("customer___c_mktsegment")))
+
+
 # Catalogue and adjacency
 
 EDGE_NAMES = ["nation:in:region", "customer:in:nation", "supplier:in:nation", PLACED, LINE, "lineitem:item:part", "lineitem:from:supplier", "events:by:customer", "labels:of:documents", "part:reverse_item:lineitem", "part:item-self_loop:part", "documents:cites:documents"]
@@ -498,6 +509,14 @@ def fewshot_link_edges(spark, d):
     return fewshot.link_edges(_draws(spark, d, FewShotSpec(k=3))[0])
 
 
+@query(_TWO + f", {_DRAWS.format(k=3)} SELECT root_id, parent_inst AS src_inst, inst_id AS dst_inst, edge_type FROM every WHERE parent_inst IS NOT NULL UNION ALL SELECT root_id, 'root|' || root_id, 'example|' || root_id || '|' || draw, 'fewshot' FROM x")
+def fewshot_merge_graphs(spark, d):
+    """The main sample's edges and the links to examples; examples are expanded by no hop, so they bring no edges."""
+    main = sampling.sub_edges(_two_hops(spark, d))
+    links = fewshot.link_edges(_draws(spark, d, FewShotSpec(k=3))[0])
+    return fewshot.merge_graphs(main, main.limit(0), links)
+
+
 # Aggregation
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -649,6 +668,11 @@ def metric_logloss(spark, d):
     return metrics.compute(*_with(scores(spark, d), "retrieval_logloss")).select(F.round("logloss", 6).alias("logloss"))
 
 
+@query(f"WITH {_SCORES}, z AS (SELECT row_id, max(CASE WHEN class_id = label THEN score END) - ln(sum(exp(score))) AS v FROM s GROUP BY 1) SELECT round(-avg(v), 6) AS loss FROM z")
+def loss_cross_entropy(spark, d):
+    return metrics.cross_entropy(*scores(spark, d)).select(F.round("loss", 6).alias("loss"))
+
+
 @query(f"WITH {_PROTO} SELECT vec_id, round(1 - list_dot_product(v, c) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(c, c))), 6) AS loss FROM e JOIN proto ON label = class_id")
 def loss_cosine(spark, d):
     e = read_table(spark, d, "embeddings")
