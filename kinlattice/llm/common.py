@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.scalar import let
 from ..plans.shape import cut, ensure_checkpoint_dir
 
-__all__ = ["BLANKS", "BROADCAST_ROWS", "ODD_BLANK", "WORD", "cut", "documents", "ensure_checkpoint_dir", "let", "map_arrow", "shuffle_partitions", "small_side", "text_of", "words"]
+__all__ = ["BLANKS", "BROADCAST_ROWS", "ODD_BLANK", "COMPACT_ROWS", "WORD", "beside", "compact", "cut", "documents", "ensure_checkpoint_dir", "let", "map_arrow", "shuffle_partitions", "small_side", "text_of", "words"]
 
 #: Rows of (long, long) that may be broadcast: 16 bytes each, so 16 MB at most before hashing.
 BROADCAST_ROWS = 1_000_000
+#: Narrow rows (of some 100 bytes) that one task may hold alone, or each task beside its own: 20 MB.
+COMPACT_ROWS = 200_000
 #: Bytes of a batch that goes to a Python worker at once.
 BATCH_BYTES = 8 << 20
 #: Characters that separate words, the complement of [^\x20\x09-\x0D].
@@ -31,6 +33,19 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """df in one partition if its counted rows are few: with ``beside`` for its joins, nothing moves and no idle tasks start.
+
+    The same plan runs over many partitions where there are more rows.
+    """
+    return df.coalesce(1) if rows <= COMPACT_ROWS else df
+
+
+def beside(df: DataFrame, rows: int) -> DataFrame:
+    """df as the broadcast side of a join with a compact frame, if it has few rows itself; rows is its count or a bound of it."""
+    return F.broadcast(df) if rows <= COMPACT_ROWS else df
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow in batches of at most BATCH_BYTES, unless the session names a size of its own.
 
