@@ -16,9 +16,8 @@ number of pairs linear in the bucket. Leaders are chosen by popularity, the summ
 share more sketches with the text they were made from than with each other, so the original leads. Linked nodes then
 collapse to their component, and in buckets that still hold several components the leaders of more of them are compared
 with the nodes of all others (3, then 7, then 15, and fewer in larger buckets, see ``LEADERS``), until a round of the full width
-links nothing new. So small buckets are compared in full; in a large bucket of loosely related texts the search is a heuristic, on top of
-that of the sketches: its nodes meet again in other, smaller buckets. No bucket's pairs are all made, and no node is
-left out of the search. In a chained group of 600 variants with 28,879 links it finds the classes of all pairs but for three nodes.
+links nothing new. These rounds only spare work. The nodes of large buckets that still hold several components then go
+through an exact prefix filter on labelled runs (see ``_sharing``), whichever of their buckets the rounds searched.
 
 Defined cases: a null text is empty; equal texts, the empty one included, form a class; a text of fewer than five words has one
 k-mer, the whole of it; rows without words are linked to identical texts only; a null doc_id is kept, and a
@@ -47,7 +46,7 @@ THRESHOLD = 0.8
 #: (nodes of a bucket up to, components whose leaders are compared with all its nodes). Nodes of large buckets meet in smaller ones too.
 LEADERS = ((64, 15), (None, 7))
 WIDEST = 15
-#: Large buckets that a node is searched in, its largest ones: it meets the same nodes in most of its large buckets.
+#: Large buckets that a node is searched in by the rounds of leaders, its largest ones; the exact pass behind them covers all.
 CROWDS = 2
 #: Hashes kept of each text to estimate the overlap of runs, and the estimate below which a pair isn't aligned. The estimate is exact for texts
 #: of up to BOTTOM runs; a pair at the threshold is estimated below LIKELY with a probability near 0.0001.
@@ -278,33 +277,62 @@ def _likely(pairs: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
     return cut(both.where(shared >= LIKELY).select("a", "b"))
 
 
+def _open(held: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
+    """The rows of held, with the root of each node, in buckets that hold several components."""
+    rooted = held.join(beside(roots, n_roots), F.col("key") == F.col("node"), "left").select("j", "t", "key", "runs", F.coalesce("root", "key").alias("root"))
+    return rooted.join(rooted.groupBy("j", "t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("j", "t"), ["j", "t"], "left_semi")
+
+
+def _sharing(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs (a < b) of nodes (key, root) of several components that may be similar: an exact prefix filter on labelled runs.
+
+    Pairs at the threshold have 4/9 of their runs in common at least. So if all texts list their runs in one order, the first ninth of the shorter
+    text's runs, and one more, and the first fifth of the longer's, and one more, have a run in common, and behind
+    the first such run enough is left in both. Runs within one component only come first in the order (they match nothing), then rare ones.
+    """
+    n = nodes.count()
+    keyed = docs.select(F.md5(text_of()).alias("key"), text_of().alias("text"))
+    texts = keyed.join(small_side(nodes, n), "key").select("key", "root", "text").dropDuplicates(["key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.unique(labelled(runs(word_hashes(t.as_py())))).view(np.int64) for t in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["key", "root", "n", "each"])
+
+    each = cut(map_arrow(texts, run, "key string, root string, n long, each array<long>")).select("key", "root", "n", F.explode("each").alias("run"))
+    across = each.groupBy("run").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("run", "often")
+    text = Window.partitionBy("key")
+    at = F.col("n") - F.count(F.lit(1)).over(text) + F.row_number().over(text.orderBy("often", "run"))
+    first = cut(each.join(across, "run").withColumn("at", at).where((F.col("at") - 1) * 5 <= F.col("n")).select("key", "root", "n", "run", "at"))
+    one = first.where((F.col("at") - 1) * 9 <= F.col("n")).select("run", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "at")])
+    shorter = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("key_a") < F.col("key")))
+    most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
+    both = one.join(first, "run").where((F.col("root_a") != F.col("root")) & shorter & (5 * F.col("n_a") >= 4 * F.col("n")) & (9 * most >= 4 * (F.col("n_a") + F.col("n"))))
+    return both.select(F.least("key_a", "key").alias("a"), F.greatest("key_a", "key").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members (doc_id, key), links (a, b, similarity) between keys, and roots (node, root) of the linked keys."""
     sketched = cut(sketches(docs))
     nodes = sketched.dropDuplicates(["key"])
     buckets = nodes.select("key", F.greatest(F.col("n_words") - (K - 1), F.lit(1)).alias("runs"), F.posexplode("sketch").alias("j", "t"))
     shared = buckets.groupBy("j", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = cut(buckets.join(shared, ["j", "t"]))
+    every = member = cut(buckets.join(shared, ["j", "t"]))
     popularity = member.groupBy("key").agg(F.sum("n").alias("popularity"))
     hashes = cut(nodes.join(popularity, "key", "left_semi").select("key", "bottom"))
     n_hashes = hashes.count()
     size = F.row_number().over(Window.partitionBy("key", F.col("n") > LEADERS[0][0]).orderBy(F.col("n").desc(), "j"))
-    member = cut(member.withColumn("nth", size).where((F.col("n") <= LEADERS[0][0]) | (F.col("nth") <= CROWDS)).select("j", "t", "n", "key", "runs").join(popularity, "key"))
+    member = cut(every.withColumn("nth", size).where((F.col("n") <= LEADERS[0][0]) | (F.col("nth") <= CROWDS)).select("j", "t", "n", "key", "runs").join(popularity, "key"))
     n = member.count()
     member = compact(member, n)
 
     links = docs.sparkSession.createDataFrame([], "a string, b string, similarity double")
     roots, tested, used, width = links.select(F.col("a").alias("node"), F.col("b").alias("root")), None, None, 1
     n_links = n_tested = n_used = n_roots = 0
-    while True:
-        grouped, leaders = _leaders(member, n, roots, used, n_used, width)
-        pairs = _candidates(grouped, leaders, n, tested, n_tested)
-        n_used += leaders.count()
-        mine = leaders.select("j", "t", "leader")
-        used = compact(mine if used is None else used.unionByName(mine), n_used)
-        n_pairs = pairs.count()
-        n_tested += n_pairs
-        tested = compact(pairs if tested is None else tested.unionByName(pairs), n_tested)
+
+    def take(pairs: DataFrame, n_pairs: int) -> int:
+        """Verify pairs, take those that are similar into links and roots, and tell their number."""
+        nonlocal links, n_links, roots, n_roots
         likely = _likely(compact(pairs, n_pairs), hashes, n_hashes)
         more = None if likely.isEmpty() else cut(_verified(likely, docs))
         found = 0 if more is None else more.count()
@@ -314,9 +342,27 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             roots = absorb(roots, n_roots, more)
             n_roots = roots.count()
             roots = compact(roots, n_roots)
-        elif width == WIDEST:
-            return sketched.select("doc_id", "key"), links, roots
+        return found
+
+    while True:
+        grouped, leaders = _leaders(member, n, roots, used, n_used, width)
+        pairs = _candidates(grouped, leaders, n, tested, n_tested)
+        n_used += leaders.count()
+        mine = leaders.select("j", "t", "leader")
+        used = compact(mine if used is None else used.unionByName(mine), n_used)
+        n_pairs = pairs.count()
+        n_tested += n_pairs
+        tested = compact(pairs if tested is None else tested.unionByName(pairs), n_tested)
+        found = take(pairs, n_pairs)
+        if not found and width == WIDEST:
+            break
         width = min(2 * width + 1, WIDEST)
+    # CROWDS and LEADERS say what is searched first; all that they leave out follows
+    nodes = cut(_open(every.where(F.col("n") > LEADERS[0][0]), roots, n_roots).select("key", "root").distinct())
+    if not nodes.isEmpty():
+        pairs = cut(_sharing(nodes, docs).join(beside(tested, n_tested), ["a", "b"], "left_anti"))
+        take(pairs, pairs.count())
+    return sketched.select("doc_id", "key"), links, roots
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

@@ -80,6 +80,28 @@ def test_against_all_pairs(spark, seed):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == set(expected.values())
 
 
+def family(rng, pages=800, groups=3, copies=151, template=300, own=64):
+    """Pages of a site that share 300 words and aren't alike, and groups of near copies of further pages."""
+    site = [f"t{i}" for i in range(template)]
+    page = lambda tag: site + [f"{tag}.{i}" for i in range(own)]
+    texts = [page(f"p{i}") for i in range(pages)]
+    for g in range(groups):
+        first = page(f"g{g}")
+        for _ in range(copies):
+            w = list(first)
+            for _ in range(3):
+                w[rng.randrange(template, len(w))] = f"x{rng.randrange(10**9)}"
+            texts.append(w)
+    rng.shuffle(texts)
+    return [" ".join(w) for w in texts]
+
+
+def test_copies_on_a_template(spark):
+    texts = family(random.Random(3), pages=300, copies=100)
+    rows, _ = run(spark, texts)
+    assert {i: r["class_id"] for i, r in rows.items()} == brute(texts)
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id")
     texts = [r["text"] for r in docs.collect()]
