@@ -16,8 +16,10 @@ number of pairs linear in the bucket. Leaders are chosen by popularity, the summ
 share more sketches with the text they were made from than with each other, so the original leads. Linked nodes then
 collapse to their component, and in buckets that still hold several components the leaders of more of them are compared
 with the nodes of all others (3, then 7, then 15, and fewer in larger buckets, see ``LEADERS``), until a round of the full width
-links nothing new. These rounds only spare work. The nodes of large buckets that still hold several components then go
-through an exact prefix filter on labelled runs (see ``_sharing``), whichever of their buckets the rounds searched.
+links nothing new. These rounds only spare work: a component's leader needn't be in a bucket, nor all its nodes be compared there. So all
+untested pairs of several components in a bucket of up to 64 nodes follow, and the nodes of larger buckets that still hold several components
+go through an exact prefix filter on labelled runs (see ``_sharing``), whichever of their buckets the rounds searched. Every pair that agrees in
+a sketch is then in one class, or tested, or excluded by an exact bound.
 
 Defined cases: a null text is empty; equal texts, the empty one included, form a class; a text of fewer than five words has one
 k-mer, the whole of it; rows without words are linked to identical texts only; a null doc_id is kept, and a
@@ -43,7 +45,7 @@ K = 5
 SKETCHES = 16
 LENGTH = 3
 THRESHOLD = 0.8
-#: (nodes of a bucket up to, components whose leaders are compared with all its nodes). Nodes of large buckets meet in smaller ones too.
+#: (nodes of a bucket up to, components whose leaders are compared with all its nodes by the rounds). What they leave out follows.
 LEADERS = ((64, 15), (None, 7))
 WIDEST = 15
 #: Large buckets that a node is searched in by the rounds of leaders, its largest ones; the exact pass behind them covers all.
@@ -257,7 +259,7 @@ def _leaders(member: DataFrame, n: int, roots: DataFrame, used: DataFrame | None
 def _candidates(grouped: DataFrame, leaders: DataFrame, n: int, tested: DataFrame | None, n_tested: int) -> DataFrame:
     """Untested pairs (a < b): the new leaders of each bucket with all its nodes of other components.
 
-    Components only grow, so a bucket's nodes that weren't compared with an earlier leader are in its component by now.
+    A leader may be outside the bucket, and then says nothing of its component's nodes inside: see ``_rest`` and ``_sharing``.
     """
     # texts of too different lengths can't be similar
     fits = F.least("runs", "length") >= THRESHOLD * F.greatest("runs", "length")
@@ -283,6 +285,14 @@ def _open(held: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
     return rooted.join(rooted.groupBy("j", "t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("j", "t"), ["j", "t"], "left_semi")
 
 
+def _rest(held: DataFrame, tested: DataFrame, n_tested: int) -> DataFrame:
+    """All untested pairs (a < b) of held's rows that share a bucket and not a component, for buckets of bounded size."""
+    other = held.select("j", "t", *[F.col(c).alias(f"{c}_b") for c in ("key", "runs", "root")])
+    fits = 5 * F.least("runs", "runs_b") >= 4 * F.greatest("runs", "runs_b")
+    pairs = held.join(other, ["j", "t"]).where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & fits)
+    return pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct().join(beside(tested, n_tested), ["a", "b"], "left_anti")
+
+
 def _sharing(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """All pairs (a < b) of nodes (key, root) of several components that may be similar: an exact prefix filter on labelled runs.
 
@@ -358,6 +368,11 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             break
         width = min(2 * width + 1, WIDEST)
     # CROWDS and LEADERS say what is searched first; all that they leave out follows
+    pairs = cut(_rest(compact(_open(every.where(F.col("n") <= LEADERS[0][0]), roots, n_roots), n), tested, n_tested))
+    n_pairs = pairs.count()
+    take(pairs, n_pairs)
+    n_tested += n_pairs
+    tested = compact(tested.unionByName(pairs), n_tested)
     nodes = cut(_open(every.where(F.col("n") > LEADERS[0][0]), roots, n_roots).select("key", "root").distinct())
     if not nodes.isEmpty():
         pairs = cut(_sharing(nodes, docs).join(beside(tested, n_tested), ["a", "b"], "left_anti"))

@@ -102,6 +102,33 @@ def test_copies_on_a_template(spark):
     assert {i: r["class_id"] for i, r in rows.items()} == brute(texts)
 
 
+def test_pairs_on_a_template(spark):
+    texts = family(random.Random(4), pages=0, groups=250, copies=2)
+    rows, _ = run(spark, texts)
+    assert {i: r["class_id"] for i, r in rows.items()} == brute(texts)
+
+
+def test_leaders_outside_a_bucket(spark, monkeypatch):
+    """y and z are alike and meet only in a bucket of three, each in a component led by a text that is too far from the other."""
+    y = [f"w{i}" for i in range(300)]
+    swap = lambda w, tag, first: [f"{tag}{i}" if i % 60 == first else x for i, x in enumerate(w)]
+    z = swap(y, "z", 10)
+    alone = iter(range(1000, 9999))
+    # y, z, y0, z0, x, then fillers that make y0, z0 and x popular
+    held = [[1, 2], [1, 3], [4, 2], [5, 3], [1, 6]] + [[4, next(alone)] for _ in range(7)] + [[5, next(alone)] for _ in range(7)] + [[next(alone), 6] for _ in range(8)]
+    own = [[f"{g}.{i}" for i in range(300)] for g in range(len(held) - 4)]
+    texts = [" ".join(w) for w in (y, z, swap(y, "y0", 30), swap(z, "z0", 50), *own)]
+    real = near.sketches
+
+    def planted(docs):
+        sketch = docs.sparkSession.createDataFrame(list(enumerate(held)), "doc_id long, sketch array<long>")
+        return real(docs).drop("sketch").join(sketch, "doc_id")
+
+    monkeypatch.setattr(near, "sketches", planted)
+    rows, _ = run(spark, texts)
+    assert [rows[i]["class_id"] for i in range(5)] == [0, 0, 0, 0, 4]
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id")
     texts = [r["text"] for r in docs.collect()]
