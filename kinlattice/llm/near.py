@@ -5,8 +5,8 @@ so that a repeated run counts as often as it is there. For each of ``SKETCHES``
 labelled k-mers with the smallest hashes are taken in the order of the text (Marcais et al., 2019): two texts agree in a sketch if
 the same k-mers come first in the same order, which falls with edit distance and not only with the overlap of sets.
 
-Texts that agree in a sketch are candidates, less those whose overlap of runs, estimated from the 64 smallest hashes of
-each text, is far below the threshold, as with texts that share a passage. A candidate pair is verified by an alignment of the two word
+Texts that agree in a sketch are candidates, less those that can't have enough runs in common, by an exact bound from the number of
+runs in each of 128 cells, as with texts that share a passage. A candidate pair is verified by an alignment of the two word
 sequences in a band of diagonals that widens with the number of edits, up to what the
 threshold allows. Its similarity is the number of five-word runs that the alignment keeps, over the number of runs in either
 text; at 0.8 or more the texts are linked. Classes are connected components.
@@ -37,7 +37,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar
 from .common import beside, compact, cut, map_arrow, small_side, text_of, words
 from .graph import absorb
 
@@ -50,10 +49,8 @@ LEADERS = ((64, 15), (None, 7))
 WIDEST = 15
 #: Large buckets that a node is searched in by the rounds of leaders, its largest ones; the exact pass behind them covers all.
 CROWDS = 2
-#: Hashes kept of each text to estimate the overlap of runs, and the estimate below which a pair isn't aligned. The estimate is exact for texts
-#: of up to BOTTOM runs; a pair at the threshold is estimated below LIKELY with a probability near 0.0001.
-BOTTOM = 64
-LIKELY = 0.6
+#: Cells in which the labelled runs of a text are counted by hash, to bound how many two texts can have in common.
+CELLS = 128
 #: Words whose hashes a worker keeps.
 CACHED = 100_000
 _RNG = np.random.default_rng(20_190_708)
@@ -118,11 +115,12 @@ def order_minhash(r: np.ndarray) -> np.ndarray:
     return out
 
 
-def bottom(r: np.ndarray) -> np.ndarray:
-    """The BOTTOM smallest 31-bit hashes of the labelled runs, sorted: all of them for texts of up to as many runs."""
+def cells(r: np.ndarray) -> list[int] | None:
+    """The number of labelled runs in each of CELLS cells by hash; None if one passes a short."""
     y = labelled(r) * _P
     y = (y ^ (y >> np.uint64(32))) * _Q
-    return np.unique(y >> np.uint64(33))[:BOTTOM].astype(np.int32)
+    n = np.bincount((y >> np.uint64(57)).astype(np.int64), minlength=CELLS)
+    return None if n.max() > 32_767 else n.tolist()
 
 
 def aligned_runs(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -197,8 +195,8 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (md5 of the text), n_words, the order MinHash sketch and the bottom hashes of every row."""
-    names = ["doc_id", "key", "n_words", "sketch", "bottom"]
+    """doc_id, key (md5 of the text), n_words, the order MinHash sketch and the cells of every row."""
+    names = ["doc_id", "key", "n_words", "sketch", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,11 +205,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h = word_hashes(text.as_py())
                 n.append(len(h))
                 out.append(order_minhash(runs(h)).view(np.int64) if len(h) else [])
-                low.append(bottom(runs(h)) if len(h) else [])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int32()))], names=names)
+                low.append(cells(runs(h)) if len(h) else None)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int16()))], names=names)
 
     text = text_of()
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("key"), text.alias("text")), run, "doc_id long, key string, n_words long, sketch array<long>, bottom array<int>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("key"), text.alias("text")), run, "doc_id long, key string, n_words long, sketch array<long>, cells array<smallint>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -267,16 +265,16 @@ def _candidates(grouped: DataFrame, leaders: DataFrame, n: int, tested: DataFram
     return cut(pairs.join(beside(tested, n_tested), ["a", "b"], "left_anti") if tested is not None else pairs)
 
 
-def _likely(pairs: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
-    """The pairs whose overlap of runs, estimated from the smallest hashes of either text, may reach the threshold.
+def _possible(pairs: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """The pairs whose texts may have enough runs in common: no more than the lesser counts of their cells, an exact bound.
 
-    n is the number of rows of hashes, which are some four times as wide as others.
+    n is the number of rows of counts, which are some four times as wide as others.
     """
-    one = pairs.join(beside(hashes.select(F.col("key").alias("b"), F.col("bottom").alias("y")), 4 * n), "b")
-    both = one.join(beside(hashes.select(F.col("key").alias("a"), F.col("bottom").alias("x")), 4 * n), "a")
-    least = F.slice(F.sort_array(F.array_union("x", "y")), 1, BOTTOM)
-    shared = scalar.let(least, lambda u: F.size(F.array_intersect(F.array_intersect("x", "y"), u)) / F.size(u))
-    return cut(both.where(shared >= LIKELY).select("a", "b"))
+    side = lambda end: beside(counts.select(F.col("key").alias(end), F.col("cells").alias(f"x_{end}"), F.col("runs").alias(f"n_{end}")), 4 * n)
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    common = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    # 0.8 of the union in common is 4/9 of all runs
+    return cut(both.where(F.coalesce(9 * common >= 4 * (F.col("n_a") + F.col("n_b")), F.lit(True))).select("a", "b"))
 
 
 def _open(held: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
@@ -329,8 +327,8 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = buckets.groupBy("j", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     every = member = cut(buckets.join(shared, ["j", "t"]))
     popularity = member.groupBy("key").agg(F.sum("n").alias("popularity"))
-    hashes = cut(nodes.join(popularity, "key", "left_semi").select("key", "bottom"))
-    n_hashes = hashes.count()
+    counts = cut(nodes.join(popularity, "key", "left_semi").select("key", F.greatest(F.col("n_words") - (K - 1), F.lit(1)).alias("runs"), "cells"))
+    n_counts = counts.count()
     size = F.row_number().over(Window.partitionBy("key", F.col("n") > LEADERS[0][0]).orderBy(F.col("n").desc(), "j"))
     member = cut(every.withColumn("nth", size).where((F.col("n") <= LEADERS[0][0]) | (F.col("nth") <= CROWDS)).select("j", "t", "n", "key", "runs").join(popularity, "key"))
     n = member.count()
@@ -343,8 +341,8 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def take(pairs: DataFrame, n_pairs: int) -> int:
         """Verify pairs, take those that are similar into links and roots, and tell their number."""
         nonlocal links, n_links, roots, n_roots
-        likely = _likely(compact(pairs, n_pairs), hashes, n_hashes)
-        more = None if likely.isEmpty() else cut(_verified(likely, docs))
+        possible = _possible(compact(pairs, n_pairs), counts, n_counts)
+        more = None if possible.isEmpty() else cut(_verified(possible, docs))
         found = 0 if more is None else more.count()
         if found:
             n_links += found

@@ -129,6 +129,20 @@ def test_leaders_outside_a_bucket(spark, monkeypatch):
     assert [rows[i]["class_id"] for i in range(5)] == [0, 0, 0, 0, 4]
 
 
+def test_possible_pairs_lose_none(spark):
+    """Pairs just at the threshold, of more runs than a sample holds: the bound keeps each, and leaves out unrelated ones."""
+    a = np.arange(1, 364, dtype=np.uint64) * near._P
+    rows = [("a", 363, near.cells(a))]
+    for i in range(3000):
+        b = np.append(a[:323], (np.arange(40, dtype=np.uint64) + np.uint64(1000 + 40 * i)) * near._Q)
+        rows.append((f"b{i}", 363, near.cells(b)))
+    rows.append(("z", 363, near.cells(np.arange(9_000_000, 9_000_363, dtype=np.uint64) * near._Q)))
+    counts = spark.createDataFrame(rows, "key string, runs long, cells array<smallint>")
+    pairs = counts.where("key <> 'a'").selectExpr("'a' as a", "key as b")
+    left = {r["b"] for r in near._possible(pairs, counts, len(rows)).collect()}
+    assert left == {f"b{i}" for i in range(3000)}
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id")
     texts = [r["text"] for r in docs.collect()]
