@@ -15,8 +15,8 @@ Identical texts collapse first and are one node. Within a bucket a leader is com
 number of pairs linear in the bucket. Leaders are chosen by popularity, the summed sizes of a node's buckets: copies
 share more sketches with the text they were made from than with each other, so the original leads. Linked nodes then
 collapse to their component, and in buckets that still hold several components the leaders of more of them are compared
-with the nodes of all others (3, then 7, then 15, and fewer in larger buckets, see ``LEADERS``), until a round of the full width
-links nothing new. These rounds only spare work: a component's leader needn't be in a bucket, nor all its nodes be compared there. So all
+with the nodes of all others (3, then 7, then 15, and fewer in larger buckets, see ``LEADERS``), until a round
+links nothing new or has the full width. These rounds only spare work: a component's leader needn't be in a bucket, nor all its nodes be compared there. So all
 untested pairs of several components in a bucket of up to 64 nodes follow, and the nodes of larger buckets that still hold several components
 go through an exact prefix filter on labelled runs (see ``_sharing``), whichever of their buckets the rounds searched. Every pair that agrees in
 a sketch is then in one class, or tested, or excluded by an exact bound.
@@ -279,26 +279,25 @@ def _possible(pairs: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 
 def _open(held: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
     """The rows of held, with the root of each node, in buckets that hold several components."""
-    rooted = held.join(beside(roots, n_roots), F.col("key") == F.col("node"), "left").select("j", "t", "key", "runs", F.coalesce("root", "key").alias("root"))
+    rooted = held.join(beside(roots, n_roots), F.col("key") == F.col("node"), "left").select("j", "t", "n", "key", "runs", F.coalesce("root", "key").alias("root"))
     return rooted.join(rooted.groupBy("j", "t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("j", "t"), ["j", "t"], "left_semi")
 
 
-def _rest(held: DataFrame, tested: DataFrame, n_tested: int) -> DataFrame:
-    """All untested pairs (a < b) of held's rows that share a bucket and not a component, for buckets of bounded size."""
+def _rest(held: DataFrame) -> DataFrame:
+    """All pairs (a < b) of held's rows that share a bucket and not a component, for buckets of bounded size."""
     other = held.select("j", "t", *[F.col(c).alias(f"{c}_b") for c in ("key", "runs", "root")])
     fits = 5 * F.least("runs", "runs_b") >= 4 * F.greatest("runs", "runs_b")
     pairs = held.join(other, ["j", "t"]).where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & fits)
-    return pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct().join(beside(tested, n_tested), ["a", "b"], "left_anti")
+    return pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
-def _sharing(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
     """All pairs (a < b) of nodes (key, root) of several components that may be similar: an exact prefix filter on labelled runs.
 
     Pairs at the threshold have 4/9 of their runs in common at least. So if all texts list their runs in one order, the first ninth of the shorter
     text's runs, and one more, and the first fifth of the longer's, and one more, have a run in common, and behind
     the first such run enough is left in both. Runs within one component only come first in the order (they match nothing), then rare ones.
     """
-    n = nodes.count()
     keyed = docs.select(F.md5(text_of()).alias("key"), text_of().alias("text"))
     texts = keyed.join(small_side(nodes, n), "key").select("key", "root", "text").dropDuplicates(["key"])
 
@@ -362,19 +361,18 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         n_tested += n_pairs
         tested = compact(pairs if tested is None else tested.unionByName(pairs), n_tested)
         found = take(pairs, n_pairs)
-        if not found and width == WIDEST:
+        if not found or width == WIDEST:
             break
         width = min(2 * width + 1, WIDEST)
     # CROWDS and LEADERS say what is searched first; all that they leave out follows
-    pairs = cut(_rest(compact(_open(every.where(F.col("n") <= LEADERS[0][0]), roots, n_roots), n), tested, n_tested))
-    n_pairs = pairs.count()
-    take(pairs, n_pairs)
-    n_tested += n_pairs
-    tested = compact(tested.unionByName(pairs), n_tested)
-    nodes = cut(_open(every.where(F.col("n") > LEADERS[0][0]), roots, n_roots).select("key", "root").distinct())
-    if not nodes.isEmpty():
-        pairs = cut(_sharing(nodes, docs).join(beside(tested, n_tested), ["a", "b"], "left_anti"))
-        take(pairs, pairs.count())
+    left = cut(_open(every, roots, n_roots))
+    pairs = _rest(compact(left.where(F.col("n") <= LEADERS[0][0]), n))
+    nodes = cut(left.where(F.col("n") > LEADERS[0][0]).select("key", "root").distinct())
+    n_nodes = nodes.count()
+    if n_nodes:
+        pairs = pairs.unionByName(_sharing(nodes, n_nodes, docs)).distinct()
+    pairs = cut(pairs.join(beside(tested, n_tested), ["a", "b"], "left_anti"))
+    take(pairs, pairs.count())
     return sketched.select("doc_id", "key"), links, roots
 
 
