@@ -51,6 +51,8 @@ WIDEST = 15
 CROWDS = 2
 #: Cells in which the labelled runs of a text are counted by hash, to bound how many two texts can have in common.
 CELLS = 128
+#: Runs before a run in common that are looked at for one in common before, so that a pair is made once and not for each.
+EARLIER = 32
 #: Words whose hashes a worker keeps.
 CACHED = 100_000
 _RNG = np.random.default_rng(20_190_708)
@@ -310,11 +312,13 @@ def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
     across = each.groupBy("run").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("run", "often")
     text = Window.partitionBy("key")
     at = F.col("n") - F.count(F.lit(1)).over(text) + F.row_number().over(text.orderBy("often", "run"))
-    first = cut(each.join(across, "run").withColumn("at", at).where((F.col("at") - 1) * 5 <= F.col("n")).select("key", "root", "n", "run", "at"))
-    one = first.where((F.col("at") - 1) * 9 <= F.col("n")).select("run", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "at")])
+    # a pair is told at the first run in common; where more than EARLIER runs lie before, perhaps again
+    ordered = each.join(across, "run").withColumn("at", at).withColumn("earlier", F.collect_list("run").over(text.orderBy("often", "run").rowsBetween(-EARLIER, -1)))
+    first = cut(ordered.where((F.col("at") - 1) * 5 <= F.col("n")).select("key", "root", "n", "run", "at", "earlier"))
+    one = first.where((F.col("at") - 1) * 9 <= F.col("n")).select("run", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "at", "earlier")])
     shorter = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("key_a") < F.col("key")))
     most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
-    both = one.join(first, "run").where((F.col("root_a") != F.col("root")) & shorter & (5 * F.col("n_a") >= 4 * F.col("n")) & (9 * most >= 4 * (F.col("n_a") + F.col("n"))))
+    both = one.join(first, "run").where((F.col("root_a") != F.col("root")) & shorter & (5 * F.col("n_a") >= 4 * F.col("n")) & (9 * most >= 4 * (F.col("n_a") + F.col("n"))) & ~F.arrays_overlap("earlier_a", "earlier"))
     return both.select(F.least("key_a", "key").alias("a"), F.greatest("key_a", "key").alias("b")).distinct()
 
 
