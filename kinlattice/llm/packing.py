@@ -3,48 +3,69 @@
 Documents are encoded where they lie and cut into pieces of at most ``capacity`` tokens. Best-fit decreasing then
 runs on the driver over counts by length, of which there are at most ``capacity``, however many pieces there are: sequences with
 the same room left form one block, and a length fills a whole block at a time. The plan says which ranks
-within a length go to which sequences. Pieces take their slots by their rank within their length.
+within a length go to which sequences. Pieces take their slots by joining on their rank within their length.
 
-Ranks are dealt out without bringing a length together: pieces are numbered within (length, chunk), where the
-chunk is a hash, and chunks are shifted by the counts of those before them. So a length that a third of all
-pieces have costs no more than any other. The plan is broadcast; it has a few rows per length and so at most
-some ten thousand, whatever the input.
+Ranks are dealt out without bringing a length together, and without moving a piece: the task that encodes numbers its own pieces of each
+length, and the numbers of a task are shifted by the counts of those before it. So a length that a third of all
+pieces have costs no more than any other, and ids stay where they were made unless the table of shifts (a row per task and length) outgrows
+a broadcast. The plan is broadcast; it has a few rows per length and so at most some ten thousand, whatever the input.
 
-Encoding: the text is cut at ASCII blanks and each chunk's ids are kept in a bounded cache, which
-is exact because this tokenizer drops blanks before it merges; texts with other space characters are encoded whole.
+Encoding: where the tokenizer is known to drop blanks before it merges (see ``WORDWISE``), texts are cut at ASCII blanks in Arrow, the distinct
+chunks of a block take their ids from a bounded cache, and ids are gathered by offsets, which gives the same ids; a chunk that isn't known is
+put together from the ids of its letter runs, digits and signs. With any other tokenizer every text is encoded whole.
 
-Defined cases: a null text is empty; an empty text is one piece that holds the end id alone; repeated rows are packed
-each; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text is empty; an empty text is one piece that holds the end id alone; very long texts are encoded in blocks that end at blanks;
+repeated rows and ties are packed each, and ``instance`` tells them apart; a null doc_id is kept; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_arrow, shuffle_partitions, text_of
+from .common import BLANKS, cut, map_arrow, small_side, text_of
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks of text whose ids a worker keeps, and the longest of them.
-CACHED = 600_000
+#: Chunks of text, and parts of chunks, whose ids a worker keeps: two generations of so many each, the older one goes when the younger is full.
+CACHED = 200_000
 CACHED_CHARS = 48
-#: Characters that a worker encodes at a time.
-BATCH_CHARS = 2 << 20
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+#: Characters (or bytes) that a worker cuts into chunks at a time.
+BLOCK_CHARS = 2 << 20
+#: A task's pieces are numbered from its own start.
+TASK_BITS = 33
+PIECES = "doc_id long, instance long, piece int, start long, length long, ids binary, task long, own long"
 PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("p_length", "lo", "hi", "per", "first", "at")])
-#: Separators on which Python and the tokenizer might not agree, and what joins across them.
-ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+# The pattern by which the public tokenizer cuts a text into words, and the parts of its file that make it drop blanks.
+CLIPPED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": CLIPPED}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: The same pattern for lower-case text without characters from FAR on (letters, numbers and the rest of Latin); a blank is a part of its own.
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]| |[^ a-zªµºß-öø-ſ0-9²³¹¼-¾]+")
+#: Chunks with characters that normal forms join, or whose lower case hangs on their place, go to the tokenizer whole.
+FAR = re.compile(r"[\u0130\u0180-\U0010ffff]")
 
 
 def default_tokenizer() -> str:
@@ -53,47 +74,120 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Aging:
+    """Values by text; the last one or two times CACHED of them are kept."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]):
+        self.make, self.young, self.old = make, {}, {}
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The values of the texts, which are distinct; those that aren't known are made together."""
+        found = [*map(self.young.get, texts)]
+        open_ = [i for i, v in enumerate(found) if v is None]
+        late: list[int] = []
+        for i in open_:
+            if (v := self.old.get(texts[i])) is None:
+                late.append(i)
+            else:
+                found[i] = self.young[texts[i]] = v
+        for i, v in zip(late, self.make([texts[i] for i in late]), strict=True):
+            found[i] = v
+            if len(texts[i]) <= CACHED_CHARS:
+                self.young[texts[i]] = v
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        return found
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of distinct chunks: all in one text with a special token between, which is faster than one by one."""
-        if not self.special:
-            return dict(zip(chunks, self._ids(chunks), strict=True))
-        between, mark = next(iter(self.special.items()))
-        odd = [c for c in chunks if "<" in c and any(x in c for x in self.special)]
-        rest = [c for c in chunks if c not in set(odd)] if odd else chunks
-        ids = np.frombuffer(self._ids([f" {between} ".join(rest)])[0], np.uint32)
-        ends = [*(4 * np.flatnonzero(ids == mark)).tolist(), 4 * len(ids)]
-        data = ids.tobytes()
-        found = {c: data[a:b] for c, a, b in zip(rest, [0, *(e + 4 for e in ends[:-1])], ends, strict=True)}
-        return found | dict(zip(odd, self._ids(odd), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if ODD.search(t)}
-        whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
-        parts = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        missing = [*set(chain.from_iterable(parts)).difference(self.cache)]
-        if missing:
-            self.cache.update(self._chunks(missing))
-        get = self.cache.__getitem__
-        out = [whole[i] if i in odd else b"".join(map(get, p)) for i, p in enumerate(parts)]
-        full = len(self.cache) > CACHED
-        for c in missing:
-            if full or len(c) > CACHED_CHARS:
-                del self.cache[c]
-        return out
+        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        told = json.loads(Path(path).read_text())
+        model = told["model"]
+        plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+        self.wordwise = plain and all(told[k] == v for k, v in WORDWISE.items())
+        self.merge = self.tokenizer.model.tokenize
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts, self.chunks = Aging(self._parts), Aging(self._chunks)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of letter runs, digits and runs of signs, straight from the merges."""
+        return [array("I", [t.id for t in self.merge(p if p.isascii() else self.spell(p)[0][0])]).tobytes() for p in parts]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without blanks: plain ones together, from their parts."""
+        joined = " ".join(chunks)
+        odd: set[int] = set()
+        if not joined.isascii():
+            odd.update(i for i, c in enumerate(chunks) if not c.isascii() and FAR.search(c))
+        if not joined.isprintable():
+            odd.update(i for i, c in enumerate(chunks) if not c.isprintable())
+        for x in self.special:
+            if x in joined:
+                odd.update(i for i, c in enumerate(chunks) if x in c)
+        if odd:
+            rest = iter(self._chunks([c for i, c in enumerate(chunks) if i not in odd]))
+            return [self._whole(c) if i in odd else next(rest) for i, c in enumerate(chunks)]
+        parts = _PARTS.findall(joined.lower())
+        named = [*dict.fromkeys(parts)]
+        ids = dict(zip(named, self.parts.all(named), strict=True)) | {" ": b""}
+        each = [*map(ids.__getitem__, parts)]
+        upto = np.append(0, np.cumsum(np.fromiter(map(len, each), np.int64, len(each))))
+        cuts = upto[np.flatnonzero(np.fromiter(map(" ".__eq__, parts), bool, len(parts)))].tolist()
+        data = b"".join(each)
+        return [data[i:j] for i, j in zip([0, *cuts], [*cuts, len(data)], strict=True)] if chunks else []
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts on end, and where each text's ids begin and the last ones end."""
+        if not self.wordwise:
+            each = [self._whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(each), "<u4"), np.append(0, np.cumsum([len(x) // 4 for x in each], dtype=np.int64))
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = chunks.flatten().dictionary_encode()
+        named = coded.dictionary
+        # chunks hold no blanks, so one text with blanks between is a quick way to bring them over
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(named)], named), " ")[0].as_py().split(" ") if len(named) else []
+        ids = self.chunks.all(names)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        upto = np.append(0, np.cumsum(n))
+        source = np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], n) + np.arange(upto[-1])
+        bounds = np.append(0, np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
+        return np.frombuffer(b"".join(ids), "<u4")[source], upto[bounds]
+
+
+def blocks(text: str) -> Iterator[str]:
+    """A text in parts of about BLOCK_CHARS characters that end at blanks; longer where there is no blank, one where the text is short."""
+    at = 0
+    while at < len(text) or not at:
+        stop = at + BLOCK_CHARS
+        while stop < len(text) and text[stop] not in BLANKS:
+            stop += 1
+        yield text[at:stop]
+        at = max(stop, 1)
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in slices of about BLOCK_CHARS bytes; a longer text is alone."""
+    sizes = pc.binary_length(texts).to_pylist()
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > BLOCK_CHARS:
+            yield texts.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield texts.slice(at)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -106,35 +200,36 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids of every piece; ids are little-endian unsigned 32-bit."""
+    """Every piece with its ids (little-endian unsigned 32-bit), its row's instance, its task and its number among the task's pieces of that length.
+
+    The numbers hold for one evaluation of docs, whose rows may come in another order the next time: store the result before it is used twice.
+    """
     path = tokenizer or default_tokenizer()
-    end = np.asarray([END_ID], "<u4").tobytes()
+    names = ["doc_id", "instance", "piece", "start", "length", "ids", "task", "own"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+    def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(texts) > 1 or not encoder(path).wordwise:
+            return encoder(path).encode(texts)
+        ids = np.concatenate([encoder(path).encode(pa.array([x], pa.string()))[0] for x in blocks(texts[0].as_py())])
+        return ids, np.asarray([0, len(ids)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pieces(held: list[tuple]) -> pa.RecordBatch:
-            rows = []
-            for (doc_id, _), ids in zip(held, encoder(path).encode([t for _, t in held]), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, part))
-            return batch(rows)
-
-        held, size = [], 0
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        instance = task << TASK_BITS
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                held.append((doc_id.as_py(), text.as_py()))
-                size += len(held[-1][1])
-                if size >= BATCH_CHARS:
-                    yield pieces(held)
-                    held, size = [], 0
-        if held:
-            yield pieces(held)
+            docs_of = iter(b.column(0).to_pylist())
+            for texts in slices(b.column(1)):
+                rows: list[tuple] = []
+                ids, bounds = encoded(texts)
+                for lo, hi, doc_id in zip(bounds[:-1].tolist(), bounds[1:].tolist(), docs_of, strict=False):
+                    own = np.append(ids[lo:hi], np.uint32(END_ID)).astype("<u4", copy=False)
+                    for piece, at in enumerate(range(0, len(own), capacity)):
+                        part = own[at : at + capacity]
+                        rows.append((doc_id, instance, piece, at, len(part), part.tobytes(), task, seen[len(part)]))
+                        seen[len(part)] += 1
+                    instance += 1
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), run, PIECES)
 
@@ -185,33 +280,28 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with doc_id, piece, length) with sequence_id and offset.
-
-    pieces is read more than once: hand in a checkpointed or stored table.
-    """
+    """pieces (of ``tokenize``, stored) with sequence_id and offset in place of task and own."""
     spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # own numbers of a task and length are dense, so the last one tells the count
+    sizes = cut(pieces.groupBy("length", "task").agg((F.max("own") + 1).alias("n")))
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = F.broadcast(spark.createDataFrame(best_fit(counts, capacity), PLAN))
-    chunks = 4 * shuffle_partitions(spark)
-    dealt = pieces.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
-    sizes = dealt.groupBy("length", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("length", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    own = F.row_number().over(Window.partitionBy("length", "__chunk").orderBy("doc_id", "piece"))
-    ranked = dealt.withColumn("__own", own).join(shifts, ["length", "__chunk"]).withColumn("__rank", F.col("__shift") + F.col("__own") - 1)
-    placed = ranked.join(plan, (F.col("length") == F.col("p_length")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
-    nth = F.col("__rank") - F.col("lo")
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    ranked = pieces.join(small_side(shifts, sizes.count()), ["length", "task"]).withColumn("rank", F.col("shift") + F.col("own"))
+    placed = ranked.join(plan, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    nth = F.col("rank") - F.col("lo")
     sequence = (F.col("first") + F.floor(nth / F.col("per"))).cast("long").alias("sequence_id")
     offset = (F.col("at") + nth % F.col("per") * F.col("length")).cast("long").alias("offset")
-    return placed.select(*[F.col(c) for c in pieces.columns], sequence, offset)
+    return placed.select(*[F.col(c) for c in pieces.columns if c not in ("task", "own")], sequence, offset)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece with its ids and its slot."""
+    """Every piece with its ids and its slot: doc_id, instance, piece, start, length, ids, sequence_id, offset."""
     return assign(cut(tokenize(docs, tokenizer, capacity)), capacity)
 
 
 def pack_digests(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Every piece with the crc32 of its ids in place of the ids, and its slot."""
-    slim = tokenize(docs, tokenizer, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    slim = tokenize(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return assign(cut(slim), capacity)

@@ -4,9 +4,11 @@ import bisect
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,6 +94,45 @@ def test_packing_odd_rows(spark):
     assert [np.frombuffer(r["ids"], "<u4").tolist() for r in whole] == [ids_of("word " * 9000)[i : i + 4096] for i in (0, 4096, 8192)]
 
 
+LATIN = st.text(st.characters(min_codepoint=9, max_codepoint=0x260) | st.sampled_from("' ss<|>ΣςİI\u0301\u200d"), max_size=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(LATIN | st.sampled_from(["<|endoftext|>", "don't we'll", "x" * 60, "ß²½ 's 'S", "a\xa0b\u3000c"]), min_size=1, max_size=6))
+def test_encoder_against_the_tokenizer(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = packing.encoder(public_tokenizers.path(name))
+        assert enc.wordwise == (name == "word_bpe_49k.json")
+        ids, bounds = enc.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_caches_age(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 3)
+    enc = packing.Encoder(packing.default_tokenizer())
+    for _ in range(3):
+        for i in range(0, 40, 4):
+            texts = [f"{w}{i % 7} word {w}" for w in ("some", "more", "words")]
+            ids, bounds = enc.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [ids_of(t)[:-1] for t in texts]
+            assert len(enc.chunks.young) <= 3 + 7
+
+
+@pytest.mark.parametrize("block", [1, 50, 2 << 20])
+def test_blocks_of_texts(spark, monkeypatch, block):
+    """Rows keep their ids however texts are dealt to blocks, and repeated rows are told apart."""
+    monkeypatch.setattr(packing, "BLOCK_CHARS", block)
+    texts = [(i % 5, " ".join(f"w{i}x{j}" for j in range(i))) for i in range(40)] + [(7, "same")] * 3
+    texts = [(i, " ".join(f"w{i}" for _ in range(n % 13))) for n, (i, _) in enumerate(texts)]
+    found = [r for b in ([packing.blocks(t) for _, t in texts]) for r in [list(b)]]
+    assert ["".join(b) for b in found] == [t for _, t in texts]
+    df = spark.createDataFrame([(i, t, "x", None) for i, t in texts], DOCS).coalesce(2)
+    rows = packing.pack(df).collect()
+    assert len({(r["instance"], r["piece"]) for r in rows}) == len(rows) == len(texts)
+    assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in rows) == Counter((i, tuple(ids_of(t))) for i, t in texts)
+
+
 TEXT = st.lists(st.sampled_from(["a", " ", "\n", "<", "|", "\\", ">", "é", "\U0001f600", "im_end", "<|im_end|>", "<\\|", "<|endoftext|>", "1", "‍", "\x1f"]), max_size=20).map("".join) | st.text(max_size=15)
 
 
