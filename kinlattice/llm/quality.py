@@ -1,22 +1,28 @@
 """Quality rules whose thresholds come from the corpus itself (native DataFrame code only).
 
-Every document gets four ratios in thousandths. For each language and source, each ratio is summed
+Every document gets four ratios in thousandths. Over those that pass the base rules, for each language and source, each ratio is summed
 up in a mergeable quantile sketch: a histogram over buckets of bounded relative width (a bucket
 keeps the leading bits of the number, so its width is at most 1/32 of its value). Such
 sketches merge by adding counts, which is what a group-by with partial aggregation does: the
 shuffle carries one row per task, group, ratio and occupied bucket however many rows a group has, and
 the result doesn't depend on the order of rows. Quantiles are read from the sketch with a running sum
-over its buckets. A group with few documents takes the merged sketch of its language, and that of a
-language with few documents the merged sketch of the corpus.
+over its buckets.
 
-A ratio is out of bounds if it lies beyond median + spread * max(upper quartile - median,
-median / 16), and, where the ratio counts something unwanted, over a least slack too, so that a group in
-which the ratio is nearly always 0 doesn't reject the first document that isn't. Documents with fewer than
-``JUDGED_WORDS`` words are too short for ratios to mean anything beyond the base rules.
+Sketches are merged by weight, without a least size at which a group counts: to a source's documents come ``PRIOR`` documents spread
+as those of its language, and to a language's as many spread as those of the corpus. So a source of ten documents has nearly the
+quantiles of its language, and one of a million its own.
+
+Bounds. A mean word length is out of bounds if it is further from the median than ``WIDE`` times the distance of the quartiles and
+one bucket. The other
+ratios count what is unwanted, and in most sources most documents have none of it, so the quartiles of all documents may be 0; then the
+quantiles of the non-zero part tell what is usual where it occurs at all. Their bound is the larger of upper quartile + ``SPREAD`` * (upper quartile - median)
+and a multiple of a quantile of the non-zero part (see ``RATIOS``: symbols are tolerated up to half of the lower quartile, repeated lines and words
+up to a multiple of the upper one). A source full of junk can't lift its own bounds out of reach: none is more than
+``REACH`` times that of the whole corpus.
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages and sources form
-groups of their own; repeated rows count each; an empty table gives an empty result; columns other
-than doc_id, text, lang and source are ignored (``filter_documents`` returns them unchanged).
+groups of their own; ties fall in one bucket and repeated rows count each; very long texts are measured whole; an empty table gives an empty result; columns
+other than doc_id, text, lang and source, whatever their names, are ignored (``filter_documents`` returns them unchanged).
 """
 
 from __future__ import annotations
@@ -28,16 +34,17 @@ from .common import cut, let, small_side, text_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Ratio -> (numerator, denominator, least bound in thousandths).
+#: Ratio -> (numerator, denominator, quarter of the non-zero part, its multiple, and that by which it is divided).
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 0),
-    "symbols": ("n_symbols", "n_words", 100),
-    "dup_lines": ("n_dup_lines", "n_lines", 400),
-    "repeats": ("n_repeat_words", "n_words", 250),
+    "word_length": ("word_chars", "n_words", 2, 0, 1),
+    "symbols": ("n_symbols", "n_words", 1, 1, 2),
+    "dup_lines": ("n_dup_lines", "n_lines", 3, 2, 1),
+    "repeats": ("n_repeat_words", "n_words", 3, 8, 1),
 }
+PRIOR = 100
+WIDE = 5
 SPREAD = 12
-LEAST_DOCUMENTS = 200
-JUDGED_WORDS = 50
+REACH = 2
 FINE_BITS = 6
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
@@ -73,14 +80,15 @@ def _repeated_words(words: Column) -> Column:
     return let(words, windows)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every whole text; one narrow pass."""
+def measure(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, lang, source, the columns of keep, and the counts of every whole text; one narrow pass."""
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return docs.select(
         "doc_id",
         "lang",
         "source",
+        *keep,
         let(_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), _repeated_words(w).cast("long").alias("r"))).alias("w"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
@@ -88,6 +96,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        *keep,
         F.col("w.n").alias("n_words"),
         F.col("w.c").alias("word_chars"),
         "n_symbols",
@@ -97,8 +106,12 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def ratio(name: str) -> Column:
-    top, bottom, _ = RATIOS[name]
+    top, bottom = RATIOS[name][:2]
     return F.when(F.col(bottom) > 0, F.floor(F.col(top) * 1000 / F.col(bottom))).otherwise(F.lit(0)).cast("long")
 
 
@@ -110,38 +123,54 @@ def bucket(value: Column) -> Column:
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """lang, source, ratio, bucket, n: the mergeable sketches, one per language, source and ratio."""
+    """lang, source, ratio, bucket, n: the mergeable sketches of the documents that pass the base rules, one per language, source and ratio."""
     pairs = F.array(*[F.struct(F.lit(n).alias("ratio"), bucket(ratio(n)).alias("bucket")) for n in RATIOS])
-    return measured.select("lang", "source", F.explode(pairs).alias("p")).groupBy("lang", "source", "p.ratio", "p.bucket").agg(F.count(F.lit(1)).alias("n"))
+    return measured.where(~base_failed()).select("lang", "source", F.explode(pairs).alias("p")).groupBy("lang", "source", "p.ratio", "p.bucket").agg(F.count(F.lit(1)).alias("n"))
+
 
+def _merged(own: DataFrame, keys: list[str], wider: DataFrame, on: list[str]) -> DataFrame:
+    """keys, ratio, bucket, weight: own (keys, ratio, bucket, weight), and PRIOR documents of a thousand each for every group of keys, spread as the wider sketches.
 
-def _bounds(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """keys, n documents and one bound per ratio, from the sketches merged to those keys."""
-    merged = sketches.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+    wider: on, ratio, bucket, weight. A group's ratio meets the wider buckets of that ratio, which are some hundreds.
+    """
+    share = wider.withColumn("total", F.sum("weight").over(Window.partitionBy(*on, "ratio")))
+    share = share.select(*[F.col(k).alias(f"w_{k}") for k in on], F.col("ratio").alias("w_ratio"), "bucket", F.floor(F.col("weight").cast("double") * float(1000 * PRIOR) / F.col("total").cast("double")).cast("long").alias("weight"))
+    share = cut(share)
+    match = F.col("ratio") == F.col("w_ratio")
+    for k in on:
+        match = match & F.col(k).eqNullSafe(F.col(f"w_{k}"))
+    prior = own.select(*keys, "ratio").distinct().join(small_side(share, share.count()), match).select(*keys, "ratio", "bucket", "weight")
+    return own.unionByName(prior).groupBy(*keys, "ratio", "bucket").agg(F.sum("weight").alias("weight"))
+
+
+def _bounds(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, and for each ratio low_, high_ (long): what a document may have, from weighted sketches."""
     group = Window.partitionBy(*keys, "ratio")
-    run = merged.select(*keys, "ratio", "bucket", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"))
-    at = lambda p, q: F.min(F.when(F.col("upto") * q >= F.col("total") * p, F.col("bucket")))
-    marks = run.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), at(1, 2).alias("mid"), at(3, 4).alias("high"))
-    bound = F.col("mid") + SPREAD * F.greatest(F.col("high") - F.col("mid"), F.floor(F.col("mid") / 16))
-    slack = F.create_map(*[x for n, r in RATIOS.items() for x in (F.lit(n), F.lit(r[2]))])
-    marks = marks.withColumn("bound", F.greatest(bound, slack[F.col("ratio")]).cast("long"))
-    return marks.groupBy(*keys).agg(F.max("total").alias(f"{name}_n"), *[F.max(F.when(F.col("ratio") == n, F.col("bound"))).alias(f"{name}_{n}") for n in RATIOS])
+    zero = F.sum(F.when(F.col("bucket") == 0, F.col("weight")).otherwise(F.lit(0)))
+    run = sketches.select(*keys, "ratio", "bucket", F.sum("weight").over(group.orderBy("bucket")).alias("upto"), F.sum("weight").over(group).alias("total"), zero.over(group).alias("zero"))
+    quarter = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
+    own = lambda i: F.element_at(F.create_map(*[x for n, r in RATIOS.items() for x in (F.lit(n), F.lit(r[i]))]), F.col("ratio"))
+    usual = F.min(F.when((F.col("bucket") > 0) & ((F.col("upto") - F.col("zero")) * 4 >= (F.col("total") - F.col("zero")) * own(2)), F.col("bucket")))
+    marks = run.groupBy(*keys, "ratio").agg(quarter(1).alias("low"), quarter(2).alias("mid"), quarter(3).alias("high"), usual.alias("usual"))
+    apart = WIDE * (F.col("high") - F.col("low") + F.floor(F.col("mid") / 32))
+    unwanted = F.greatest(F.col("high") + SPREAD * (F.col("high") - F.col("mid")), F.floor(F.coalesce("usual", F.lit(0)) * own(3) / own(4)))
+    length = F.col("ratio") == "word_length"
+    marks = marks.select(*keys, "ratio", "mid", F.when(length, apart).otherwise(unwanted).cast("long").alias("reach"))
+    return marks
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """lang, source and the bound on each ratio, falling back to the language and then to the corpus."""
-    sketches = cut(sketch(measured))
-    one = _bounds(sketches, ["lang", "source"], "own")
-    lang = _bounds(sketches, ["lang"], "lang").withColumnRenamed("lang", "l")
-    # one row: the corpus; the key is there so that no join is a cross join
-    corpus = _bounds(sketches.withColumn("k", F.lit(1)), ["k"], "all")
-    joined = one.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("k", F.lit(1)).join(corpus, "k")
-    pick = lambda n: F.when(F.col("own_n") >= LEAST_DOCUMENTS, F.col(f"own_{n}")).when(F.col("lang_n") >= LEAST_DOCUMENTS, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
-    return cut(joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(n).alias(f"max_{n}") for n in RATIOS]))
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    """t_lang, t_source, and what each ratio must not be below (min_word_length) or above (max_...): one row per language and source."""
+    fine = cut(sketch(measured)).withColumn("weight", F.col("n") * 1000).drop("n")
+    coarse = fine.groupBy("ratio", "bucket").agg(F.sum("weight").alias("weight"))
+    langs = cut(_merged(fine.groupBy("lang", "ratio", "bucket").agg(F.sum("weight").alias("weight")), ["lang"], coarse, []))
+    own = _bounds(_merged(fine, ["lang", "source"], langs, ["lang"]), ["lang", "source"])
+    # at most one row per ratio
+    most = F.broadcast(_bounds(coarse, []).select(F.col("ratio").alias("r"), (F.col("reach") * REACH).alias("most")))
+    own = own.join(most, F.col("ratio") == F.col("r")).withColumn("reach", F.least("reach", "most"))
+    of = lambda n, v: F.max(F.when(F.col("ratio") == n, v))
+    length = [of("word_length", F.col("mid") - F.col("reach")).alias("min_word_length"), of("word_length", F.col("mid") + F.col("reach")).alias("max_word_length")]
+    return cut(own.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*length, *[of(n, F.col("reach")).alias(f"max_{n}") for n in list(RATIOS)[1:]]))
 
 
 def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -150,12 +179,13 @@ def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     bounds has one row per language and source; it is counted before it is broadcast.
     """
     joined = measured.join(small_side(bounds, bounds.count()), F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    reason = F.coalesce(*[F.when((F.col("n_words") >= JUDGED_WORDS) & (ratio(n) > F.col(f"max_{n}")), F.lit(n)) for n in RATIOS])
+    short = F.when(ratio("word_length") < F.col("min_word_length"), F.lit("word_length"))
+    reason = F.coalesce(short, *[F.when(ratio(n) > F.col(f"max_{n}"), F.lit(n)) for n in RATIOS])
     return joined.withColumn("base_failed", base_failed()).withColumn("reason", reason).withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull())
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, base_failed, kept and the reason of a rejection."""
+    """One row per document: counts, base_failed, kept and the reason of a rejection (null in those that only fail a base rule)."""
     measured = cut(measure(docs))
     return judge(measured, thresholds(measured)).select("doc_id", *NAMES[:5], "base_failed", "kept", "reason")
 
@@ -163,11 +193,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    The counts are made twice, for the sketches and for the verdicts, so that no text is shuffled.
+    Documents are stored beside their counts, so that each text is measured once and none is shuffled.
     """
-    bounds = thresholds(measure(docs))
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)], "doc_id", "lang", "source", "text")
-    rows = F.struct(*[F.col(f"__{i}") for i in range(len(docs.columns))])
-    measured = measure(carried.select(rows.alias("doc_id"), "lang", "source", "text"))
-    kept = judge(measured, bounds).where("kept")
-    return kept.select(*[F.col(f"doc_id.__{i}").alias(c) for i, c in enumerate(docs.columns)])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)])
+    measured = cut(measure(docs.select(row.alias("__row"), "doc_id", "lang", "source", "text"), "__row"))
+    kept = judge(measured, thresholds(measured)).where("kept")
+    return kept.select(*[F.col(f"__row.__{i}").alias(c) for i, c in enumerate(docs.columns)])

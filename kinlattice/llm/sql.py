@@ -34,21 +34,28 @@ p AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 E
         CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS r2,
         CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS r3,
         CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS r4 FROM m),
-long AS (SELECT lang, source, ratio, v FROM p UNPIVOT (v FOR ratio IN (r1, r2, r3, r4))),
-b AS (SELECT lang, source, ratio, v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)::INT) AS bucket FROM long),
-q1 AS (SELECT lang, source, ratio, count(*) AS n, quantile_disc(bucket, 0.5) AS mid, quantile_disc(bucket, 0.75) AS high FROM b GROUP BY ALL),
-q2 AS (SELECT lang, ratio, count(*) AS n, quantile_disc(bucket, 0.5) AS mid, quantile_disc(bucket, 0.75) AS high FROM b GROUP BY ALL),
-q3 AS (SELECT ratio, count(*) AS n, quantile_disc(bucket, 0.5) AS mid, quantile_disc(bucket, 0.75) AS high FROM b GROUP BY ALL),
-t AS (SELECT q1.lang, q1.source, q1.ratio,
-        CASE WHEN q1.n >= 200 THEN q1.mid WHEN q2.n >= 200 THEN q2.mid ELSE q3.mid END AS mid,
-        CASE WHEN q1.n >= 200 THEN q1.high WHEN q2.n >= 200 THEN q2.high ELSE q3.high END AS high
-      FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.ratio = q2.ratio JOIN q3 ON q1.ratio = q3.ratio),
-u AS (SELECT lang, source, ratio, greatest(mid + 12 * greatest(high - mid, mid // 16), CASE ratio WHEN 'r2' THEN 100 WHEN 'r3' THEN 400 WHEN 'r4' THEN 250 ELSE 0 END) AS bound FROM t),
-v AS (SELECT lang, source, max(bound) FILTER (ratio = 'r1') AS b1, max(bound) FILTER (ratio = 'r2') AS b2,
-        max(bound) FILTER (ratio = 'r3') AS b3, max(bound) FILTER (ratio = 'r4') AS b4 FROM u GROUP BY ALL),
+long AS (SELECT lang, source, ratio, v FROM (SELECT * FROM p WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words) UNPIVOT (v FOR ratio IN (r1, r2, r3, r4))),
+b AS (SELECT lang, source, ratio, v - v % (1::BIGINT << greatest(length(bin(v)) - 6, 0)::INT) AS bucket, 1000 * count(*) AS weight FROM long GROUP BY ALL),
+-- the corpus, then languages with a prior of the corpus, then sources with a prior of their language
+q3 AS (SELECT ratio, bucket, sum(weight)::BIGINT AS weight FROM b GROUP BY ALL),
+s3 AS (SELECT ratio, bucket, floor(weight::DOUBLE * 100000::DOUBLE / (sum(weight) OVER (PARTITION BY ratio))::DOUBLE)::BIGINT AS weight FROM q3),
+q2 AS (SELECT lang, ratio, bucket, sum(weight)::BIGINT AS weight FROM (SELECT lang, ratio, bucket, weight FROM b
+  UNION ALL SELECT lang, g.ratio, bucket, weight FROM (SELECT DISTINCT lang, ratio FROM b) g JOIN s3 ON g.ratio = s3.ratio) GROUP BY ALL),
+s2 AS (SELECT lang, ratio, bucket, floor(weight::DOUBLE * 100000::DOUBLE / (sum(weight) OVER (PARTITION BY lang, ratio))::DOUBLE)::BIGINT AS weight FROM q2),
+q1 AS (SELECT lang, source, ratio, bucket, sum(weight)::BIGINT AS weight FROM (SELECT * FROM b
+  UNION ALL SELECT g.lang, g.source, g.ratio, bucket, weight FROM (SELECT DISTINCT lang, source, ratio FROM b) g JOIN s2 ON g.lang IS NOT DISTINCT FROM s2.lang AND g.ratio = s2.ratio) GROUP BY ALL),
+every AS (SELECT false AS whole, lang, source, ratio, bucket, weight FROM q1 UNION ALL SELECT true, NULL, NULL, ratio, bucket, weight FROM q3),
+run AS (SELECT *, sum(weight) OVER (PARTITION BY whole, lang, source, ratio ORDER BY bucket) AS upto, sum(weight) OVER g AS total,
+        coalesce(sum(weight) FILTER (bucket = 0) OVER g, 0) AS zero FROM every WINDOW g AS (PARTITION BY whole, lang, source, ratio)),
+marks AS (SELECT whole, lang, source, ratio, min(bucket) FILTER (upto * 4 >= total) AS low, min(bucket) FILTER (upto * 2 >= total) AS mid, min(bucket) FILTER (upto * 4 >= total * 3) AS high,
+        coalesce(min(bucket) FILTER (bucket > 0 AND (upto - zero) * 4 >= (total - zero) * CASE ratio WHEN 'r2' THEN 1 ELSE 3 END), 0) AS usual FROM run GROUP BY ALL),
+reach AS (SELECT whole, lang, source, ratio, mid, CASE ratio WHEN 'r1' THEN 5 * (high - low + mid // 32) ELSE greatest(high + 12 * (high - mid), CASE ratio WHEN 'r2' THEN usual // 2 WHEN 'r3' THEN 2 * usual ELSE 8 * usual END) END AS reach FROM marks),
+v AS (SELECT a.lang, a.source, max(a.mid - least(a.reach, 2 * c.reach)) FILTER (a.ratio = 'r1') AS b0, max(a.mid + least(a.reach, 2 * c.reach)) FILTER (a.ratio = 'r1') AS b1,
+        max(least(a.reach, 2 * c.reach)) FILTER (a.ratio = 'r2') AS b2, max(least(a.reach, 2 * c.reach)) FILTER (a.ratio = 'r3') AS b3, max(least(a.reach, 2 * c.reach)) FILTER (a.ratio = 'r4') AS b4
+      FROM reach a JOIN reach c ON a.ratio = c.ratio AND c.whole AND NOT a.whole GROUP BY ALL),
 j AS (SELECT p.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        n_words >= 50 AND (r1 > b1 OR r2 > b2 OR r3 > b3 OR r4 > b4) AS bad
-      FROM p JOIN v ON p.lang IS NOT DISTINCT FROM v.lang AND p.source IS NOT DISTINCT FROM v.source)
+        coalesce(r1 < b0 OR r1 > b1 OR r2 > b2 OR r3 > b3 OR r4 > b4, false) AS bad
+      FROM p LEFT JOIN v ON p.lang IS NOT DISTINCT FROM v.lang AND p.source IS NOT DISTINCT FROM v.source)
 """
 )
 

@@ -106,6 +106,53 @@ def test_verdicts_are_adaptive(spark):
     assert left.columns == frame(spark).columns and {r["doc_id"] for r in left.collect()} == {k for k, v in kept.items() if v}
 
 
+def bounds_of(spark, rows):
+    return {(r["t_lang"], r["t_source"]): r for r in quality.thresholds(quality.measure(frame(spark, rows))).collect()}
+
+
+def test_bounds_follow_their_group(spark):
+    """A group's distribution moves its own bound of each ratio, and the bound rejects; groups of one document lean on their language."""
+    rng = random.Random(5)
+    word = lambda n=5: "".join(rng.choice("abcdefghij") for _ in range(n))
+
+    def doc(length=5, symbols=0, dups=0, repeats=0):
+        words = [word(length + rng.randrange(3)) for _ in range(90 - symbols)] + ["|"] * symbols
+        rng.shuffle(words)
+        lines = [" ".join(words[i : i + 9]) for i in range(0, 90, 9)]
+        return "\n".join(lines + lines[:1] * dups + [" ".join(words[:4])] * repeats)
+
+    rare = lambda i: {"symbols": 2 * (i % 12 == 0), "dups": i % 15 == 0, "repeats": i % 11 == 0}
+    rows = [(i, doc(**rare(i)), "en", f"s{i % 4}", "x", 0) for i in range(1200)] + [(9000, doc(), "en", "lone", "x", 0), (9001, doc(), None, None, "x", 0)]
+    plain = bounds_of(spark, rows)
+    assert set(plain) == {("en", "s0"), ("en", "s1"), ("en", "s2"), ("en", "s3"), ("en", "lone"), (None, None)}
+    moved = {
+        "max_word_length": lambda i: {"length": 5 + i % 2 * 4},
+        "max_symbols": lambda i: {"symbols": rng.randrange(5)},
+        "max_dup_lines": lambda i: {"dups": rng.randrange(3)},
+        "max_repeats": lambda i: {"repeats": rng.randrange(3)},
+    }
+    for name, how in moved.items():
+        changed = [(i, doc(**(rare(i) | how(i))) if i % 4 == 1 else t, *r) for i, t, *r in rows[:1200]] + rows[1200:]
+        now = bounds_of(spark, changed)
+        assert now["en", "s1"][name] > 1.1 * plain["en", "s1"][name] > 0, name
+        assert abs(now["en", "s2"][name] - plain["en", "s2"][name]) <= 0.2 * plain["en", "s2"][name], name
+        assert now["en", "s2"][name] <= now["en", "lone"][name] <= now["en", "s1"][name], name  # of the language's documents
+    bad = [(20000, doc(length=25), "en", "s0", "x", 0), (20001, doc(symbols=50), "en", "s0", "x", 0), (20002, doc(dups=20), "en", "s0", "x", 0), (20003, doc(length=1), "en", "s0", "x", 0)]
+    found = {r["doc_id"]: r for r in quality.quality_rules(frame(spark, rows + bad)).collect()}
+    assert not any(found[r[0]]["kept"] for r in bad) and found[20000]["reason"] == found[20003]["reason"] == "word_length"
+    assert sum(found[r[0]]["kept"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_junk_cannot_lift_its_own_bounds(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    doc = lambda junk: " ".join(f"{word()} ###" if junk else f"{word()} {word()}" for _ in range(60))
+    rows = [(i, doc(i % 8 == 0 and i % 3 > 0), "en", "junk" if i % 8 == 0 else "fine", "x", 0) for i in range(1600)]
+    found = {r["doc_id"]: r["kept"] for r in quality.quality_rules(frame(spark, rows)).collect()}
+    assert not any(found[i] for i in range(0, 1600, 8) if i % 3)
+    assert all(found[i] for i in range(1600) if i % 8 or not i % 3)
+
+
 def test_quality_of_odd_rows_and_nothing(spark):
     assert quality.quality_rules(frame(spark)).count() == len(ROWS)
     assert quality.filter_documents(frame(spark)).count() == 0  # all short or repetitive
