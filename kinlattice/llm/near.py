@@ -5,11 +5,11 @@ so that a repeated run counts as often as it is there. For each of ``SKETCHES``
 labelled k-mers with the smallest hashes are taken in the order of the text (Marcais et al., 2019): two texts agree in a sketch if
 the same k-mers come first in the same order, which falls with edit distance and not only with the overlap of sets.
 
-Texts that agree in a sketch are candidates, less those that can't have enough runs in common, by an exact bound from the number of
-runs in each of 128 cells, as with texts that share a passage. A candidate pair is verified by an alignment of the two word
-sequences in a band of diagonals that widens with the number of edits, up to what the
-threshold allows. Its similarity is the number of five-word runs that the alignment keeps, over the number of runs in either
-text; at 0.8 or more the texts are linked. Classes are connected components.
+Texts that agree in a sketch are candidates, less those that can't have enough words in common, by an exact bound from the number of
+words in each of 128 cells. A candidate pair is verified by an alignment of the two word sequences in the band of diagonals that
+the threshold allows, column by column with a column's differences in the bits of two whole numbers (Myers, 1999). Its similarity is
+1 - edits / words of the longer text, with insertions, deletions and substitutions of words as edits; at 0.8 or more the
+texts are linked. Classes are connected components.
 
 Identical texts collapse first and are one node. Within a bucket a leader is compared with each other node, a
 number of pairs linear in the bucket. Leaders are chosen by popularity, the summed sizes of a node's buckets: copies
@@ -18,11 +18,11 @@ collapse to their component, and in buckets that still hold several components t
 with the nodes of all others (3, then 7, then 15, and fewer in larger buckets, see ``LEADERS``), until a round
 links nothing new or has the full width. These rounds only spare work: a component's leader needn't be in a bucket, nor all its nodes be compared there. So all
 untested pairs of several components in a bucket of up to 64 nodes follow, and the nodes of larger buckets that still hold several components
-go through an exact prefix filter on labelled runs (see ``_sharing``), whichever of their buckets the rounds searched. Every pair that agrees in
-a sketch is then in one class, or tested, or excluded by an exact bound.
+go through an exact prefix filter on labelled words (see ``_sharing``), whichever of their buckets the rounds searched. Every pair that agrees in
+a sketch is then in one class, or tested, or excluded by an exact bound; pairs at the threshold that agree in no sketch are the only loss.
 
 Defined cases: a null text is empty; equal texts, the empty one included, form a class; a text of fewer than five words has one
-k-mer, the whole of it; rows without words are linked to identical texts only; a null doc_id is kept, and a
+k-mer, the whole of it; rows without words are linked to identical texts only; memory for a pair of very long texts is linear in them; a null doc_id is kept, and a
 class is named by its smallest doc_id (null if it has none); an empty table gives an empty result; other columns
 are ignored (``drop_near_copies`` keeps them).
 """
@@ -41,24 +41,28 @@ from .common import beside, compact, cut, map_arrow, small_side, text_of, words
 from .graph import absorb
 
 K = 5
-SKETCHES = 16
-LENGTH = 3
+SKETCHES = 24
+LENGTH = 2
 THRESHOLD = 0.8
 #: (nodes of a bucket up to, components whose leaders are compared with all its nodes by the rounds). What they leave out follows.
 LEADERS = ((64, 15), (None, 7))
 WIDEST = 15
 #: Large buckets that a node is searched in by the rounds of leaders, its largest ones; the exact pass behind them covers all.
 CROWDS = 2
-#: Cells in which the labelled runs of a text are counted by hash, to bound how many two texts can have in common.
+#: Cells in which the words of a text are counted by hash, to bound how many two texts can have in common.
 CELLS = 128
-#: Runs before a run in common that are looked at for one in common before, so that a pair is made once and not for each.
-EARLIER = 32
-#: Words whose hashes a worker keeps.
+#: Cells in which the words of all texts of the prefix filter are counted, so that rare ones come first: 1 MB.
+RARITY_BITS = 18
+#: Words whose hashes a worker keeps, and words that it sketches together; a longer text is alone.
 CACHED = 100_000
+TOGETHER = 200_000
+#: Columns of an alignment between moves of its band.
+STEP = 512
 _RNG = np.random.default_rng(20_190_708)
-_SEEDS = _RNG.integers(0, 2**64, SKETCHES, dtype=np.uint64)[:, None]
-_ODD = (_RNG.integers(0, 2**64, SKETCHES, dtype=np.uint64) | np.uint64(1))[:, None]
+_SEEDS = _RNG.integers(0, 2**64, SKETCHES, dtype=np.uint64)
+_ODD = _RNG.integers(0, 2**64, SKETCHES, dtype=np.uint64) | np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_NONE = np.uint64(2**64 - 1)
 
 
 class Hashes(dict):
@@ -88,10 +92,11 @@ def runs(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled(r: np.ndarray) -> np.ndarray:
-    """Run hashes mixed with the number of the occurrence."""
-    order = np.argsort(r, kind="stable")
-    s = r[order]
+def labelled(r: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Hashes mixed with the number of their occurrence, in each of the texts that ``of`` names if given."""
+    keys = r if of is None else r ^ (of.astype(np.uint64) + np.uint64(1)) * _P
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
     new = np.append(True, s[1:] != s[:-1])
     if new.all():
         return r
@@ -101,114 +106,147 @@ def labelled(r: np.ndarray) -> np.ndarray:
     return r + nth * _Q
 
 
-def order_minhash(r: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes, each of the LENGTH smallest labelled runs in text order."""
-    x = labelled(r)
-    n = min(LENGTH, len(x))
-    out = np.zeros(SKETCHES, np.uint64)
-    step = max(1, min(SKETCHES, 2_000_000 // max(1, len(x))))
-    for j in range(0, SKETCHES, step):
-        y = (x[None, :] ^ _SEEDS[j : j + step]) * _ODD[j : j + step]
-        y ^= y >> np.uint64(32)
-        y *= _Q
-        at = np.sort(np.argpartition(y, n - 1, axis=1)[:, :n], axis=1)
-        for c in range(n):
-            out[j : j + step] = (out[j : j + step] ^ (out[j : j + step] >> np.uint64(31))) * _P + x[at[:, c]]
+def cell_of(h: np.ndarray, bits: int) -> np.ndarray:
+    y = h * _P
+    y = (y ^ (y >> np.uint64(32))) * _Q
+    return (y >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def order_minhash(hashes: list[np.ndarray]) -> np.ndarray:
+    """Per text (all with words) SKETCHES hashes, each of the LENGTH smallest labelled runs in text order."""
+    each = [runs(h) for h in hashes]
+    sizes = np.asarray([len(r) for r in each])
+    starts = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(each)), sizes)
+    x = labelled(np.concatenate(each), of)
+    place = np.arange(len(x), dtype=np.uint64) - starts[of].astype(np.uint64)
+    out = np.zeros((len(each), SKETCHES), np.uint64)
+    inner = np.uint64((1 << max(20, int(sizes.max()).bit_length())) - 1)
+    for j in range(SKETCHES):
+        y = (x ^ _SEEDS[j]) * _ODD[j]
+        # the low bits of what is minimised are the place
+        y = (y & ~inner) | place
+        found = np.empty((LENGTH, len(each)), np.uint64)
+        for c in range(LENGTH):
+            found[c] = least = np.minimum.reduceat(y, starts)
+            there = np.flatnonzero(least != _NONE)
+            y[starts[there] + (least[there] & inner).astype(np.int64)] = _NONE
+        found = np.sort(np.where(found == _NONE, _NONE, found & inner), axis=0)
+        value = np.zeros(len(each), np.uint64)
+        for c in range(LENGTH):
+            held = found[c] != _NONE
+            run = x[starts + np.where(held, found[c], np.uint64(0)).astype(np.int64)]
+            value = np.where(held, (value ^ (value >> np.uint64(31))) * _P + run, value)
+        out[:, j] = value
     return out
 
 
-def cells(r: np.ndarray) -> list[int] | None:
-    """The number of labelled runs in each of CELLS cells by hash; None if one passes a short."""
-    y = labelled(r) * _P
-    y = (y ^ (y >> np.uint64(32))) * _Q
-    n = np.bincount((y >> np.uint64(57)).astype(np.int64), minlength=CELLS)
-    return None if n.max() > 32_767 else n.tolist()
+def cells(hashes: list[np.ndarray]) -> np.ndarray:
+    """Per text the number of words in each of CELLS cells by hash."""
+    of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    at = cell_of(np.concatenate(hashes), CELLS.bit_length() - 1)
+    return np.bincount(of * CELLS + at, minlength=CELLS * len(hashes)).reshape(-1, CELLS)
+
+
+def _masks(rows: np.ndarray, columns: list[int]) -> dict[int, int]:
+    """For the words of the columns: the rows that hold them, as bits."""
+    found: dict[int, int] = {}
+    if len(rows) <= 4 * STEP:
+        for i, x in enumerate(rows.tolist()):
+            found[x] = found.get(x, 0) | 1 << i
+    else:
+        for x in set(columns):
+            if (here := rows == np.uint64(x)).any():
+                found[x] = int.from_bytes(np.packbits(here, bitorder="little").tobytes(), "little")
+    return found
 
 
-def aligned_runs(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Five-word runs kept by a least-edit alignment of a and b; None if that needs more than ``most`` edits.
+def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Insertions, deletions and substitutions that turn a into b at the least; None if more than ``most``.
 
-    Edits are insertions and deletions. With d edits only the diagonals -d..d can be reached; for each the furthest
-    row is kept (Ukkonen's band). Rows advance along all diagonals of a band together, by steps of halving
-    length that compare prefix sums, so that memory is that of the two texts and of the band's history.
+    A column of the table of distances is kept as the differences of neighbours, +1 in ``up`` and -1 in ``down``. Only rows within ``most``
+    of the diagonal are kept: beyond, distances are taken to grow by 1 a step, which is never too low, and no way
+    of at most ``most`` edits leads there.
     """
-    na, nb = len(a), len(b)
-    powers = np.cumprod(np.append(np.uint64(1), np.full(max(na, nb), _P)))
-    sa = np.append(np.uint64(0), np.cumsum(a * powers[:na]))
-    sb = np.append(np.uint64(0), np.cumsum(b * powers[:nb]))
-    steps = [1 << e for e in range(min(na, nb).bit_length() - 1, -1, -1)]
-
-    def slide(i: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """From rows i along diagonals k (column - row) to the first mismatch."""
-        j = i + k
-        room = np.minimum(na - i, nb - j)
-        got = np.zeros_like(i)
-        for step in steps:
-            can = got + step <= room
-            if not can.any():
-                continue
-            x, y = np.where(can, i + got, 0), np.where(can, j + got, 0)
-            xe, ye = np.where(can, x + step, 0), np.where(can, y + step, 0)
-            same = can & ((sa[xe] - sa[x]) * powers[y] == (sb[ye] - sb[y]) * powers[x])
-            got = got + same * step
-        return i + got
-
-    goal = nb - na
-    history: list[tuple[np.ndarray, np.ndarray]] = []
-    none = -(1 << 40)
-    for d in range(most + 1):
-        k = np.arange(-d, d + 1, 2)
-        if d == 0:
-            start = np.zeros(1, np.int64)
-        else:
-            end = history[-1][1]
-            start = np.maximum(np.append(none, end), np.append(end + 1, none))  # from diagonal k - 1, and down from k + 1
-        fine = (start >= 0) & (start <= na) & (start + k >= 0) & (start + k <= nb)
-        end = np.where(fine, slide(np.where(fine, start, 0), np.where(fine, k, 0)), none)
-        history.append((np.where(fine, start, none).astype(np.int64), end.astype(np.int64)))
-        if (goal + d) % 2 == 0 and abs(goal) <= d and end[(goal + d) // 2] == na:
-            break
-    else:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
+    tail = n - 1 - int(differ[-1]) if len(differ) else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if abs(len(a) - len(b)) > most:
         return None
-    kept, k = 0, goal
-    for d in range(len(history) - 1, -1, -1):
-        start, end = (int(x[(k + d) // 2]) for x in history[d])
-        kept += max(0, end - start - K + 1)
-        if d:
-            before, at = history[d - 1][1], (k + 1 + d - 1) // 2
-            k = k + 1 if at < len(before) and before[at] + 1 == start else k - 1
-    return kept
+    lo = hi = up = down = score = 0
+    for at in range(0, len(b), STEP):
+        part = b[at : at + STEP].tolist()
+        lo, before, bottom, hi = max(0, at - most), lo, hi, min(len(a), at + len(part) + most)
+        up = up >> (lo - before) | ((1 << (hi - bottom)) - 1) << (bottom - lo)
+        down >>= lo - before
+        score += hi - bottom
+        if hi == lo:
+            return len(b) if len(b) <= most else None
+        every, last = (1 << (hi - lo)) - 1, 1 << (hi - lo - 1)
+        masks = _masks(a[lo:hi], part)
+        for x in part:
+            same = masks.get(x, 0)
+            level = (((same & up) + up) ^ up) | same | down
+            right, left = down | every & ~(level | up), up & level
+            score += (1 if right & last else 0) - (1 if left & last else 0)
+            right, left = right << 1 & every | 1, left << 1 & every
+            up, down = left | every & ~(level | right), right & level
+    if not len(b):
+        score = len(a)
+    return score if score <= most else None
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Kept runs over all runs of two sequences of word hashes; 0 where that is below the threshold for certain."""
-    if len(a) < K or len(b) < K:
-        return float(len(a) == len(b) and bool((a == b).all()) and len(a) > 0)
-    ra, rb = runs(a), runs(b)
-    la, lb = np.sort(labelled(ra)), np.sort(labelled(rb))
+    """1 - edits / words of the longer of two sequences of word hashes; 0 where that is below the threshold."""
+    longer = max(len(a), len(b))
+    if not len(a) or not len(b):
+        return 0.0
+    most = int((1 - threshold) * longer + 1e-9)
+    la, lb = np.sort(labelled(a)), np.sort(labelled(b))
     common = int((la[np.minimum(np.searchsorted(la, lb), len(la) - 1)] == lb).sum())
-    total = len(ra) + len(rb)
-    if common < threshold * (total - common):
+    if common < longer - most:
         return 0.0
-    # kept >= t * (total - kept) leaves (1 - t) / (1 + t) of the runs to lose, and each edit loses one at least
-    most = int(total * (1 - threshold) / (1 + threshold)) + 1
-    kept = aligned_runs(a, b, most)
-    return 0.0 if kept is None else kept / (total - kept)
+    d = edits(a, b, most)
+    return 0.0 if d is None else 1 - d / longer
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (md5 of the text), n_words, the order MinHash sketch and the cells of every row."""
     names = ["doc_id", "key", "n_words", "sketch", "cells"]
 
+    def lists(rows: np.ndarray, of: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+        """n lists; those of ``of`` are the rows, the others are null."""
+        sizes = np.zeros(n, np.int64)
+        sizes[of] = rows.shape[1] if len(of) else 0
+        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(rows.reshape(-1), kind), mask=pa.array(sizes == 0))
+
+    def told(ids: pa.Array, keys: pa.Array, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.asarray([len(h) for h in hashes], np.int64)
+        of = np.flatnonzero(n)
+        held = [hashes[i] for i in of]
+        sketch = order_minhash(held).view(np.int64) if held else np.zeros((0, SKETCHES), np.int64)
+        low = cells(held) if held else np.zeros((0, CELLS), np.int64)
+        few = low.max(axis=1, initial=0) <= 32_767
+        return pa.record_batch([ids, keys, pa.array(n), lists(sketch, of, len(n), pa.int64()), lists(low[few], of[few], len(n), pa.int16())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, out, low = [], [], []
-            for text in b.column(2):
+            at, size, hashes = 0, 0, []
+            for i, text in enumerate(b.column(2)):
                 h = word_hashes(text.as_py())
-                n.append(len(h))
-                out.append(order_minhash(runs(h)).view(np.int64) if len(h) else [])
-                low.append(cells(runs(h)) if len(h) else None)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int16()))], names=names)
+                if hashes and size + len(h) > TOGETHER:
+                    yield told(b.column(0).slice(at, i - at), b.column(1).slice(at, i - at), hashes)
+                    at, size, hashes = i, 0, []
+                hashes.append(h)
+                size += len(h)
+            if hashes:
+                yield told(b.column(0).slice(at), b.column(1).slice(at), hashes)
 
     text = text_of()
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("key"), text.alias("text")), run, "doc_id long, key string, n_words long, sketch array<long>, cells array<smallint>")
@@ -246,13 +284,13 @@ def _leaders(member: DataFrame, n: int, roots: DataFrame, used: DataFrame | None
     nodes ask for nearly the same pairs. A bucket has the leaders of its ``width`` most popular components; ranking is cut to width
     rows per bucket in each task before it is shuffled. n is the number of rows of member, which bounds roots and leaders too.
     """
-    grouped = member.join(beside(roots, n), F.col("key") == F.col("node"), "left").select("j", "t", "n", "key", "runs", "popularity", F.coalesce("root", "key").alias("root"))
-    tops = grouped.groupBy("root").agg(F.max(F.struct("popularity", "key", "runs")).alias("top"))
+    grouped = member.join(beside(roots, n), F.col("key") == F.col("node"), "left").select("j", "t", "n", "key", "size", "popularity", F.coalesce("root", "key").alias("root"))
+    tops = grouped.groupBy("root").agg(F.max(F.struct("popularity", "key", "size")).alias("top"))
     held = grouped.select("j", "t", "n", "root").distinct().join(beside(tops, n), "root")
     order = Window.partitionBy("j", "t").orderBy(F.col("top").desc())
     most = F.coalesce(*[F.when(F.col("n") <= size, F.lit(w)) for size, w in LEADERS if size], F.lit(LEADERS[-1][1]))
     ranked = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width).where(F.col("rank") <= most)
-    leaders = ranked.select("j", "t", F.col("root").alias("of"), F.col("top.key").alias("leader"), F.col("top.runs").alias("length"))
+    leaders = ranked.select("j", "t", F.col("root").alias("of"), F.col("top.key").alias("leader"), F.col("top.size").alias("length"))
     return grouped, cut(leaders.join(beside(used, n_used), ["j", "t", "leader"], "left_anti") if used is not None else leaders)
 
 
@@ -262,78 +300,96 @@ def _candidates(grouped: DataFrame, leaders: DataFrame, n: int, tested: DataFram
     A leader may be outside the bucket, and then says nothing of its component's nodes inside: see ``_rest`` and ``_sharing``.
     """
     # texts of too different lengths can't be similar
-    fits = F.least("runs", "length") >= THRESHOLD * F.greatest("runs", "length")
+    fits = 5 * F.least("size", "length") >= 4 * F.greatest("size", "length")
     pairs = grouped.join(beside(leaders, n), ["j", "t"]).where((F.col("root") != F.col("of")) & fits).select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
     return cut(pairs.join(beside(tested, n_tested), ["a", "b"], "left_anti") if tested is not None else pairs)
 
 
 def _possible(pairs: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """The pairs whose texts may have enough runs in common: no more than the lesser counts of their cells, an exact bound.
+    """The pairs whose texts may have enough words in common: no more than the lesser counts of their cells, an exact bound.
 
     n is the number of rows of counts, which are some four times as wide as others.
     """
-    side = lambda end: beside(counts.select(F.col("key").alias(end), F.col("cells").alias(f"x_{end}"), F.col("runs").alias(f"n_{end}")), 4 * n)
+    side = lambda end: beside(counts.select(F.col("key").alias(end), F.col("cells").alias(f"x_{end}"), F.col("size").alias(f"n_{end}")), 4 * n)
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    # 0.8 of the union in common is 4/9 of all runs
-    return cut(both.where(F.coalesce(9 * common >= 4 * (F.col("n_a") + F.col("n_b")), F.lit(True))).select("a", "b"))
+    # each word of the longer text that the other hasn't is an edit
+    return cut(both.where(F.coalesce(5 * common >= 4 * F.greatest("n_a", "n_b"), F.lit(True))).select("a", "b"))
 
 
 def _open(held: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
     """The rows of held, with the root of each node, in buckets that hold several components."""
-    rooted = held.join(beside(roots, n_roots), F.col("key") == F.col("node"), "left").select("j", "t", "n", "key", "runs", F.coalesce("root", "key").alias("root"))
+    rooted = held.join(beside(roots, n_roots), F.col("key") == F.col("node"), "left").select("j", "t", "n", "key", "size", F.coalesce("root", "key").alias("root"))
     return rooted.join(rooted.groupBy("j", "t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("j", "t"), ["j", "t"], "left_semi")
 
 
 def _rest(held: DataFrame) -> DataFrame:
     """All pairs (a < b) of held's rows that share a bucket and not a component, for buckets of bounded size."""
-    other = held.select("j", "t", *[F.col(c).alias(f"{c}_b") for c in ("key", "runs", "root")])
-    fits = 5 * F.least("runs", "runs_b") >= 4 * F.greatest("runs", "runs_b")
+    other = held.select("j", "t", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "root")])
+    fits = 5 * F.least("size", "size_b") >= 4 * F.greatest("size", "size_b")
     pairs = held.join(other, ["j", "t"]).where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & fits)
     return pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
-    """All pairs (a < b) of nodes (key, root) of several components that may be similar: an exact prefix filter on labelled runs.
+    """All pairs (a < b) of nodes (key, root) of several components that may be similar: an exact prefix filter on labelled words.
 
-    Pairs at the threshold have 4/9 of their runs in common at least. So if all texts list their runs in one order, the first ninth of the shorter
-    text's runs, and one more, and the first fifth of the longer's, and one more, have a run in common, and behind
-    the first such run enough is left in both. Runs within one component only come first in the order (they match nothing), then rare ones.
+    A pair at the threshold has 4/5 of the longer text's words in common at least. So if all texts list their words in one order, the first fifth of
+    each, and one more, have a word in common, and behind the first such word enough is left in both. Rare words come first: words are
+    counted in cells of fixed number, so that the order is known to every task without a join.
     """
     keyed = docs.select(F.md5(text_of()).alias("key"), text_of().alias("text"))
     texts = keyed.join(small_side(nodes, n), "key").select("key", "root", "text").dropDuplicates(["key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([labelled(word_hashes(t.as_py())).view(np.int64) for t in b.column(2)], pa.list_(pa.int64()))], names=["key", "root", "words"])
+
+    each = cut(map_arrow(texts, listed, "key string, root string, words array<long>"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(1 << RARITY_BITS, np.int64)
+        for b in batches:
+            often += np.bincount(cell_of(b.column(0).flatten().to_numpy().view(np.uint64), RARITY_BITS), minlength=len(often))
+        at = np.flatnonzero(often)
+        yield pa.record_batch([pa.array(at), pa.array(often[at])], names=["cell", "often"])
+
+    often = np.zeros(1 << RARITY_BITS, np.float64)
+    # a row per cell, of which there are 2**RARITY_BITS
+    for r in map_arrow(each.select("words"), counted, "cell long, often long").groupBy("cell").agg(F.sum("often").alias("often")).collect():
+        often[r["cell"]] = r["often"]
+    level = docs.sparkSession.sparkContext.broadcast(np.ceil(4 * np.log2(1 + often)).astype(np.uint8))
+
+    def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.unique(labelled(runs(word_hashes(t.as_py())))).view(np.int64) for t in b.column(2)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["key", "root", "n", "each"])
-
-    each = cut(map_arrow(texts, run, "key string, root string, n long, each array<long>")).select("key", "root", "n", F.explode("each").alias("run"))
-    across = each.groupBy("run").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("run", "often")
-    text = Window.partitionBy("key")
-    at = F.col("n") - F.count(F.lit(1)).over(text) + F.row_number().over(text.orderBy("often", "run"))
-    # a pair is told at the first run in common; where more than EARLIER runs lie before, perhaps again
-    ordered = each.join(across, "run").withColumn("at", at).withColumn("earlier", F.collect_list("run").over(text.orderBy("often", "run").rowsBetween(-EARLIER, -1)))
-    first = cut(ordered.where((F.col("at") - 1) * 5 <= F.col("n")).select("key", "root", "n", "run", "at", "earlier"))
-    one = first.where((F.col("at") - 1) * 9 <= F.col("n")).select("run", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "at", "earlier")])
-    shorter = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("key_a") < F.col("key")))
-    most = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
-    both = one.join(first, "run").where((F.col("root_a") != F.col("root")) & shorter & (5 * F.col("n_a") >= 4 * F.col("n")) & (9 * most >= 4 * (F.col("n_a") + F.col("n"))) & ~F.arrays_overlap("earlier_a", "earlier"))
-    return both.select(F.least("key_a", "key").alias("a"), F.greatest("key_a", "key").alias("b")).distinct()
+            sizes, out = [], []
+            for words in b.column(2):
+                w = np.asarray(words.values.to_numpy()).view(np.uint64)
+                sizes.append(len(w))
+                out.append(w[np.lexsort((w, level.value[cell_of(w, RARITY_BITS)]))][: len(w) // 5 + 1].view(np.int64))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["key", "root", "n", "first"])
+
+    first = cut(map_arrow(each, first_words, "key string, root string, n long, first array<long>")).select("key", "root", "n", F.posexplode("first").alias("at", "word"))
+    across = first.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("word")
+    first = cut(first.join(across, "word", "left_semi"))
+    one = first.select("word", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "at")])
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
+    both = one.join(first, "word").where((F.col("root_a") != F.col("root")) & (F.col("key_a") < F.col("key")) & (5 * F.least("n_a", "n") >= 4 * F.greatest("n_a", "n")) & (5 * left >= 4 * F.greatest("n_a", "n")))
+    return both.select(F.col("key_a").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members (doc_id, key), links (a, b, similarity) between keys, and roots (node, root) of the linked keys."""
     sketched = cut(sketches(docs))
     nodes = sketched.dropDuplicates(["key"])
-    buckets = nodes.select("key", F.greatest(F.col("n_words") - (K - 1), F.lit(1)).alias("runs"), F.posexplode("sketch").alias("j", "t"))
+    buckets = nodes.select("key", F.col("n_words").alias("size"), F.posexplode("sketch").alias("j", "t"))
     shared = buckets.groupBy("j", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     every = member = cut(buckets.join(shared, ["j", "t"]))
     popularity = member.groupBy("key").agg(F.sum("n").alias("popularity"))
-    counts = cut(nodes.join(popularity, "key", "left_semi").select("key", F.greatest(F.col("n_words") - (K - 1), F.lit(1)).alias("runs"), "cells"))
+    counts = cut(nodes.join(popularity, "key", "left_semi").select("key", F.col("n_words").alias("size"), "cells"))
     n_counts = counts.count()
     size = F.row_number().over(Window.partitionBy("key", F.col("n") > LEADERS[0][0]).orderBy(F.col("n").desc(), "j"))
-    member = cut(every.withColumn("nth", size).where((F.col("n") <= LEADERS[0][0]) | (F.col("nth") <= CROWDS)).select("j", "t", "n", "key", "runs").join(popularity, "key"))
+    member = cut(every.withColumn("nth", size).where((F.col("n") <= LEADERS[0][0]) | (F.col("nth") <= CROWDS)).select("j", "t", "n", "key", "size").join(popularity, "key"))
     n = member.count()
     member = compact(member, n)
 

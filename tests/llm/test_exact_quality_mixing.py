@@ -129,7 +129,7 @@ def test_bounds_follow_their_group(spark):
         "max_word_length": lambda i: {"length": 5 + i % 2 * 4},
         "max_symbols": lambda i: {"symbols": rng.randrange(5)},
         "max_dup_lines": lambda i: {"dups": rng.randrange(3)},
-        "max_repeats": lambda i: {"repeats": rng.randrange(3)},
+        "max_repeats": lambda i: {"repeats": 12 * (i % 8 == 1)},
     }
     for name, how in moved.items():
         changed = [(i, doc(**(rare(i) | how(i))) if i % 4 == 1 else t, *r) for i, t, *r in rows[:1200]] + rows[1200:]
