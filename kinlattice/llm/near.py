@@ -19,7 +19,8 @@ with the nodes of all others (3, then 7, then 15, and fewer in larger buckets, s
 links nothing new or has the full width. These rounds only spare work: a component's leader needn't be in a bucket, nor all its nodes be compared there. So all
 untested pairs of several components in a bucket of up to 64 nodes follow, and the nodes of larger buckets that still hold several components
 go through an exact prefix filter on labelled words (see ``_sharing``), whichever of their buckets the rounds searched. Every pair that agrees in
-a sketch is then in one class, or tested, or excluded by an exact bound; pairs at the threshold that agree in no sketch are the only loss.
+a sketch is then in one class, or tested, or excluded by an exact bound; pairs that agree in no sketch are the only loss: some in a hundred where half of all runs are shared, most
+where a text of a few words is edited (no run of five words is left).
 
 Defined cases: a null text is empty; equal texts, the empty one included, form a class; a text of fewer than five words has one
 k-mer, the whole of it; rows without words are linked to identical texts only; memory for a pair of very long texts is linear in them; a null doc_id is kept, and a

@@ -85,7 +85,7 @@ def edited(rng, words, n):
 def corpus(seed, groups=12):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
-    texts = [None, "", "", " \n", "one two", "one  Two", "a b c d e", "a b c d e", "a b c d f", "word " * 300, "word " * 290]
+    texts = [None, "", "", " \n", "one two", "one  Two", "a b c d e", "a b c d e", "a b q d f", "word " * 300, "word " * 290]
     passage = " ".join(rng.choice(vocabulary) for _ in range(60))
     for g in range(groups):
         words = [rng.choice(vocabulary) for _ in range(rng.choice([40, 80, 300]))]
