@@ -10,16 +10,17 @@ costs one row per task. Occurrences of repeated windows then join their first on
 hot window's side of that join. Per document, positions are gathered: a document's lines, never a window's documents.
 
 Defined cases: a null text is empty and is kept as it is; a text of fewer than three lines has no windows; rows that share
-a doc_id are told apart by a hash of their text, and repeated rows in full are treated alike; null doc_ids come
-last; an empty table gives an empty result; other columns are ignored.
+a doc_id are told apart by a hash of their text, and of rows that repeat in doc_id and text one comes first and the others lose all their lines;
+null doc_ids come last; very long texts are cut into lines whole; an empty table gives an empty result; other columns, whatever their names, are ignored.
+Windows are equal if their 128-bit hashes are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, text_of
+from .common import cut, let, small_side, text_of
 
 WINDOW = 3
 
@@ -47,17 +48,36 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("i")).alias("starts"))
 
 
+def _copies_marked(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, h, ...) with copy: true in all but one of the rows that are equal in doc_id and text.
+
+    Only rows that have such an equal are moved.
+    """
+    repeated = cut(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d"), F.col("h").alias("g")))
+    n = repeated.count()
+    if not n:
+        return rows.withColumn("copy", F.lit(False))
+    match = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h"))
+    some = rows.join(small_side(repeated, n), match, "left_semi").withColumn("copy", nth > 1)
+    return rows.join(small_side(repeated, n), match, "left_anti").withColumn("copy", F.lit(False)).unionByName(some)
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text: what is left of every text."""
     found = cut(later_windows(docs))
-    side = found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "starts")
-    rows = _keyed(docs).join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    size = found.agg(F.sum(F.size("starts") + 1)).first()[0] or 0
+    side = small_side(found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "starts"), size)
+    rows = _copies_marked(_keyed(docs)).join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     lines = F.split("text", "\n", -1)
+    n_lines = F.size(lines).cast("long")
+    # every window of a copy occurred before
+    emptied = F.col("copy") & (n_lines >= WINDOW)
     touched = F.col("starts").isNotNull()
     kept = let(lines, lambda x: let(_marks(F.col("starts"), F.size(x)), lambda gone: F.filter(x, lambda _, i: ~F.get(gone, i))))
-    n_lines = F.size(lines).cast("long")
-    rows = rows.withColumn("left", F.when(touched, kept))
-    return rows.select("doc_id", n_lines.alias("n_lines"), F.when(touched, n_lines - F.size("left")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(touched, F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"))
+    rows = rows.withColumn("left", F.when(emptied, F.array().cast("array<string>")).when(touched, kept))
+    changed = F.col("left").isNotNull()
+    return rows.select("doc_id", n_lines.alias("n_lines"), F.when(changed, n_lines - F.size("left")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(changed, F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"))
 
 
 def _marks(starts: Column, n: Column) -> Column:

@@ -72,11 +72,11 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-# repeated rows in full share their place, as in the operator; the text orders rows that share a doc_id only there
+# of rows that repeat in full one comes first, as in the operator; rows that share a doc_id with different texts are ordered by a hash of the text there
 ORACLES["op7_line_dedup"] = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 w AS (SELECT rid, doc_id, u.i AS i, lines[u.i:u.i + 2] AS win FROM d, unnest(range(1, len(lines) - 1)) AS u(i)),
-later AS (SELECT rid, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+later AS (SELECT rid, i FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, rid, i) > 1),
 gone AS (SELECT DISTINCT rid, i + o.j AS i FROM later, (VALUES (0), (1), (2)) AS o(j)),
 n AS (SELECT rid, count(*) AS n, list(i) AS gone FROM gone GROUP BY rid)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed,

@@ -8,14 +8,18 @@ and digests of its own block. Digests are sha1 in base 32.
 
 Parsing is per row in Arrow batches; nothing is shuffled. ``write_warc`` writes one WARC file per partition.
 
+A response's identifier is made from page_id, url and payload digest, so pages that differ in any have identifiers of their own.
+
 Defined cases: a null or empty page is a response with an empty body, whose conversion has an empty block; a null url gives an empty
-target URI; a block without a header end is all header; repeated rows derive repeated records; an empty table gives
-an empty result; other columns are ignored.
+target URI; a block without a header end is all header; rows that repeat in full are the same response and derive equal records each; markup that
+the parser gives up on is read as text, and a charset that doesn't exist or doesn't decode texts as UTF-8; very long pages are read whole; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import re
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
@@ -81,12 +85,29 @@ class Page(HTMLParser):
 
 
 def read_page(body: str) -> Page:
+    """The page's parts; of a body that the parser gives up on, with its marked sections and declarations read as text, or else without its tags."""
+    for source in (body, body.replace("<!", "&lt;!"), re.sub(r"<[^<>]*>?", "\n", body)):
+        page = Page()
+        try:
+            page.feed(source)
+            page.close()
+        except (AssertionError, ValueError, RecursionError):
+            continue
+        return page
     page = Page()
-    page.feed(body)
-    page.close()
+    page.parts = [body]
     return page
 
 
+def read_text(body: bytes, http: list[tuple[str, str]]) -> str:
+    """The body in the charset that the headers name; in UTF-8 if they name none, or none that decodes texts. Bad bytes are replaced."""
+    named = next((m[1] for n, v in http if n.lower() == "content-type" and (m := re.search(r"""charset\s*=\s*["']?([\w.:+-]+)""", v, re.I))), "utf-8")
+    try:
+        return body.decode(named, "replace")
+    except (LookupError, UnicodeError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and body of an HTTP message."""
     head, _, body = block.partition(b"\r\n\r\n")
@@ -111,7 +132,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
             for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 body = html.encode()
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
-                rid = identifier("response", page_id, url)
+                rid = identifier("response", page_id, url, digest(body))
                 headers = [("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
                 rows.append((page_id, rid, "response", headers, block))
             yield _batch(rows, RECORD)
@@ -126,17 +147,16 @@ def derive(records: DataFrame) -> DataFrame:
     def two(page_id: int | None, rid: str, headers: list[dict], block: bytes) -> list[tuple]:
         own = {h["name"].lower(): h["value"] for h in headers}
         status, http, body = split_http(block)
-        charset = next((m[1] for n, v in http if n.lower() == "content-type" and (m := re.search(r"charset=([\w-]+)", v))), "utf-8")
-        try:
-            page = read_page(body.decode(charset, "replace"))
-        except LookupError:
-            page = read_page(body.decode("utf-8", "replace"))
+        page = read_page(read_text(body, http))
+        # what stands for half a pair can't be written
+        clean = lambda x: x.encode("utf-8", "replace").decode()
         uri, date, payload = own.get("warc-target-uri", ""), own.get("warc-date", ""), own.get("warc-payload-digest") or digest(body)
         told = {"status": status, "headers": [list(x) for x in http], "title": " ".join("".join(page.title).split()), "links": page.links}
         out = []
-        for kind, mime, data in (("metadata", "application/json", json.dumps(told, ensure_ascii=False).encode()), ("conversion", "text/plain", page.text().encode())):
+        source = [("WARC-Source-HTTP-Header", f"{n}: {v}") for n, v in http]
+        for kind, mime, data in (("metadata", "application/json", clean(json.dumps(told, ensure_ascii=False)).encode()), ("conversion", "text/plain", clean(page.text()).encode())):
             new = identifier(kind, rid)
-            fields = [("WARC-Type", kind), ("WARC-Record-ID", new), ("WARC-Refers-To", rid), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), ("Content-Type", mime), ("WARC-Block-Digest", digest(data)), ("Content-Length", str(len(data)))]
+            fields = [("WARC-Type", kind), ("WARC-Record-ID", new), ("WARC-Refers-To", rid), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), *source, ("Content-Type", mime), ("WARC-Block-Digest", digest(data)), ("Content-Length", str(len(data)))]
             out.append((page_id, new, kind, rid, uri, payload, digest(data), fields, data))
         return out
 
@@ -162,13 +182,33 @@ def read_warc(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     found, at = [], 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        headers = [tuple(x.split(": ", 1)) for x in data[at:end].decode().split("\r\n")[1:]]
-        size = int(dict(headers)["Content-Length"])
+        headers = [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])]
+        size = int(next(v for n, v in headers if n.lower() == "content-length"))
         found.append((headers, data[end + 4 : end + 4 + size]))
         at = end + 4 + size + 4
     return found
 
 
+def load_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all WARC files under path, plain or gzip, one member per record or in all; page_id is null.
+
+    A file is read by one task, as Spark's source of whole files does it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                data = content.as_py()
+                found = read_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+                rows = []
+                for headers, block in found:
+                    own = {n.lower(): v for n, v in headers}
+                    rows.append((None, own.get("warc-record-id"), own.get("warc-type"), headers, block))
+                yield _batch(rows, RECORD)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+
+
 def derivative_digests(pages: DataFrame) -> DataFrame:
     """One row per derived record, with the size and the sha256 of its block in place of the block."""
     records = derive(responses(pages))

@@ -1,10 +1,13 @@
 """Line dedup against brute force, WARC round trips, and the classifier on held-out rows."""
 
 import base64
+import gzip
 import hashlib
 import json
 import random
+import re
 from collections import Counter
+from html import unescape
 from pathlib import Path
 
 import numpy as np
@@ -44,8 +47,11 @@ def test_lines(spark):
 
 
 def test_lines_of_repeated_rows(spark):
-    df = spark.createDataFrame([(1, "a\nb\nc", "x", 1)] * 2 + [(2, "a\nb\nc", "x", 1)], DOCS)
-    assert sorted((r["doc_id"], r["n_removed"]) for r in lines.line_dedup(df).collect()) == [(1, 0), (1, 0), (2, 3)]
+    rows = [(1, "a\nb\nc")] * 2 + [(2, "a\nb\nc"), (3, "x\ny"), (3, "x\ny"), (None, "q\nr\ns\nt"), (None, "q\nr\ns\nt"), (4, "long\n" * 5000), (4, "long\n" * 5000)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
+    got = Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in lines.line_dedup(df).collect())
+    assert got == lines_brute(rows)
+    assert sorted((r["doc_id"], r["n_removed"]) for r in lines.line_dedup(df.where("doc_id < 3")).collect()) == [(1, 0), (1, 3), (2, 3)]
 
 
 PAGES = "page_id long, url string, html string, headers string, block string"
@@ -76,6 +82,46 @@ def test_warc(spark, tmp_path):
     assert warc.derivative_digests(pages.limit(0)).count() == 0
 
 
+def plain_text(html):
+    """Text of simple markup by hand: tags that end lines, other tags, references."""
+    html = re.sub(r"<(script|style|noscript|template|title)\b.*?</\1>", "", html, flags=re.S)
+    html = re.sub(r"</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|pre|blockquote)\b[^>]*>", "\n", html)
+    lines_of = (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in html.split("\n"))
+    return "\n".join(x for x in lines_of if x)
+
+
+def test_conversions_by_hand(spark, sf_dir):
+    """The text of every page of the fixture against a reading by patterns."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    found = {r["page_id"]: bytes(r["block"]).decode() for r in warc.derive(warc.responses(pages)).where("warc_type = 'conversion'").collect()}
+    assert found.keys() == html.keys()
+    assert np.mean([found[i].split() == plain_text(h).split() for i, h in html.items()]) > 0.95
+
+
+def test_malformed_pages(spark, tmp_path):
+    odd = ["<![foo[ x ]]>", "<p>a<![if !IE]>b<![endif]>", "<!", "<!doctype", "<a href='", "&#xD800; x", "<b" * 3000, "<![CDATA[ y", "a\x00b", "<![foo[ x ]]><p>after"]
+    pages = spark.createDataFrame([(1, "http://a", t, "x", "y") for t in odd], PAGES)
+    responses = warc.responses(pages).cache()
+    ids = [r["record_id"] for r in responses.collect()]
+    assert len(set(ids)) == len(odd)  # one id and url, other bodies
+    found = warc.derive(responses).collect()
+    assert len(found) == 2 * len(odd) and {r["refers_to"] for r in found} == set(ids)
+    text = {r["refers_to"]: bytes(r["block"]).decode() for r in found if r["warc_type"] == "conversion"}
+    assert "after" in text[ids[-1]] and "x" in text[ids[0]]
+    files = tmp_path / "in"
+    files.mkdir()
+    blocks = [(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=" + c + b"\r\nX-Own: 1\r\n\r\n<p>caf\xe9") for c in (b'"iso-8859-1"', b"idna", b"undefined", b"nothing", b"hex", b"latin-1")]
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(x), x) for i, x in enumerate(blocks)]
+    (files / "a.warc").write_bytes(b"".join(records[:3]))
+    (files / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in records[3:]))
+    loaded = warc.load_warc(spark, str(files))
+    assert sorted(r["record_id"] for r in loaded.collect()) == [f"<urn:{i}>" for i in range(6)]
+    made = {(r["refers_to"], r["warc_type"]): r for r in warc.derive(loaded).collect()}
+    assert [bytes(made[f"<urn:{i}>", "conversion"]["block"]).decode() for i in range(6)] == ["café", *["caf\ufffd"] * 4, "café"]
+    assert ("WARC-Source-HTTP-Header", "X-Own: 1") in [(h["name"], h["value"]) for h in made["<urn:0>", "conversion"]["headers"]]
+
+
 LABELS = "doc_id long, quality int, toxic int, score double"
 
 
