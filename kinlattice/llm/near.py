@@ -42,7 +42,7 @@ from .common import beside, compact, cut, map_arrow, small_side, text_of, words
 from .graph import absorb
 
 K = 5
-SKETCHES = 24
+SKETCHES = 16
 LENGTH = 2
 THRESHOLD = 0.8
 #: (nodes of a bucket up to, components whose leaders are compared with all its nodes by the rounds). What they leave out follows.
