@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -27,14 +27,14 @@ def dictionary(columns: dict[str, DataFrame], value: str = "value") -> DataFrame
 
 
 def encode(df: DataFrame, codes: DataFrame, column: str, value: str = "value") -> DataFrame:
-    """df with the code of its value in that column of the dictionary."""
+    """df with the code of its value in that column of the dictionary; null where the value is null or isn't there."""
     side = codes.where(F.col("column") == column).select(F.col("value").alias(value), "code")
-    return df.join(side, value)
+    return df.join(side, value, "left")
 
 
 def decode(df: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:
-    """df with the value of its code; Spark broadcasts the dictionary if it is small."""
-    return df.join(codes.select(F.col("code").alias(code), F.col("value")), code)
+    """df with the value of its code, null where it has none; Spark broadcasts the dictionary if it is small."""
+    return df.join(codes.select(F.col("code").alias(code), F.col("value")), code, "left")
 
 
 def encode_column(df: DataFrame, column: str, width: int) -> Column:
@@ -111,8 +111,3 @@ def edge_name_vectors(edges: DataFrame, width: int = 32, model=name_vector) -> D
 def default_task_vector(vectors: DataFrame) -> DataFrame:
     """node_type, pos, x: the mean of the name vectors of a type's columns (node_type, name, emb)."""
     return vectors.select("node_type", F.posexplode("emb").alias("pos", "v")).groupBy("node_type", "pos").agg(F.avg("v").alias("x"))
-
-
-def code_by_rank(df: DataFrame, column: str) -> Column:
-    """The dictionary code as a window, for small dictionaries."""
-    return (F.dense_rank().over(Window.orderBy(column)) - 1).cast("long")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dot, hash_number
+from ..functions.scalar import dot, hash_number, hash_text
 from ..plans.shape import with_position
 from ..plans.specs import FewShotSpec
 
@@ -40,9 +40,22 @@ def rerank(draws: DataFrame, vectors: DataFrame, spec: FewShotSpec) -> DataFrame
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= spec.k)
 
 
-def link_edges(examples: DataFrame) -> DataFrame:
-    """src_inst, dst_inst, edge_type: each root to its examples, each a new instance."""
-    return examples.select("root_id", F.concat_ws("|", F.lit("root"), "root_id").alias("src_inst"), F.concat_ws("|", F.lit("example"), "root_id", "draw").alias("dst_inst"), F.lit(RELATION).alias("edge_type"))
+def _example(root_type: str) -> Column:
+    return hash_text("example", F.lit(root_type), "root_id", "draw")
+
+
+def example_seeds(examples: DataFrame, roots: DataFrame, root_type: str) -> DataFrame:
+    """The examples as instances to sample from: each draw is one, of the root's type, at hop 0 and with the root's cutoff.
+
+    examples: root_id, draw, example_id; roots: the instances that ``sampling.seeds`` made.
+    """
+    when = roots.select("root_id", "cutoff")
+    return examples.join(when, "root_id").select("root_id", _example(root_type).alias("inst_id"), F.lit(None).cast("string").alias("parent_inst"), F.lit(0).alias("hop"), F.lit(root_type).alias("node_type"), F.col("example_id").alias("row_id"), F.lit(None).cast("string").alias("edge_type"), "cutoff")
+
+
+def link_edges(examples: DataFrame, root_type: str) -> DataFrame:
+    """root_id, src_inst, dst_inst, edge_type: each root, as ``sampling.seeds`` names it, to its examples, as ``example_seeds`` does."""
+    return examples.select("root_id", hash_text("root", F.lit(root_type), "root_id").alias("src_inst"), _example(root_type).alias("dst_inst"), F.lit(RELATION).alias("edge_type"))
 
 
 def merge_graphs(main: DataFrame, few: DataFrame, links: DataFrame) -> DataFrame:

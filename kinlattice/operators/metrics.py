@@ -10,9 +10,10 @@ from ..functions.scalar import dot
 METRICS = ("rmse", "mae", "hr@1", "retrieval_auroc", "retrieval_logloss")
 
 
-def drop_padding(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Without rows whose label is NaN, null or negative padding of a class task."""
-    return rows.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")))
+def drop_padding(rows: DataFrame, label: str = "label", classes: bool = False) -> DataFrame:
+    """Without rows whose label is NaN or null, or, of a class task, negative."""
+    there = F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))
+    return rows.where(there & (F.col(label) >= 0) if classes else there)
 
 
 def class_candidates(rows: DataFrame, key: str, number: int) -> DataFrame:

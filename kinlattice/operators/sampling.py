@@ -1,6 +1,6 @@
 """Time-bounded, fanout-limited neighbour sampling.
 
-The sample is a tree: a row reached on two paths is there twice. Every hop keeps the root's cutoff. An instance is
+The sample is a tree: a row reached on two paths, or over two parallel edges, is there twice. Every hop keeps the root's cutoff. An instance is
 named by the md5 of its path, so draws differ by path and reruns agree.
 """
 
@@ -34,7 +34,11 @@ def expand(frontier: DataFrame, edges: DataFrame, to_type: str, spec: SampleSpec
     draw = joined.withColumn("h", hash_text(spec.seed, F.lit(hop), "inst_id", "e_type", "dst"))
     if spec.fanout is not None:
         draw = draw.withColumn("rn", F.row_number().over(Window.partitionBy("inst_id", "e_type").orderBy("h", "dst"))).where(F.col("rn") <= spec.fanout)
-    return draw.select("root_id", hash_text("path", "inst_id", "e_type", "dst").alias("child"), F.col("inst_id").alias("parent_inst"), F.lit(hop).alias("hop"), F.lit(to_type).alias("node_type"), F.col("dst").alias("row_id"), F.col("e_type").alias("edge_type"), "cutoff").withColumnRenamed("child", "inst_id").select(*NODE_COLUMNS)
+    # a row that parallel edges lead to is an instance for each of them
+    nth = F.row_number().over(Window.partitionBy("inst_id", "e_type", "dst").orderBy("h"))
+    draw = draw.withColumn("nth", nth)
+    child = F.when(F.col("nth") == 1, hash_text("path", "inst_id", "e_type", "dst")).otherwise(hash_text("path", "inst_id", "e_type", "dst", "nth"))
+    return draw.select("root_id", child.alias("child"), F.col("inst_id").alias("parent_inst"), F.lit(hop).alias("hop"), F.lit(to_type).alias("node_type"), F.col("dst").alias("row_id"), F.col("e_type").alias("edge_type"), "cutoff").withColumnRenamed("child", "inst_id").select(*NODE_COLUMNS)
 
 
 def sample(roots: DataFrame, root_type: str, edges: dict[tuple[str, str, str], DataFrame], spec: SampleSpec, walls: frozenset[str] = frozenset()) -> DataFrame:

@@ -504,17 +504,53 @@ def event_vectors(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").select(F.col("event_id").alias("row_id"), k.alias("vec_id")).join(e, "vec_id").select("row_id", "emb")
 
 
-@query(f"WITH {_DRAWS.format(k=3)} SELECT root_id, 'root|' || root_id AS src_inst, 'example|' || root_id || '|' || draw AS dst_inst, 'fewshot' AS edge_type FROM x")
+_ROOT, _EXAMPLE = "md5(concat_ws('|', 'root', 'events', root_id))", "md5(concat_ws('|', 'example', 'events', root_id, draw))"
+BY = "events:by:customer"
+
+
+@query(f"WITH {_DRAWS.format(k=3)} SELECT root_id, {_ROOT} AS src_inst, {_EXAMPLE} AS dst_inst, 'fewshot' AS edge_type FROM x")
 def fewshot_link_edges(spark, d):
-    return fewshot.link_edges(_draws(spark, d, FewShotSpec(k=3))[0])
+    return fewshot.link_edges(_draws(spark, d, FewShotSpec(k=3))[0], "events")
+
+
+_EVENT_USERS = f"""s AS (SELECT event_id AS root_id, {_ROOT.replace("root_id", "event_id")} AS inst, event_id, user_id FROM events
+  UNION ALL SELECT root_id, {_EXAMPLE}, event_id, user_id FROM x JOIN events ON event_id = example_id)"""
+
+
+def event_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All instances of the events' sample, of their examples' samples, and the draws."""
+    draws, events = _draws(spark, d, FewShotSpec(k=3))
+    edges = {("events", BY, "customer"): ingest.edges_of(events, f"head of {BY}", "event_id", "user_id")}
+    roots = sampling.seeds(events, "events", "event_id", "ts")
+    spec = SampleSpec(hops=1, fanout=5)
+    return sampling.sample(roots, "events", edges, spec), sampling.sample(fewshot.example_seeds(draws, roots, "events"), "events", edges, spec), draws
 
 
-@query(_TWO + f", {_DRAWS.format(k=3)} SELECT root_id, parent_inst AS src_inst, inst_id AS dst_inst, edge_type FROM every WHERE parent_inst IS NOT NULL UNION ALL SELECT root_id, 'root|' || root_id, 'example|' || root_id || '|' || draw, 'fewshot' FROM x")
+@query(f"""WITH {_DRAWS.format(k=3)}, {_EVENT_USERS} SELECT root_id, inst AS src_inst, md5(concat_ws('|', 'path', inst, 'head of {BY}', user_id)) AS dst_inst, 'head of {BY}' AS edge_type FROM s
+UNION ALL SELECT root_id, {_ROOT}, {_EXAMPLE}, 'fewshot' FROM x""")
 def fewshot_merge_graphs(spark, d):
-    """The main sample's edges and the links to examples; examples are expanded by no hop, so they bring no edges."""
-    main = sampling.sub_edges(_two_hops(spark, d))
-    links = fewshot.link_edges(_draws(spark, d, FewShotSpec(k=3))[0])
-    return fewshot.merge_graphs(main, main.limit(0), links)
+    """The edges of the main sample, of the examples' samples, and the links from roots to examples."""
+    main, few, draws = event_graphs(spark, d)
+    return fewshot.merge_graphs(sampling.sub_edges(main), sampling.sub_edges(few), fewshot.link_edges(draws, "events"))
+
+
+@query(f"""WITH {_DRAWS.format(k=3)}, {_EVENT_USERS} SELECT s.root_id, inst AS inst_id, event_type, value FROM s JOIN events USING (event_id) WHERE inst <> {_ROOT.replace("root_id", "s.root_id")}""")
+def fewshot_example_nodes(spark, d):
+    """The examples' instances with features of their rows."""
+    few = event_graphs(spark, d)[1]
+    found = sampling.with_features(few, read_table(spark, d, "events"), "events", "event_id", ["event_type", "value"])
+    return found.select("root_id", "inst_id", "event_type", "value")
+
+
+@query("""WITH s AS (SELECT c_custkey AS root_id, md5(concat_ws('|', 'root', 'customer', c_custkey)) AS inst FROM customer),
+e AS (SELECT root_id, inst, l_suppkey AS dst, row_number() OVER (PARTITION BY root_id, l_suppkey) AS nth FROM s JOIN orders ON o_custkey = root_id JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT root_id, CASE WHEN nth = 1 THEN md5(concat_ws('|', 'path', inst, 'tail of supplier:sold_to:customer', dst)) ELSE md5(concat_ws('|', 'path', inst, 'tail of supplier:sold_to:customer', dst, nth)) END AS inst_id, dst AS row_id FROM e""")
+def neighbor_sample_parallel_edges(spark, d):
+    """A customer and a supplier have an edge for every line: each is a neighbour of its own."""
+    sold = read_table(spark, d, "orders").join(read_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = {("customer", "supplier:sold_to:customer", "supplier"): ingest.edges_of(sold, "tail of supplier:sold_to:customer", "o_custkey", "l_suppkey")}
+    found = sampling.sample(customers(spark, d, cutoff=False), "customer", edges, SampleSpec(hops=1, fanout=None))
+    return found.where("hop = 1").select("root_id", "inst_id", "row_id")
 
 
 # Aggregation

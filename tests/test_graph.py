@@ -162,3 +162,31 @@ def test_merge(spark, tmp_path):
     merge.overwrite_partitions(a, path, ["k"])
     merge.overwrite_partitions(b, path, ["k"])
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_parallel_edges_are_instances(spark):
+    """Row 10 is reached over two edges and owes fanout rows to each of its instances."""
+    edge = "head of a:to:a"
+    table = spark.createDataFrame([(edge, 1, 10, None), (edge, 1, 10, None), (edge, 1, 11, None), *[(edge, 10, 100 + i, None) for i in range(6)]], "edge_type string, src long, dst long, ts timestamp_ntz")
+    roots = sampling.seeds(spark.createDataFrame([(1,)], "id long"), "a", "id")
+    rows = sampling.sample(roots, "a", {("a", "a:to:a", "a"): table}, SampleSpec(hops=2, fanout=3)).collect()
+    one = [r for r in rows if r["hop"] == 1]
+    assert len(one) == len({r["inst_id"] for r in one}) == 3
+    two = [r for r in rows if r["hop"] == 2]
+    assert len(two) == len({r["inst_id"] for r in two}) == 6
+
+
+def test_fewshot_edges_end_in_nodes(spark, sf_dir):
+    from kinlattice.plans import queries
+
+    main, few, draws = queries.event_graphs(spark, sf_dir)
+    nodes = {r["inst_id"] for r in main.unionByName(few).select("inst_id").collect()}
+    edges = fewshot.merge_graphs(sampling.sub_edges(main), sampling.sub_edges(few), fewshot.link_edges(draws, "events")).collect()
+    assert edges and all(r["src_inst"] in nodes and r["dst_inst"] in nodes for r in edges)
+    assert any(r["edge_type"] == fewshot.RELATION for r in edges)
+
+
+def test_padding(spark):
+    rows = spark.createDataFrame([(0.0,), (-1.0,), (float("nan"),), (None,), (2.0,)], "label double")
+    assert sorted(r["label"] for r in metrics.drop_padding(rows, classes=True).collect()) == [0.0, 2.0]
+    assert sorted(r["label"] for r in metrics.drop_padding(rows).collect()) == [-1.0, 0.0, 2.0]
