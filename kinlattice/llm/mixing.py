@@ -8,7 +8,7 @@
    equal the target.
 3. Certain copies. The whole part of that number is taken for certain.
 4. Pareto order sampling of the rest. With inclusion probability p (the fraction) and a random u from
-   a hash of doc_id, the documents of a source are ranked by (u / (1 - u)) / (p / (1 - p)), and taken in that
+   a hash of doc_id, text, and the number of the row among those equal in source and both, the documents of a source are ranked by (u / (1 - u)) / (p / (1 - p)), and taken in that
    order until the words that remain of the target are filled, to within half a document.
 
 The cut in step 4 is found per source by two levels of histograms over the leading bits of the rank, each
@@ -16,8 +16,8 @@ The cut in step 4 is found per source by two levels of histograms over the leadi
 large, and the plan is one row per source. Applying it is a narrow map over the documents.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source, ordered last; a
-null doc_id is hashed as -1; rows that share a doc_id and a size share their fate; an empty table gives an empty
-result; other columns are ignored (``mix_documents`` keeps them).
+null doc_id is hashed as -1; rows that share a doc_id, or repeat in full, have draws of their own; very long texts are counted whole; an empty
+table gives an empty result; other columns, whatever their names, are ignored (``mix_documents`` keeps them).
 """
 
 from __future__ import annotations
@@ -35,8 +35,21 @@ SEED = "mix-1"
 RANK_BITS = 48
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+def _sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, size, draw (what the random number is made from) and the columns of keep.
+
+    Only rows that repeat in doc_id, source and text are moved, to be numbered.
+    """
+    size = F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")
+    rows = docs.select("doc_id", "source", size, F.concat_ws("|", F.lit(SEED), F.coalesce("doc_id", F.lit(-1)).cast("string"), F.md5(text_of())).alias("draw"), *keep)
+    repeated = cut(rows.groupBy("draw", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("draw").alias("d"), F.col("source").alias("s")))
+    n = repeated.count()
+    if not n:
+        return rows
+    match = (F.col("draw") == F.col("d")) & F.col("source").eqNullSafe(F.col("s"))
+    nth = F.row_number().over(Window.partitionBy("draw", "source").orderBy("size"))
+    some = rows.join(small_side(repeated, n), match, "left_semi").withColumn("draw", F.when(nth == 1, F.col("draw")).otherwise(F.concat_ws("|", "draw", nth.cast("string"))))
+    return rows.join(small_side(repeated, n), match, "left_anti").unionByName(some)
 
 
 def weight(size: Column) -> Column:
@@ -44,10 +57,9 @@ def weight(size: Column) -> Column:
     return F.round(F.lit(16.0) * F.sqrt(bucket(size).cast("double"))).cast("long")
 
 
-def _rank(doc_id: Column, p: Column) -> Column:
+def _rank(draw: Column, p: Column) -> Column:
     """The Pareto rank, squeezed from (0, inf) to RANK_BITS bits in the same order."""
-    text = F.concat(F.lit(f"{SEED}|"), F.coalesce(doc_id, F.lit(-1)).cast("string"))
-    u = (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << RANK_BITS)
+    u = (F.conv(F.substring(F.md5(draw), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << RANK_BITS)
     odds = (u / (1 - u)) / (p / (1 - p))
     return F.floor(odds / (1 + odds) * float(1 << RANK_BITS)).cast("long")
 
@@ -89,7 +101,7 @@ def _placed(sized: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
     rows = sized.join(small_side(side, sources), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     expected = F.when(F.col("size") > 0, F.least(F.lit(MOST), F.coalesce(F.col("scale") * weight(F.col("size")), F.lit(MOST)))).otherwise(F.lit(0.0))
     rows = rows.withColumn("e", expected).withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))
-    return rows.withColumn("k", F.when(F.col("p") > 0, _rank(F.col("doc_id"), F.col("p"))))
+    return rows.withColumn("k", F.when(F.col("p") > 0, _rank(F.col("draw"), F.col("p"))))
 
 
 def _boundary(rows: DataFrame, shift: int) -> DataFrame:
@@ -152,6 +164,6 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     made, n = plan(cut(_sized(docs)))
     row = F.struct(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)])
-    sized = docs.select(row.alias("row"), "doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    sized = _sized(docs.select(row.alias("row"), "doc_id", "source", "text"), "row")
     rows = _placed(sized, made, n).withColumn("copies", _copies()).where("copies > 0")
     return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"row.__{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -85,7 +85,8 @@ FROM d LEFT JOIN n USING (rid)
 """
 
 ORACLES["op4_mixing"] = r"""
-WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH s0 AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, 'mix-1|' || coalesce(doc_id, -1) || '|' || md5(coalesce(text, '')) AS one FROM documents),
+s AS (SELECT doc_id, source, size, CASE WHEN nth = 1 THEN one ELSE one || '|' || nth END AS draw FROM (SELECT *, row_number() OVER (PARTITION BY one, source) AS nth FROM s0)),
 b AS (SELECT *, round(16.0::DOUBLE * sqrt((size - size % (1::BIGINT << greatest(length(bin(size)) - 6, 0)::INT))::DOUBLE))::BIGINT AS wt FROM s),
 f AS (SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s GROUP BY source),
 g AS (SELECT *, 2.0::DOUBLE * source_size / w AS full_at FROM f),
@@ -102,7 +103,7 @@ c AS (SELECT source, first(scale ORDER BY wt DESC) AS scale FROM i WHERE scale *
 e AS (SELECT b.*, t.source_size, t.target, CASE WHEN size > 0 THEN least(2.0::DOUBLE, coalesce(scale * wt, 2.0)) ELSE 0 END AS e
   FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON b.source IS NOT DISTINCT FROM c.source),
 p AS (SELECT *, floor(e)::BIGINT AS certain, e - floor(e) AS p,
-  (cast('0x' || substr(md5('mix-1|' || coalesce(doc_id, -1)), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM e),
+  (cast('0x' || substr(md5(draw), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM e),
 o AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
 k AS (SELECT *, floor(odds / (1 + odds) * 281474976710656::DOUBLE)::BIGINT AS k, target - sum(certain * size) OVER (PARTITION BY source) AS rest FROM o),
 r AS (SELECT *, k IS NOT NULL AND coalesce(sum(CASE WHEN k IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY k NULLS LAST, coalesce(doc_id, -1), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE <= rest AS sampled FROM k)
