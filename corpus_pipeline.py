@@ -1,7 +1,10 @@
 """A training corpus from raw documents: five stages, each an operator of kinlattice.llm.
 
 Every stage reads all that its predecessor kept and decides on its own input; all but the last return the columns
-of documents. The last returns the packed pieces (without their ids, which tokenizing the documents gives again).
+of documents. The last returns the packed pieces with their ids.
+
+Defined cases are those of the operators: null and empty texts fail the quality rules and go; of ties and repeated rows exact dedup keeps one; very
+long texts are read whole; an empty table gives an empty result; other columns go through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequences and offsets."""
-    return packing.pack_digests(docs)
+    """Pieces of at most 4096 tokens with their ids, sequences and offsets; instance tells apart the copies that mixing made."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
