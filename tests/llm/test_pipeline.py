@@ -1,11 +1,14 @@
 """The pipeline against a brute-force version of its stages."""
 
 import importlib.util
+import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from kinlattice.llm import exact, mixing, near, packing, quality
+from kinlattice.llm import exact, mixing, packing, quality
+from test_near import similar
 
 
 def brute(spark, sf_dir):
@@ -17,7 +20,8 @@ def brute(spark, sf_dir):
     for i in sorted(kept):
         largest[rows[i]["text"] or ""] = i
     kept = sorted(largest.values())
-    hashes = {i: near.word_hashes(rows[i]["text"] or "") for i in kept}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (rows[i]["text"] or "").lower()) for i in kept}
+    bags = {i: Counter(w) for i, w in words.items()}
     root = {i: i for i in kept}
 
     def find(x):
@@ -27,26 +31,27 @@ def brute(spark, sf_dir):
 
     for n, i in enumerate(kept):
         for j in kept[:n]:
-            if near.similarity(hashes[i], hashes[j]) >= near.THRESHOLD:
+            if find(i) != find(j) and similar(words[i], words[j], bags[i], bags[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     kept = [i for i in kept if find(i) == i]
     left = docs.where(docs.doc_id.isin(kept))
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left).collect()}
     enc = packing.encoder(packing.default_tokenizer())
-    lengths = {i: len(enc.encode([rows[i]["text"]])[0]) // 4 + 1 for i in copies}
-    return kept, copies, lengths
+    ids = {i: [*enc.tokenizer.encode(rows[i]["text"], add_special_tokens=False).ids, 1] for i in copies}
+    return kept, copies, ids
 
 
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
-    kept, copies, lengths = brute(spark, sf_dir)
+    kept, copies, ids = brute(spark, sf_dir)
     assert kept
-    assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == {i: c for i, c in copies.items() if c}
-    totals = Counter()
+    pieces = {}
     for r in out:
-        totals[r["doc_id"]] += r["length"]
-    assert totals == {i: c * lengths[i] for i, c in copies.items() if c}
+        pieces.setdefault((r["doc_id"], r["instance"]), []).append((r["start"], r["ids"]))
+    made = [(i, np.frombuffer(b"".join(bytes(x) for _, x in sorted(p)), "<u4").tolist()) for (i, _), p in pieces.items()]
+    assert Counter(i for i, _ in made) == {i: c for i, c in copies.items() if c}
+    assert all(x == ids[i] for i, x in made)
 
 
 def test_stages(spark, sf_dir):
