@@ -1,4 +1,4 @@
-"""Connected components by rounds of small-label spreading, on keyed string nodes."""
+"""Connected components by rounds of small-label spreading, on nodes named by strings or bytes."""
 
 from __future__ import annotations
 

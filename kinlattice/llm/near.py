@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import beside, compact, cut, map_arrow, small_side, text_of, words
@@ -216,8 +216,13 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return 0.0 if d is None else 1 - d / longer
 
 
+def _key(text: Column) -> Column:
+    """What names a text: its md5 in 16 bytes, half of what its digits take in every shuffle and broadcast."""
+    return F.unhex(F.md5(text))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (md5 of the text), n_words, the order MinHash sketch and the cells of every row."""
+    """doc_id, key (md5 of the text, 16 bytes), n_words, the order MinHash sketch and the cells of every row."""
     names = ["doc_id", "key", "n_words", "sketch", "cells"]
 
     def lists(rows: np.ndarray, of: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -250,14 +255,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield told(b.column(0).slice(at), b.column(1).slice(at), hashes)
 
     text = text_of()
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("key"), text.alias("text")), run, "doc_id long, key string, n_words long, sketch array<long>, cells array<smallint>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), _key(text).alias("key"), text.alias("text")), run, "doc_id long, key binary, n_words long, sketch array<long>, cells array<smallint>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar enough, with their similarity."""
     need = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     n = need.count()
-    keyed = docs.select(text_of().alias("text")).withColumn("key", F.md5("text"))
+    keyed = docs.select(text_of().alias("text")).withColumn("key", _key(F.col("text")))
     texts = cut(keyed.join(small_side(need, n), "key", "left_semi").dropDuplicates(["key"]))
     one = pairs.repartition("b").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
@@ -275,7 +280,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             at = pa.array([i for i, _ in keep], pa.int64())
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array([s for _, s in keep], pa.float64())], names=["a", "b", "similarity"])
 
-    return map_arrow(both.select("a", "b", "text_a", "text_b"), run, "a string, b string, similarity double")
+    return map_arrow(both.select("a", "b", "text_a", "text_b"), run, "a binary, b binary, similarity double")
 
 
 def _leaders(member: DataFrame, n: int, roots: DataFrame, used: DataFrame | None, n_used: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -333,7 +338,7 @@ def _rest(held: DataFrame) -> DataFrame:
 
 
 def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
-    """All pairs (a < b) of nodes (key, root) of several components that may be similar: an exact prefix filter on labelled words.
+    """All pairs (a < b) of nodes (key: md5 of the text in digits, root) of several components that may be similar: an exact prefix filter on labelled words.
 
     A pair at the threshold has 4/5 of the longer text's words in common at least. So if all texts list their words in one order, the first fifth of
     each, and one more, have a word in common, and behind the first such word enough is left in both. Rare words come first: words are
@@ -394,7 +399,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = member.count()
     member = compact(member, n)
 
-    links = docs.sparkSession.createDataFrame([], "a string, b string, similarity double")
+    links = docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
     roots, tested, used, width = links.select(F.col("a").alias("node"), F.col("b").alias("root")), None, None, 1
     n_links = n_tested = n_used = n_roots = 0
 
@@ -428,10 +433,11 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # CROWDS and LEADERS say what is searched first; all that they leave out follows
     left = cut(_open(every, roots, n_roots))
     pairs = _rest(compact(left.where(F.col("n") <= LEADERS[0][0]), n))
-    nodes = cut(left.where(F.col("n") > LEADERS[0][0]).select("key", "root").distinct())
+    digits = lambda c: F.lower(F.hex(c)).alias(c)
+    nodes = cut(left.where(F.col("n") > LEADERS[0][0]).select("key", "root").distinct().select(digits("key"), digits("root")))
     n_nodes = nodes.count()
     if n_nodes:
-        pairs = pairs.unionByName(_sharing(nodes, n_nodes, docs)).distinct()
+        pairs = pairs.unionByName(_sharing(nodes, n_nodes, docs).select(F.unhex("a").alias("a"), F.unhex("b").alias("b"))).distinct()
     pairs = cut(pairs.join(beside(tested, n_tested), ["a", "b"], "left_anti"))
     take(pairs, pairs.count())
     return sketched.select("doc_id", "key"), links, roots
@@ -463,7 +469,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     several = cut(ids.join(best, "root").select(F.col("key").alias("k"), "least", "keeps", F.col("n").alias("copies")))
     side = small_side(several, several.count())
     row = F.struct(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)])
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5(text_of()).alias("key"))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), _key(text_of()).alias("key"))
     judged = rows.join(side, F.col("key") == F.col("k"), "left")
     sure = judged.where("k is null or (key = keeps and copies = 1)").select("row")
     copies = judged.where("key = keeps and copies > 1").where(F.col("id").eqNullSafe(F.col("least"))).groupBy("key").agg(F.first("row").alias("row")).select("row")
