@@ -21,8 +21,8 @@ def hash_text(seed: object, *keys: Column | str) -> Column:
 
 
 def hash_number(seed: object, *keys: Column | str) -> Column:
-    """A seeded 32-bit whole number."""
-    return F.conv(F.substring(hash_text(seed, *keys), 1, 8), 16, 10).cast("long")
+    """A seeded 60-bit whole number."""
+    return F.conv(F.substring(hash_text(seed, *keys), 1, 15), 16, 10).cast("long")
 
 
 def edge_part(edge: Column, part: int) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dot
+from ..plans.shape import with_position
 
+#: Classes that one row gathers, and rows of such blocks that may be broadcast.
+CLASS_BLOCK, CLASS_BLOCKS = 1_000, 16
 METRICS = ("rmse", "mae", "hr@1", "retrieval_auroc", "retrieval_logloss")
 
 
@@ -22,13 +25,15 @@ def class_candidates(rows: DataFrame, key: str, number: int) -> DataFrame:
 
 
 def class_scores(seeds: DataFrame, classes: DataFrame) -> DataFrame:
-    """row_id, class_id, score for every seed and class; classes (class_id, emb) are as many as the task has.
+    """row_id, class_id, score for every seed and class (class_id, emb): the product that the head asks for.
 
-    The classes are gathered into one array, which each seed explodes: the product that the head asks for, without a join.
+    Classes are gathered in blocks of some CLASS_BLOCK, each seed meets every block, and a few blocks are broadcast.
     """
-    table = classes.agg(F.sort_array(F.collect_list(F.struct("class_id", F.col("emb").alias("c")))).alias("classes"))
-    key = seeds.withColumn("__k", F.lit(1)).join(F.broadcast(table.withColumn("__k", F.lit(1))), "__k")
-    return key.select("row_id", "emb", F.explode("classes").alias("x")).select("row_id", F.col("x.class_id").alias("class_id"), dot(F.col("emb"), F.col("x.c")).alias("score"))
+    blocks = max(1, -(-classes.count() // CLASS_BLOCK))
+    table = classes.groupBy(F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("__block")).agg(F.collect_list(F.struct("class_id", F.col("emb").alias("c"))).alias("classes"))
+    each = seeds.select("row_id", "emb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
+    met = each.join(F.broadcast(table) if blocks <= CLASS_BLOCKS else table, "__block")
+    return met.select("row_id", "emb", F.explode("classes").alias("x")).select("row_id", F.col("x.class_id").alias("class_id"), dot(F.col("emb"), F.col("x.c")).alias("score"))
 
 
 def rmse(o: Column, y: Column) -> Column:
@@ -74,13 +79,15 @@ def softmax(scores: DataFrame, digits: int = 9) -> DataFrame:
 def auroc(scored: DataFrame, keys: list[str]) -> DataFrame:
     """keys, auroc, from rows of keys, score, positive (0 or 1): the rank sum with ties at their mean rank.
 
-    Rows are first counted per distinct score, so what the window of a key orders are scores, not rows.
+    Rows are first counted per distinct score; ranks are running sums over all keys and scores, less what comes before the key, so
+    a key isn't one task.
     Keys without positives or without negatives are left out.
     """
     per = scored.groupBy(*keys, "score").agg(F.sum("positive").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    before = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0.0)) + (F.col("n") + 1) / 2)
-    s = ranked.groupBy(*keys).agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
+    ranked = with_position(per, *keys, "score", position="__pos", before={"__below": "n"})
+    # of what lies below all of a key's rows, each positive has the same share in its rank
+    rank = F.col("__below") + (F.col("n") + 1) / 2
+    s = ranked.groupBy(*keys).agg((F.sum(F.col("p") * rank) - F.sum("p") * F.min("__below")).alias("r"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
     return s.where("pos > 0 and neg > 0").select(*keys, ((F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auroc"))
 
 

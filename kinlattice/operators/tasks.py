@@ -12,6 +12,8 @@ from ..plans.shape import with_position
 from ..plans.specs import BatchSpec, TaskSpec
 
 SPLITS = ("train", "valid", "test")
+#: Draws with replacement that one row lists.
+DRAWS = 100_000
 
 
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
@@ -94,6 +96,20 @@ def completion_mask(rows: DataFrame, row_id: str, columns: list[str], seed: obje
     return rows.select(F.col(row_id).cast("long").alias("row_id"), F.get(names, at).alias("hidden"), F.get(values, at).alias("target"), one_hot(at, len(columns)).alias("mask"))
 
 
+def completion_mask_sampled(values: DataFrame, instance: str = "inst_id", name: str = "name", value: str = "value", seed: object = 42) -> DataFrame:
+    """instance, hidden (name), target (value as text): one seeded feature of every sampled instance, not of the roots only.
+
+    values: long-form features of sampled instances. mask_hidden takes what is hidden out of them.
+    """
+    drawn = F.min_by(F.struct(name, F.col(value).cast("string").alias("v")), F.struct(hash_text(seed, instance, name), name)).alias("h")
+    return values.groupBy(instance).agg(drawn).select(instance, F.col(f"h.{name}").alias("hidden"), F.col("h.v").alias("target"))
+
+
+def mask_hidden(values: DataFrame, hidden: DataFrame, instance: str = "inst_id", name: str = "name") -> DataFrame:
+    """Long-form features without those that completion_mask_sampled hid."""
+    return values.join(hidden.select(instance, F.col("hidden").alias(name)), [instance, name], "left_anti")
+
+
 def select_tasks(tasks: DataFrame, selector: str, groups: DataFrame | None = None) -> DataFrame:
     """ALLTASK, RETTASK, REGTASK, EXCEPT__name, a group of the group table (group_name, task), or names with commas."""
     if selector == "ALLTASK":
@@ -167,6 +183,8 @@ def sample_with_replacement(rows: DataFrame, ratios: dict[str, float], default:
     given = F.coalesce(F.element_at(F.create_map(*[x for g, r in ratios.items() for x in (F.lit(g), F.lit(float(r)))]), F.col(group)) if ratios else F.lit(None), F.lit(default))
     ratio = F.when(given.isNotNull(), given).otherwise(F.raise_error(F.concat(F.lit("no ratio for "), F.col(group))))
     wanted = F.floor(F.col("__n") * ratio)
-    draws = sizes.where(wanted > 0).select(group, "__first", "__n", F.explode(F.sequence(F.lit(0).cast("long"), wanted - 1)).alias("draw"))
+    # a group's draws are dealt out in blocks before they are listed
+    blocks = sizes.where(wanted > 0).select(group, "__first", "__n", wanted.alias("__wanted"), F.explode(F.sequence(F.lit(0).cast("long"), wanted - 1, F.lit(DRAWS).cast("long"))).alias("__from")).repartition(group, "__from")
+    draws = blocks.select(group, "__first", "__n", F.explode(F.sequence("__from", F.least(F.col("__from") + DRAWS, "__wanted") - 1)).alias("draw"))
     drawn = draws.select("draw", (F.col("__first") + hash_number(seed, group, "draw") % F.col("__n")).alias("__pos"))
     return numbered.join(drawn, "__pos").select("draw", *rows.columns)

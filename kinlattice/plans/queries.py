@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import aggregate, encoders, fewshot, ingest, merge, metrics, model, sampling, tasks
 from ..sources.catalog import read_table
+from .shape import with_position
 from .specs import BatchSpec, FewShotSpec, ModelSpec, SampleSpec, TaskSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,7 +256,7 @@ def metadata_join(spark, d):
 
 # Tasks and batches
 
-_TASK_ROWS = """h AS (SELECT doc_id, toxic, quality, cast('0x' || substr(md5(concat_ws('|', '42', doc_id)), 1, 8) AS BIGINT) % 100 AS b FROM labels),
+_TASK_ROWS = """h AS (SELECT doc_id, toxic, quality, cast('0x' || substr(md5(concat_ws('|', '42', doc_id)), 1, 15) AS BIGINT) % 100 AS b FROM labels),
 r AS (SELECT 'toxic' AS task, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'valid' ELSE 'test' END AS split, doc_id AS row_id, toxic::DOUBLE AS label FROM h
   UNION ALL SELECT 'quality', CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'valid' ELSE 'test' END, doc_id, quality::DOUBLE FROM h)"""
 
@@ -368,19 +369,57 @@ def downsample_absolute(spark, d):
 
 @query(f"""WITH {_TASK_ROWS}, n AS (SELECT *, {_NUMBERED.format(order='row_id')} AS pos, count(*) OVER (PARTITION BY task) AS n FROM r),
 s AS (SELECT DISTINCT task, n, floor(n * CASE task WHEN 'toxic' THEN 1.5 ELSE 0.5 END)::BIGINT AS wanted FROM n),
-d AS (SELECT task, n, u.draw AS draw, cast('0x' || substr(md5(concat_ws('|', '42', task, u.draw)), 1, 8) AS BIGINT) % n AS pos FROM s, unnest(range(wanted)) AS u(draw))
+d AS (SELECT task, n, u.draw AS draw, cast('0x' || substr(md5(concat_ws('|', '42', task, u.draw)), 1, 15) AS BIGINT) % n AS pos FROM s, unnest(range(wanted)) AS u(draw))
 SELECT d.task, d.draw, n.row_id FROM d JOIN n ON d.task = n.task AND d.pos = n.pos""")
 def sample_with_replacement(spark, d):
     return tasks.sample_with_replacement(task_rows(spark, d), {"toxic": 1.5}, default=0.5).select("task", "draw", "row_id")
 
 
-@query("""WITH c AS (SELECT *, cast('0x' || substr(md5(concat_ws('|', '42', c_custkey)), 1, 8) AS BIGINT) % 3 AS i FROM customer)
+@query("""WITH c AS (SELECT *, cast('0x' || substr(md5(concat_ws('|', '42', c_custkey)), 1, 15) AS BIGINT) % 3 AS i FROM customer)
 SELECT c_custkey AS row_id, ['c_name', 'c_nationkey', 'c_mktsegment'][i + 1] AS hidden, [c_name, c_nationkey::VARCHAR, c_mktsegment][i + 1] AS target, (i = 0)::VARCHAR || ',' || (i = 1)::VARCHAR || ',' || (i = 2)::VARCHAR AS mask FROM c""")
 def completion_mask(spark, d):
     rows = tasks.completion_mask(read_table(spark, d, "customer"), "c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])
     return rows.withColumn("mask", F.array_join(F.transform("mask", lambda x: x.cast("string")), ","))
 
 
+@query("""WITH s AS (SELECT doc_id, toxic, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'valid' ELSE 'test' END AS split FROM (SELECT *, cast('0x' || substr(md5(concat_ws('|', '42', doc_id)), 1, 15) AS BIGINT) % 100 AS b FROM labels)),
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS pos FROM s)
+SELECT pos, doc_id, toxic FROM r WHERE split = 'valid' AND pos IN (SELECT pos FROM r WHERE split = 'test')""")
+def split_lookup(spark, d):
+    """The validation rows at the positions that the test split has."""
+    rows = read_table(spark, d, "labels").select("doc_id", "toxic", tasks.split_of(F.col("doc_id")).alias("split"))
+    parts = [with_position(rows.where(F.col("split") == s), "doc_id") for s in ("valid", "test")]
+    return tasks.split_lookup(parts[0], "valid", parts[1].select("pos")).select("pos", "doc_id", "toxic")
+
+
+_SAMPLED_FEATURES = """v AS (SELECT root_id, inst_id, x.name, x.value FROM every JOIN customer ON node_type = 'customer' AND row_id = c_custkey,
+  (SELECT unnest(['customer___c_name', 'customer___c_mktsegment', 'customer___c_nationkey']) AS name, unnest([c_name, c_mktsegment, c_nationkey::VARCHAR]) AS value) x)"""
+
+
+@query(_BACK + ", " + _SAMPLED_FEATURES + """, k AS (SELECT *, row_number() OVER (PARTITION BY inst_id ORDER BY md5(concat_ws('|', '42', inst_id, name)), name) AS nth FROM v)
+SELECT inst_id, name AS hidden, value AS target FROM k WHERE nth = 1""")
+def completion_mask_sampled(spark, d):
+    """One column of every sampled instance is hidden, also of those behind the roots."""
+    return tasks.completion_mask_sampled(_sampled_features(spark, d))
+
+
+@query(_BACK + ", " + _SAMPLED_FEATURES + """, k AS (SELECT *, row_number() OVER (PARTITION BY inst_id ORDER BY md5(concat_ws('|', '42', inst_id, name)), name) AS nth FROM v)
+SELECT root_id, inst_id, name, value FROM k WHERE nth > 1""")
+def completion_rest_sampled(spark, d):
+    """What is left to see of them."""
+    values = _sampled_features(spark, d)
+    return tasks.mask_hidden(values, tasks.completion_mask_sampled(values)).select("root_id", "inst_id", "name", "value")
+
+
+def _sampled_features(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "customer")
+    edges = {("customer", PLACED, "orders"): orders_of_customers(spark, d), ("orders", PLACED, "customer"): customers_of_orders(spark, d)}
+    names = ["c_name", "c_mktsegment", "c_nationkey"]
+    found = sampling.with_features(sampling.sample(customers(spark, d, cutoff=False), "customer", edges, SampleSpec(hops=2, fanout=3)), c, "customer", "c_custkey", names)
+    pairs = F.array(*[F.struct(F.lit(f"customer___{n}").alias("name"), F.col(n).cast("string").alias("value")) for n in names])
+    return found.select("root_id", "inst_id", F.explode(pairs).alias("x")).select("root_id", "inst_id", "x.*")
+
+
 # Encoders
 
 _DICTIONARY = """v AS (SELECT DISTINCT 0 AS part, 'lang' AS "column", lang AS value FROM documents UNION ALL SELECT DISTINCT 1, 'source', source FROM documents),
@@ -471,7 +510,7 @@ def edge_name_embedding(spark, d):
 # Few-shot
 
 _DRAWS = """k AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS time_rank, rank() OVER (ORDER BY ts) - 1 AS n_before FROM events),
-d AS (SELECT event_id AS root_id, u.i::INT AS draw, cast('0x' || substr(md5(concat_ws('|', '42', event_id, u.i)), 1, 8) AS BIGINT) % n_before AS time_rank FROM k, unnest(range({k})) AS u(i) WHERE n_before > 0),
+d AS (SELECT event_id AS root_id, u.i::INT AS draw, cast('0x' || substr(md5(concat_ws('|', '42', event_id, u.i)), 1, 15) AS BIGINT) % n_before AS time_rank FROM k, unnest(range({k})) AS u(i) WHERE n_before > 0),
 x AS (SELECT root_id, draw, event_id AS example_id FROM d JOIN k USING (time_rank))"""
 
 

@@ -42,6 +42,7 @@ class TaskSpec:
     all_features: tuple[str, ...] = ()
     allowed_features: tuple[str, ...] = ()
     time_column: str | None = None
+    classes: int = 1
 
     def __post_init__(self) -> None:
         if self.task_type not in ("retrieval", "regression"):

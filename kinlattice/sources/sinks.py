@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +46,26 @@ def save_vectors(df: DataFrame, path: str, kind: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{kind}")
 
 
+def save_weights(spark: SparkSession, path: str, weights: dict[str, np.ndarray], value: float | None = None) -> bool:
+    """Model weights as an .npz file in any store that Spark writes; with a value (higher is better), only if it beats that of the file there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if value is not None and store.exists(at):
+        from .catalog import read_weights
+
+        had = read_weights(spark, path).get("__value__")
+        if had is not None and float(had) >= value:
+            return False
+    packed = io.BytesIO()
+    np.savez(packed, **weights, **({} if value is None else {"__value__": np.float64(value)}))
+    out = store.create(at, True)
+    try:
+        out.write(packed.getvalue())
+    finally:
+        out.close()
+    return True
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     """One more set of rows in the log of metrics (run, step, name, value)."""
     df.write.mode("append").parquet(path)

@@ -69,3 +69,61 @@ def test_edge_round_trip_keeps_times(spark, sf_dir, tmp_path):
     sinks.save_edges(e, str(tmp_path))
     back = spark.read.parquet(f"{tmp_path}/edge").select("edge_type", "src", "dst", F.col("ts"))
     assert back.exceptAll(e).count() == 0 and back.count() == e.count()
+
+
+def test_arrays_keep_their_kind(spark, tmp_path):
+    p = str(tmp_path)
+    np.save(f"{p}/big.npy", np.array([2**60 + 1, -5]))
+    np.save(f"{p}/text.npy", np.array(["a", "bc"]))
+    np.save(f"{p}/none.npy", np.zeros(0))
+    np.save(f"{p}/edges.npy", np.array([[2**60 + 1, 1, 1], [5, 6, 6]]))
+    assert [tuple(r) for r in catalog.read_array(spark, f"{p}/big.npy", "long").orderBy("pos").collect()] == [(0, 2**60 + 1), (1, -5)]
+    assert [r["value"] for r in catalog.read_array(spark, f"{p}/text.npy", "string").orderBy("pos").collect()] == ["a", "bc"]
+    assert catalog.read_array(spark, f"{p}/none.npy").count() == 0
+    assert sorted(tuple(r) for r in catalog.read_edges(spark, f"{p}/edges.npy").collect()) == [(1, 6), (1, 6), (2**60 + 1, 5)]
+
+
+def test_catalogue_edges_and_tasks(spark, tmp_path):
+    p = str(tmp_path)
+    for name, a in {"ab": [[0, 1], [5, 6]], "aa": [[0], [1]], "pairs": [[3, 1], [4, 0]], "pairs_v": [[5, 1], [6, 0], [7, 2]], "hits": [0, 1, 1], "times": [10, 20], "times_v": [1, 2, 3], "seeds": [0, 2], "y": [0.5, 1.5]}.items():
+        np.save(f"{p}/{name}.npy", np.array(a))
+    edges = [{"type": t, "path": f"{f}.npy"} for t, f in (("a:r:b", "ab"), ("a:likes:a", "aa"), ("b:reverse_r:a", "ab"), ("a:x-self_loop:a", "aa"))]
+    data = lambda **x: [{"data": [{"name": n, "path": f"{f}.npy"} for n, f in x.items()]}]
+    held = data(node_pairs="pairs_v", labels="hits", timestamp="times_v")
+    fields = {"target_type": "a", "evaluation_metric": "hr@1", "task_type": "retrieval", "num_classes": 3}
+    pairs = {"extra_fields": fields | {"name": "kind", "seed_type": "g:a_kind"}, "train_set": data(node_pairs="pairs", timestamp="times"), "validation_set": held, "test_set": held}
+    numbers = data(seed_nodes="seeds", labels="y")
+    number = {"extra_fields": fields | {"name": "d-size", "seed_type": "a", "task_type": "regression", "evaluation_metric": "rmse"}, "train_set": numbers, "validation_set": numbers, "test_set": numbers}
+    other = {"extra_fields": number["extra_fields"] | {"name": "d-x", "seed_type": "b"}} | {k: numbers for k in ("train_set", "validation_set", "test_set")}
+    c = {"graph": {"edges": edges}, "tasks": [pairs, number, other]}
+    found = sorted(tuple(r) for r in catalog.catalogue_edges(spark, c, p).collect())
+    assert found == [("head of a:likes:a", 0, 1), ("head of a:r:b", 0, 5), ("head of a:r:b", 1, 6), ("tail of a:r:b", 5, 0), ("tail of a:r:b", 6, 1)]
+    specs = catalog.task_specs(c, {"a": ["a___text_kind", "a___size"]})
+    assert [(s.name, s.seed_type, s.allowed_features, s.classes) for s in specs] == [("kind", "a_kind", ("a___size",), 3), ("d-size", "a", ("a___text_kind",), 1)]
+    rows = catalog.catalogue_tasks(spark, c, p, [s.name for s in specs])
+    assert sorted(tuple(r)[2:] for r in rows.where("task = 'kind' and split = 'train'").collect()) == [(0, 3, 1.0, 10), (1, 4, 0.0, 20)]
+    assert sorted(tuple(r)[2:] for r in rows.where("task = 'kind' and split = 'test'").collect()) == [(0, 6, 0.0, 2), (1, 7, 2.0, 3)]
+    assert sorted(tuple(r)[2:] for r in rows.where("task = 'd-size' and split = 'valid'").collect()) == [(0, 0, 0.5, None), (1, 2, 1.5, None)]
+
+
+def test_prepared_data_is_read_back(spark, tmp_path):
+    p = str(tmp_path)
+    sinks.save_features(spark.createDataFrame([(0, 1.5)], "row_id long, x double"), p, "a")
+    sinks.save_features(spark.createDataFrame([(0, 2.5)], "row_id long, x double"), p, "b")
+    sinks.save_text_dictionary(spark.createDataFrame([(0, [1.0])], "code long, emb array<double>"), p, "a")
+    assert catalog.load_graph(spark, p, ["a"])["a"]["edges"] is None
+    sinks.save_edges(spark.createDataFrame([("head of a:r:b", 0, 0), ("tail of a:r:b", 0, 0)], "edge_type string, src long, dst long"), p)
+    sinks.save_tasks(spark.createDataFrame([("t", "train", 1), ("u", "test", 2)], "task string, split string, row_id long"), p)
+    g = catalog.load_graph(spark, p, ["a", "b"])
+    assert g["a"]["features"].first()["x"] == 1.5 and g["a"]["text"].count() == 1 and g["b"]["text"] is None
+    assert [r["edge_type"] for r in g["b"]["edges"].collect()] == ["tail of a:r:b"]
+    assert catalog.load_tasks(spark, p).where("task = 'u'").first()["row_id"] == 2
+
+
+def test_best_weights_are_kept(spark, tmp_path):
+    p = str(tmp_path / "w.npz")
+    save = lambda x, value=None: sinks.save_weights(spark, p, {"a": np.full(2, x)}, value)
+    assert save(1.0, -0.5) and not save(2.0, -0.5) and not save(3.0, -0.7)
+    assert catalog.read_weights(spark, p)["a"].tolist() == [1.0, 1.0]
+    assert save(4.0, -0.1) and save(5.0)
+    assert catalog.read_weights(spark, p)["a"].tolist() == [5.0, 5.0]
