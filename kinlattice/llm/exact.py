@@ -27,6 +27,8 @@ from .common import cut, shuffle_partitions, small_side, text_of
 
 #: Fingerprints that a task gathers before it writes filters: 32 MB.
 GATHER = 4_000_000
+#: Fingerprints of a block on average, if all are distinct: a merge holds some 32 bytes for each.
+BLOCK = 4_000_000
 LOAD = 0.8
 
 
@@ -133,10 +135,10 @@ def _repeated(block_bits: int):
 def repeated_fingerprints(fingerprints: DataFrame, blocks: int | None = None) -> DataFrame:
     """fingerprint, n: those of the single long column that occur more than once.
 
-    blocks: parts of the fingerprint space, each merged by one task; twice the shuffle partitions if not given,
-    so a block holds a bounded share of the distinct fingerprints.
+    blocks: parts of the fingerprint space, each merged by one task; if not given, twice the shuffle partitions, or as many more
+    as keep a block near BLOCK rows (the rows are counted, which a Parquet table answers from its footers).
     """
-    block_bits = max(4, math.ceil(math.log2(blocks or 2 * shuffle_partitions(fingerprints.sparkSession))))
+    block_bits = max(4, math.ceil(math.log2(blocks or max(2 * shuffle_partitions(fingerprints.sparkSession), fingerprints.count() // BLOCK))))
     filters = fingerprints.mapInArrow(_filters(block_bits), "block long, filter binary")
     return filters.groupBy("block").applyInArrow(_repeated(block_bits), "fingerprint long, n long")
 
