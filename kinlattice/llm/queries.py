@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, mixing, near, packing, quality, suffix, toxicity, warc
+from . import chat, divergence, exact, leaks, lines, mixing, near, packing, quality, suffix, toxicity, variants, warc
 from .common import documents
 from .sql import ORACLES
 
@@ -54,8 +54,34 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(table.unionByName(own))).drop("n_tokens", "n_loss_tokens")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(documents(spark, sf_dir))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.scan_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_toxicity, op3_order_minhash, op4_mixing, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op8_warc_derivatives, op9_packing, op10_chat)
+    for f in (
+        op1_suffix_dedup,
+        op2_toxicity,
+        op3_order_minhash,
+        op4_mixing,
+        op5_exact_dedup,
+        op6_quality_rules,
+        op7_line_dedup,
+        op8_warc_derivatives,
+        op9_packing,
+        op10_chat,
+        op11_source_divergence,
+        op12_spelling_variants,
+        op13_secret_scan,
+    )
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -109,3 +109,76 @@ k AS (SELECT *, floor(odds / (1 + odds) * 281474976710656::DOUBLE)::BIGINT AS k,
 r AS (SELECT *, k IS NOT NULL AND coalesce(sum(CASE WHEN k IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY k NULLS LAST, coalesce(doc_id, -1), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE <= rest AS sampled FROM k)
 SELECT doc_id, size, source_size, target, ((certain + sampled::INT) * size)::BIGINT AS taken FROM r
 """
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLES["op11_source_divergence"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT rid, lang, source, unnest(terms) AS term FROM t),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM t),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n)::BIGINT AS n FROM c GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(s.n, 0) + 2 * v.v) AS p,
+        1 + 1000000000 * (k.n + 2) // (v.n + 2 * v.v) AS q
+      FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+d AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+      FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM x WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+#: The table that crc32 looks bytes up in, and the checksum of the UTF-8 of a text with it.
+_CRC_TABLE = """crc AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) AS r(i)))"""
+_BYTES = "list_transform(range(0, strlen({s})), lambda i: ('0x' || substr(hex({s}), 2 * i + 1, 2))::BIGINT)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+k AS (SELECT doc, run, count(*) AS n FROM o WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, length(run) AS len, {_CRC.format(s="(doc || ':' || run)")} AS h FROM k, crc),
+e AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len)::INT) || substr(run, (h % len)::INT + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS len FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+-- two words are near if both without one letter at the same place, or one without a letter and the other, are equal
+d AS (SELECT word, u.i AS i, substr(word, 1, u.i) || substr(word, u.i + 2) AS rest FROM w, unnest(range(0, len)) AS u(i)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word < b.word
+  UNION SELECT w.word, d.word FROM d JOIN w ON w.word = d.rest),
+l AS (SELECT a AS word, b AS near FROM p UNION SELECT b, a FROM p),
+f AS (SELECT l.word, count(*) AS n_near, max(y.n) AS top, first(l.near ORDER BY y.n DESC, l.near) AS near
+      FROM l JOIN w y ON y.word = l.near GROUP BY l.word),
+z AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN near END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN f ON f.word = w.word),
+c AS (SELECT word, word AS here, 0 AS steps FROM z UNION ALL SELECT c.word, z.form, steps + 1 FROM c JOIN z ON z.word = c.here WHERE z.form IS NOT NULL),
+r AS (SELECT word, arg_max(here, steps) AS root FROM c GROUP BY word)
+SELECT z.word, form, root, n, n_near, form_n FROM z JOIN r ON r.word = z.word
+"""
+
+_ANY_CASE = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+_ASSIGN = "(" + "|".join(_ANY_CASE(w) for w in ("password", "passwd", "secret", "token")) + "|" + _ANY_CASE("api") + "_?" + _ANY_CASE("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRET_KINDS = [("assign", _ASSIGN, 2, "length(g) >= 8"), ("access", "(AKIA[A-Z0-9]+)", 1, "length(g) >= 16"), ("hex", "([0-9a-f]{32,})", 1, "true"), ("github", "gh[pousr]_([A-Za-z0-9]{36})", 1, "sum62(g)"), ("npm", "npm_([A-Za-z0-9]{36})", 1, "sum62(g)")]
+_DIGIT = "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 1 + (c // {p} % 62)::INT, 1)"
+_SUM62 = "substr(g, 31) = (SELECT " + " || ".join(_DIGIT.format(p=62**i) for i in range(5, -1, -1)) + f" FROM (SELECT {_CRC.format(s='substr(g, 1, 30)')} AS c FROM crc))"
+
+ORACLES["op13_secret_scan"] = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS s FROM documents),
+""" + ",\n".join(
+    f"""m{i} AS (SELECT rid, regexp_extract_all(s, '{p}') AS m, regexp_extract_all(s, '{p}', {part}) AS g, string_split_regex(s, '{p}') AS between FROM t WHERE regexp_matches(s, '{p}')),
+k{i} AS (SELECT rid, {i} AS k, '{kind}' AS kind, m[u.i] AS m, g[u.i] AS g, (coalesce(list_sum(list_transform(between[1:u.i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:u.i - 1], lambda x: length(x))), 0))::BIGINT AS place
+  FROM m{i}, unnest(range(1, len(m) + 1)) AS u(i)),
+f{i} AS (SELECT rid, k, place, kind || ':' || place || ':' || place + length(m) AS told FROM k{i} WHERE {_SUM62 if ok.startswith("sum62") else ok})"""
+    for i, (kind, p, part, ok) in enumerate(_SECRET_KINDS)
+) + """,
+f AS (""" + " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(len(_SECRET_KINDS))) + """),
+a AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        string_agg(told, ',' ORDER BY place, k) FILTER (k < 3) AS base, string_agg(told, ',' ORDER BY place, k) AS every FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM t LEFT JOIN a USING (rid)
+"""
