@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from kinlattice.llm import divergence, leaks, variants
 
@@ -179,10 +180,13 @@ def test_shares_beyond_64_bits(spark):
     assert row["p"] == 1 + 10**9 * (n + 2) // (total + 2 * v)
 
 
-def test_term_counts_hand_over_in_parts(spark, monkeypatch):
-    raw = b"alpha beta " * 1000
-    monkeypatch.setattr(divergence, "PIECE", 17)
-    assert sum((Counter(p.split()) for p in divergence._pieces(raw)), Counter()) == Counter(raw.split())
+def test_term_counts_hand_over_in_parts():
+    """A task's counts add up whether it hands them on once or with every batch."""
+    rows = [("en", "a", b"Alpha beta, beta"), ("en", "", b""), ("", "a", "ÄB äb".encode()), ("en", "a", b"\n beta\t"), ("en", "b", b"42 \x0b!")]
+    parts = [divergence._counted(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["lang", "source", "text"])) for some in (rows, rows[:2], rows[2:], rows[1:2])]
+    whole, again = parts[0], divergence._summed(pa.concat_tables(parts[1:]))
+    told = lambda t: sorted(map(tuple, (r.values() for r in t.to_pylist())))
+    assert told(whole) == told(again) == [("", "a", "Äb", 1, 1), ("", "a", "äb", 1, 1), ("en", "a", "alpha", 1, 1), ("en", "a", "beta", 3, 2)]
 
 
 # Secrets
