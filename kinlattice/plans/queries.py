@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import aggregate, encoders, fewshot, ingest, merge, metrics, model, sampling, tasks
+from ..operators import aggregate, encoders, fewshot, homogeneous, ingest, merge, metrics, model, sampling, tasks
 from ..sources.catalog import read_table
 from .shape import with_position
 from .specs import BatchSpec, FewShotSpec, ModelSpec, SampleSpec, TaskSpec
@@ -65,12 +65,17 @@ _SEEDS = """seeds AS (SELECT c_custkey AS root_id, md5(concat_ws('|', 'root', 'c
 _CUTOFF = "TIMESTAMP '1997-01-01' + to_days((c_custkey % 1000)::INT)"
 
 
-def _hop(name: str, source: str, hop: int, edge: str, to_type: str, table: str, src: str, dst: str, ts: str | None, fanout: int) -> str:
-    older = f"AND (f.cutoff IS NULL OR e.{ts} < f.cutoff)" if ts else ""
-    draw = f"md5(concat_ws('|', '42', '{hop}', f.inst_id, '{edge}', {dst}))"
-    return f"""{name} AS (SELECT root_id, md5(concat_ws('|', 'path', f.inst_id, '{edge}', {dst})) AS inst_id, f.inst_id AS parent_inst, {hop} AS hop, '{to_type}' AS node_type,
-  {dst} AS row_id, '{edge}' AS edge_type, f.cutoff FROM {source} f JOIN {table} e ON f.row_id = e.{src} {older}
-  QUALIFY row_number() OVER (PARTITION BY f.inst_id ORDER BY {draw}, {dst}) <= {fanout})"""
+def _hop(name: str, source: str, hop: int, edge: str, to_type: str, table: str, src: str, dst: str, ts: str | None, fanout: int | None) -> str:
+    """A hop: neighbours in order of time, how many are old enough, positions drawn among them by Floyd's method, and the rows there."""
+    when, older = ts or "NULL::TIMESTAMP", "f.cutoff IS NULL OR e.ts IS NULL OR e.ts < f.cutoff"
+    first = "0" if fanout is None else f"greatest(n - {fanout}, 0)"
+    draw = f"cast('0x' || substr(md5(concat_ws('|', '42', '{hop}', inst_id, '{edge}', x[1])), 1, 15) AS BIGINT) % (x[1] + 1)"
+    floyd = f"list_reduce(list_prepend([]::BIGINT[], list_transform(range({first}, n), lambda j: [j])), lambda s, x: list_append(s, CASE WHEN list_contains(s, {draw}) THEN x[1] ELSE {draw} END))"
+    return f"""{name}_e AS (SELECT {src} AS src, {dst} AS dst, {when} AS ts, row_number() OVER (PARTITION BY {src} ORDER BY {when} NULLS FIRST, {dst}) - 1 AS pos FROM {table}),
+{name}_n AS (SELECT f.root_id, f.inst_id, f.row_id, f.cutoff, count(*) AS n FROM {source} f JOIN {name}_e e ON f.row_id = e.src WHERE {older} GROUP BY ALL),
+{name}_d AS (SELECT root_id, inst_id, row_id AS src, cutoff, unnest({floyd if fanout is not None else "range(0, n)"}) AS pos FROM {name}_n),
+{name} AS (SELECT root_id, md5(concat_ws('|', 'path', inst_id, '{edge}', pos)) AS inst_id, inst_id AS parent_inst, {hop} AS hop, '{to_type}' AS node_type,
+  dst AS row_id, '{edge}' AS edge_type, cutoff FROM {name}_d JOIN {name}_e USING (src, pos))"""
 
 
 _H1 = _hop("h1", "seeds", 1, f"tail of {PLACED}", "orders", "orders", "o_custkey", "o_orderkey", "o_orderdate", 5)
@@ -94,7 +99,7 @@ def neighbor_sample_2hop(spark, d):
     return _two_hops(spark, d)
 
 
-_BACK = f"""WITH {_SEEDS.format(cutoff="NULL::TIMESTAMP")}, {_hop("h1", "seeds", 1, f"tail of {PLACED}", "orders", "orders", "o_custkey", "o_orderkey", None, 3)},
+_BACK = f"""WITH {_SEEDS.format(cutoff="NULL::TIMESTAMP")}, {_hop("h1", "seeds", 1, f"tail of {PLACED}", "orders", "orders", "o_custkey", "o_orderkey", "o_orderdate", 3)},
 {_hop("h2", "h1", 2, f"head of {PLACED}", "customer", "orders", "o_orderkey", "o_custkey", None, 3)},
 every AS (SELECT * FROM seeds UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) """
 
@@ -106,7 +111,7 @@ def neighbor_sample_nocutoff(spark, d):
     return sampling.sample(customers(spark, d, cutoff=False), "customer", edges, SampleSpec(hops=2, fanout=3)).select("root_id", "inst_id", "hop", "node_type", "row_id")
 
 
-@query(f"WITH {_SEEDS.format(cutoff=_CUTOFF)}, {_H1.replace('<= 5', '<= 1000000')} SELECT root_id, row_id FROM h1")
+@query(f"WITH {_SEEDS.format(cutoff=_CUTOFF)}, {_hop('h1', 'seeds', 1, f'tail of {PLACED}', 'orders', 'orders', 'o_custkey', 'o_orderkey', 'o_orderdate', None)} SELECT root_id, row_id FROM h1")
 def neighbor_sample_unlimited(spark, d):
     edges = {("customer", PLACED, "orders"): orders_of_customers(spark, d)}
     return sampling.sample(customers(spark, d), "customer", edges, SampleSpec(hops=1, fanout=None)).where("hop = 1").select("root_id", "row_id")
@@ -128,6 +133,22 @@ def graph_unify_offsets(spark, d):
     return sampling.type_offsets(_two_hops(spark, d), "customer")
 
 
+_NODES = ", z AS (SELECT *, row_number() OVER (ORDER BY node_type <> 'customer', node_type, inst_id) - 1 AS node, dense_rank() OVER (ORDER BY node_type <> 'customer', node_type) - 1 AS type_code FROM every) "
+
+
+@query(_TWO + _NODES + "SELECT node, type_code::INT AS type_code, node_type, inst_id, root_id, hop::INT AS hop, row_id FROM z")
+def graph_unify_nodes(spark, d):
+    """All instances of a sample numbered as one graph, type after type."""
+    return homogeneous.numbered_nodes(_two_hops(spark, d), "customer")
+
+
+@query(_TWO + _NODES + "SELECT p.node AS src, c.node AS dst, (dense_rank() OVER (ORDER BY c.edge_type) - 1)::INT AS relation, c.edge_type FROM z c JOIN z p ON p.inst_id = c.parent_inst")
+def graph_unify_edges(spark, d):
+    """Its edges between those numbers, with a code for each relation."""
+    nodes = _two_hops(spark, d)
+    return homogeneous.unify(nodes, sampling.sub_edges(nodes), "customer")[1]
+
+
 @query(_TWO + "SELECT root_id, count(*) FILTER (hop = 1) AS n_orders, count(*) FILTER (hop = 2) AS n_lines, round(avg(o_totalprice), 4) AS mean_price FROM every LEFT JOIN orders ON node_type = 'orders' AND row_id = o_orderkey GROUP BY root_id")
 def sampled_customer_summary(spark, d):
     """What a sample is for: features of sampled rows, aggregated per root."""
@@ -565,7 +586,7 @@ def event_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     return sampling.sample(roots, "events", edges, spec), sampling.sample(fewshot.example_seeds(draws, roots, "events"), "events", edges, spec), draws
 
 
-@query(f"""WITH {_DRAWS.format(k=3)}, {_EVENT_USERS} SELECT root_id, inst AS src_inst, md5(concat_ws('|', 'path', inst, 'head of {BY}', user_id)) AS dst_inst, 'head of {BY}' AS edge_type FROM s
+@query(f"""WITH {_DRAWS.format(k=3)}, {_EVENT_USERS} SELECT root_id, inst AS src_inst, md5(concat_ws('|', 'path', inst, 'head of {BY}', 0)) AS dst_inst, 'head of {BY}' AS edge_type FROM s
 UNION ALL SELECT root_id, {_ROOT}, {_EXAMPLE}, 'fewshot' FROM x""")
 def fewshot_merge_graphs(spark, d):
     """The edges of the main sample, of the examples' samples, and the links from roots to examples."""
@@ -573,6 +594,18 @@ def fewshot_merge_graphs(spark, d):
     return fewshot.merge_graphs(sampling.sub_edges(main), sampling.sub_edges(few), fewshot.link_edges(draws, "events"))
 
 
+@query(f"""WITH {_DRAWS.format(k=3)}, {_EVENT_USERS}, e AS (SELECT root_id, inst AS src_inst, md5(concat_ws('|', 'path', inst, 'head of {BY}', 0)) AS dst_inst, 'head of {BY}' AS edge_type FROM s
+  UNION ALL SELECT root_id, {_ROOT}, {_EXAMPLE}, 'fewshot' FROM x),
+i AS (SELECT 'events' AS node_type, inst AS inst_id FROM s UNION ALL SELECT 'customer', dst_inst FROM e WHERE edge_type <> 'fewshot'),
+z AS (SELECT inst_id, row_number() OVER (ORDER BY node_type <> 'events', node_type, inst_id) - 1 AS node FROM i)
+SELECT a.node AS src, b.node AS dst, CASE edge_type WHEN 'fewshot' THEN 0 ELSE 1 END AS relation, edge_type FROM e JOIN z a ON a.inst_id = src_inst JOIN z b ON b.inst_id = dst_inst""")
+def graph_unify_fewshot(spark, d):
+    """Roots, their examples, the samples of both and the links between them as one numbered graph."""
+    main, few, draws = event_graphs(spark, d)
+    edges = fewshot.merge_graphs(sampling.sub_edges(main), sampling.sub_edges(few), fewshot.link_edges(draws, "events"))
+    return homogeneous.unify(main.unionByName(few), edges, "events")[1]
+
+
 @query(f"""WITH {_DRAWS.format(k=3)}, {_EVENT_USERS} SELECT s.root_id, inst AS inst_id, event_type, value FROM s JOIN events USING (event_id) WHERE inst <> {_ROOT.replace("root_id", "s.root_id")}""")
 def fewshot_example_nodes(spark, d):
     """The examples' instances with features of their rows."""
@@ -582,8 +615,8 @@ def fewshot_example_nodes(spark, d):
 
 
 @query("""WITH s AS (SELECT c_custkey AS root_id, md5(concat_ws('|', 'root', 'customer', c_custkey)) AS inst FROM customer),
-e AS (SELECT root_id, inst, l_suppkey AS dst, row_number() OVER (PARTITION BY root_id, l_suppkey) AS nth FROM s JOIN orders ON o_custkey = root_id JOIN lineitem ON l_orderkey = o_orderkey)
-SELECT root_id, CASE WHEN nth = 1 THEN md5(concat_ws('|', 'path', inst, 'tail of supplier:sold_to:customer', dst)) ELSE md5(concat_ws('|', 'path', inst, 'tail of supplier:sold_to:customer', dst, nth)) END AS inst_id, dst AS row_id FROM e""")
+e AS (SELECT root_id, inst, l_suppkey AS dst, row_number() OVER (PARTITION BY root_id ORDER BY l_suppkey) - 1 AS pos FROM s JOIN orders ON o_custkey = root_id JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT root_id, md5(concat_ws('|', 'path', inst, 'tail of supplier:sold_to:customer', pos)) AS inst_id, dst AS row_id FROM e""")
 def neighbor_sample_parallel_edges(spark, d):
     """A customer and a supplier have an edge for every line: each is a neighbour of its own."""
     sold = read_table(spark, d, "orders").join(read_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))

@@ -29,11 +29,6 @@ def save_edges(df: DataFrame, path: str) -> bool:
     return True
 
 
-def save_edges_bucketed(df: DataFrame, table: str, buckets: int = 64) -> None:
-    """Edges bucketed by src, so that joins on src need no shuffle of edges."""
-    df.write.mode("overwrite").bucketBy(buckets, "src").sortBy("src").saveAsTable(table)
-
-
 def save_tasks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("task", "split").parquet(f"{path}/task")
 

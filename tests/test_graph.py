@@ -1,9 +1,10 @@
 """The semantics of the graph operators on a hand-built graph."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
-from kinlattice.operators import fewshot, ingest, merge, metrics, sampling, tasks
+from kinlattice.operators import adjacency, fewshot, homogeneous, ingest, merge, metrics, sampling, tasks
 from kinlattice.plans.specs import BatchSpec, FewShotSpec, SampleSpec, TaskSpec
 from pyspark.sql import functions as F
 
@@ -83,11 +84,119 @@ def test_sampling_bounds_on_fixtures(spark, sf_dir):
     spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
-def test_fanout_is_cut_before_the_shuffle(spark, sf_dir):
+@pytest.fixture(scope="module")
+def hub(spark):
+    """A source with 2,000 neighbours at 700 times, some without one and some parallel, one with 3, and 60 roots with cutoffs on, between and beyond these times."""
+    rng = random.Random(1)
+    rows = [("tail of o:by:c", 0, rng.randrange(500), at(None if i % 40 == 0 else rng.randrange(700) * 2)) for i in range(2000)] + [("tail of o:by:c", 1, i, at(i)) for i in range(3)]
+    pairs = [(0, t) for t in (-1, 0, 1, 2, 13, 200, 401, 1397, 1398, 5000, None)] * 5 + [(1, t) for t in (0, 2, 9, None)] + [(7, 3)]
+    edges = spark.createDataFrame(rows, "edge_type string, src long, dst long, ts timestamp_ntz")
+    frontier = spark.createDataFrame([(k, f"i{k}", c, at(t)) for k, (c, t) in enumerate(pairs)], "root_id long, inst_id string, row_id long, cutoff timestamp_ntz")
+    older = lambda c, t: [(r[2], r[3]) for r in rows if r[1] == c and (t is None or r[3] is None or r[3] < at(t))]
+    return edges, frontier, pairs, older
+
+
+def test_eligible_neighbours_are_a_counted_prefix(hub):
+    edges, frontier, pairs, older = hub
+    index = adjacency.adjacency_index(edges)
+    assert index.marks.count() == 7
+    found = {r["root_id"]: r["n_older"] for r in adjacency.eligible(index, frontier).collect()}
+    assert found == {k: len(older(c, t)) for k, (c, t) in enumerate(pairs) if older(c, t)}
+    places = sorted((r["src"], r["pos"]) for r in index.edges.collect())
+    assert places == [(0, i) for i in range(2000)] + [(1, i) for i in range(3)]
+
+
+@pytest.mark.parametrize("fanout", [1, 4, 30])
+def test_draws_from_a_hub(spark, hub, fanout):
+    edges, frontier, pairs, older = hub
+    index = adjacency.adjacency_index(edges)
+    drawn = sampling.expand(frontier.withColumn("edge_type", F.lit(None).cast("string")), index, "o", SampleSpec(fanout=fanout), 1).collect()
+    for k, (c, t) in enumerate(pairs):
+        mine = [r for r in drawn if r["root_id"] == k]
+        assert len(mine) == min(fanout, len(older(c, t))) == len({r["inst_id"] for r in mine})
+        left = [d for d, _ in older(c, t)]
+        for r in mine:
+            left.remove(r["row_id"])  # never more often than there are edges
+    assert len({tuple(sorted(r["row_id"] for r in drawn if r["root_id"] == k)) for k, p in enumerate(pairs) if p == (0, 5000)}) == 5
+
+
+def test_draws_are_even(spark):
+    """Of 10 positions 3 are drawn 20,000 times: each about as often, and each of the 120 sets."""
+    n = F.lit(10).cast("long")
+    sets = spark.range(20_000).select(F.array_sort(sampling.drawn_positions(n, 3, 42, "id")).alias("s")).groupBy("s").count().collect()
+    assert len(sets) == 120 and all(len(set(r["s"])) == 3 for r in sets)
+    assert all(100 < r["count"] < 240 for r in sets)
+
+
+def _joins(df):
+    """Rows that the joins of a finished plan made."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    found, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName():
+            found.append(p.metrics().apply("numOutputRows").value())
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_a_hub_costs_each_parent_fanout_rows(spark, hub):
+    edges, frontier, _, _ = hub
+    n = frontier.count()
+    made = _joins(sampling.expand(frontier.withColumn("edge_type", F.lit(None).cast("string")), adjacency.adjacency_index(edges), "o", SampleSpec(fanout=3), 1))
+    assert made and max(made) <= 3 * n
+
+
+def test_stored_edges_stay_where_they_are(spark, hub, tmp_path):
+    """Draws are joined with bucketed edges, and cutoffs with bucketed leaves, without a shuffle on that side."""
+    edges, frontier, _, _ = hub
+    index = adjacency.adjacency_index(edges)
+    adjacency.save_index(index, "hub", buckets=8, path=str(tmp_path))
+    stored = adjacency.load_index(spark, "hub")
+    frontier = frontier.withColumn("edge_type", F.lit(None).cast("string"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sampling.expand(frontier, stored, "o", SampleSpec(fanout=5), 1)
+        todo, scans = [(out._jdf.queryExecution().executedPlan().inputPlan(), ())], []
+        while todo:
+            p, above = todo.pop()
+            if "Bucketed: true" in p.simpleString(100):
+                scans.append(above)
+            todo += [(p.children().apply(i), () if "Join" in p.nodeName() else (*above, p.nodeName())) for i in range(p.children().size())]
+        assert len(scans) == 2 and not any("Exchange" in name for above in scans for name in above)
+        assert sorted(map(str, out.collect())) == sorted(map(str, sampling.expand(frontier, index, "o", SampleSpec(fanout=5), 1).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        for part in ("edges", "leaves", "marks"):
+            spark.sql(f"DROP TABLE hub_{part}")
+
+
+def test_plans_of_sampling(spark, sf_dir):
     from kinlattice.plans import queries
 
     plan = queries.neighbor_sample_1hop(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
+    assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("hot_end", [3, 100_000])
+def test_one_graph_of_numbers(spark, hot_end):
+    """Types end to end, the root's first; ends with many edges are split and numbered the same; an unknown end is an error."""
+    nodes = spark.createDataFrame([(t, f"{t}{i}", i % 2, 0, i) for t, n in (("b", 4), ("a", 3), ("c", 2)) for i in range(n)], "node_type string, inst_id string, root_id long, hop int, row_id long")
+    pairs = [("b0", f"a{i % 3}", "y") for i in range(9)] + [(f"b{i}", "c1", "x") for i in range(4)] + [("c0", "c0", "z")]
+    edges = spark.createDataFrame(pairs, "src_inst string, dst_inst string, edge_type string")
+    numbered = homogeneous.numbered_nodes(nodes, "b")
+    at_ = {r["inst_id"]: r["node"] for r in numbered.collect()}
+    assert sorted(at_, key=at_.get) == ["b0", "b1", "b2", "b3", "a0", "a1", "a2", "c0", "c1"] and sorted(at_.values()) == list(range(9))
+    assert {(r["node_type"], r["type_code"]) for r in numbered.collect()} == {("b", 0), ("a", 1), ("c", 2)}
+    found = homogeneous.numbered_edges(edges, numbered, hot_end)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((at_[a], at_[b], "xyz".index(t), t) for a, b, t in pairs)
+    with pytest.raises(Exception, match="no such instance"):
+        homogeneous.numbered_edges(edges, numbered.where("inst_id <> 'a1'"), hot_end).collect()
 
 
 def test_adjacency(spark, graph):
