@@ -37,14 +37,32 @@ def decode(df: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:
     return df.join(codes.select(F.col("code").alias(code), F.col("value")), code, "left")
 
 
-def encode_column(df: DataFrame, column: str, width: int) -> Column:
-    """Whole numbers and booleans through the cosine bank, vectors normalised; text and floats need a fitted encoder."""
+def encode_column(df: DataFrame, column: str, width: int, weights: list[tuple[np.ndarray, np.ndarray]] | None = None, model=None) -> Column:
+    """A column's values as vectors by its type: whole numbers and booleans through the cosine bank, floats and decimals through the frozen encoder of weights, text through
+    model(text, width), vectors normalised. Null and NaN give null. A type without an encoder, or without what its encoder needs, is an error."""
     kind = dict(df.dtypes)[column]
     if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
-        return scalar.cosine_bank(F.col(column).cast("long"), width)
+        return F.when(F.col(column).isNotNull(), scalar.cosine_bank(F.col(column).cast("long"), width))
     if kind.startswith("array<"):
         return scalar.l2_normalize(F.col(column))
-    raise TypeError(f"{column}: {kind} takes float_encoder or name_vectors")
+    if (kind in ("float", "double") or kind.startswith("decimal")) and weights is not None:
+        return _each_value(lambda values: encode_floats(values.astype(np.float64), weights))(F.col(column).cast("double"))
+    if kind == "string" and model is not None:
+        return _each_value(lambda values: [model(v, width) for v in values])(F.col(column))
+    raise TypeError(f"{column}: no encoder for {kind}")
+
+
+def _each_value(encoder):
+    """A vectorised function that encodes each distinct value of a batch once; null and NaN stay null."""
+
+    def run(values: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(values)
+        vectors = np.empty(len(distinct) + 1, object)
+        for i, v in enumerate(encoder(np.asarray(distinct)) if len(distinct) else []):
+            vectors[i] = v
+        return pd.Series(vectors[codes])  # what has no code takes the last place, which is null
+
+    return F.pandas_udf(run, "array<double>")
 
 
 def float_weights(width: int, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -66,15 +84,9 @@ def encode_floats(x: np.ndarray, weights: list[tuple[np.ndarray, np.ndarray]]) -
 
 
 def float_encoder(df: DataFrame, key: str, column: str, weights: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """key, emb. Distinct values are encoded once each, then joined back."""
-    weights_of = df.sparkSession.sparkContext.broadcast(weights)  # a few thousand numbers
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"v": f["v"], "emb": list(encode_floats(f["v"].to_numpy(), weights_of.value))})
-
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null").distinct().mapInPandas(run, "v double, emb array<double>")
-    return df.select(F.col(key), F.col(column).cast("double").alias("v")).join(values, "v").select(key, "emb")
+    """key, emb for every row, without a shuffle; null and NaN have the vector null."""
+    numbers = df.select(F.col(key), F.col(column).cast("double").alias("__v"))
+    return numbers.select(key, encode_column(numbers, "__v", 0, weights).alias("emb"))
 
 
 def decode_floats(emb: Column, weights: list[float]) -> Column:

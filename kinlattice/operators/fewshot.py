@@ -31,11 +31,21 @@ def draw(ranked: DataFrame, roots: DataFrame, spec: FewShotSpec) -> DataFrame:
     return draws.join(ranked.select("time_rank", F.col("row_id").alias("example_id")), "time_rank").select("root_id", "draw", "example_id")
 
 
-def rerank(draws: DataFrame, vectors: DataFrame, spec: FewShotSpec) -> DataFrame:
-    """The k draws of each root most similar to it by dot product; vectors: row_id, emb (masked columns zeroed before)."""
-    a = vectors.select(F.col("row_id").alias("root_id"), F.col("emb").alias("a"))
+def flat_features(rows: DataFrame, masked: list[int] | None = None) -> DataFrame:
+    """row_id, emb of rows (row_id, feats: array of a vector per column): the columns' vectors end to end, those of masked columns as zeros."""
+    hidden = F.array(*[F.lit(i) for i in masked]).cast("array<int>") if masked else F.array().cast("array<int>")
+    kept = F.transform("feats", lambda v, i: F.when(F.array_contains(hidden, i), F.transform(v, lambda x: x * 0.0)).otherwise(v))
+    return rows.select("row_id", F.flatten(kept).alias("emb"))
+
+
+def rerank(draws: DataFrame, vectors: DataFrame, spec: FewShotSpec, root_vectors: DataFrame | None = None) -> DataFrame:
+    """The k draws of each root most similar to it by dot product; vectors: row_id, emb. Ties go by example_id and draw.
+
+    root_vectors: other vectors for the roots, as of flat_features with the task's masked columns, so that a label doesn't choose its own examples.
+    """
+    a = (vectors if root_vectors is None else root_vectors).select(F.col("row_id").alias("root_id"), F.col("emb").alias("a"))
     b = vectors.select(F.col("row_id").alias("example_id"), F.col("emb").alias("b"))
-    scored = draws.join(a, "root_id").join(b, "example_id").select("root_id", "draw", "example_id", F.round(dot(F.col("a"), F.col("b")), 6).alias("score"))
+    scored = draws.join(a, "root_id").join(b, "example_id").select("root_id", "draw", "example_id", dot(F.col("a"), F.col("b")).alias("score"))
     best = Window.partitionBy("root_id").orderBy(F.col("score").desc(), "example_id", "draw")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= spec.k)
 

@@ -87,10 +87,16 @@ def reversed_edges(edges: DataFrame, edge_type: str) -> DataFrame:
     return edges.select(F.lit(edge_type).alias("edge_type"), F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def denormalize_times(edges: DataFrame, tails: DataFrame, row_id: str, ts: str) -> DataFrame:
-    """Edges with the time of the row at dst."""
-    times = tails.select(F.col(row_id).cast("long").alias("dst"), F.col(ts).cast("timestamp_ntz").alias("ts"))
-    return edges.drop("ts").join(times, "dst")
+def denormalize_times(edges: DataFrame, tails: DataFrame, row_id: str, ts: str, dangling: str = "error") -> DataFrame:
+    """Edges with the time of the row at dst. An edge whose row is missing is an error, or is kept without a time with dangling="keep"."""
+    if dangling not in ("error", "keep"):
+        raise ValueError(f"dangling {dangling}")
+    times = tails.select(F.col(row_id).cast("long").alias("dst"), F.col(ts).cast("timestamp_ntz").alias("ts"), F.lit(True).alias("__there"))
+    met = edges.drop("ts").join(times, "dst", "left")
+    if dangling == "error":
+        missing = F.raise_error(F.concat(F.lit("an edge leads to no row: "), F.coalesce(F.col("dst").cast("string"), F.lit("null")))).cast("long")
+        met = met.withColumn("dst", F.when(F.col("__there"), F.col("dst")).otherwise(missing))
+    return met.drop("__there")
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame, row_id: str) -> DataFrame:

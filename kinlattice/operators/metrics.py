@@ -24,18 +24,54 @@ def class_candidates(rows: DataFrame, key: str, number: int) -> DataFrame:
     return rows.where(F.col(key) < number)
 
 
+def _meet_blocks(seeds: DataFrame, classes: DataFrame) -> DataFrame:
+    """seeds beside each block of classes (array<struct<class_id, c>>): some CLASS_BLOCK classes a block, a few blocks are broadcast."""
+    blocks = max(1, -(-classes.count() // CLASS_BLOCK))
+    table = classes.groupBy(F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("__block")).agg(F.collect_list(F.struct("class_id", F.col("emb").alias("c"))).alias("classes"))
+    each = seeds.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return each.join(F.broadcast(table) if blocks <= CLASS_BLOCKS else table, "__block")
+
+
 def class_scores(seeds: DataFrame, classes: DataFrame) -> DataFrame:
     """row_id, class_id, score for every seed and class (class_id, emb): the product that the head asks for.
 
-    Classes are gathered in blocks of some CLASS_BLOCK, each seed meets every block, and a few blocks are broadcast.
+    A row per seed and class; class_folds answers the best class and the losses without them.
     """
-    blocks = max(1, -(-classes.count() // CLASS_BLOCK))
-    table = classes.groupBy(F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("__block")).agg(F.collect_list(F.struct("class_id", F.col("emb").alias("c"))).alias("classes"))
-    each = seeds.select("row_id", "emb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
-    met = each.join(F.broadcast(table) if blocks <= CLASS_BLOCKS else table, "__block")
+    met = _meet_blocks(seeds.select("row_id", "emb"), classes)
     return met.select("row_id", "emb", F.explode("classes").alias("x")).select("row_id", F.col("x.class_id").alias("class_id"), dot(F.col("emb"), F.col("x.c")).alias("score"))
 
 
+def class_folds(seeds: DataFrame, classes: DataFrame) -> DataFrame:
+    """row_id, class_id, top, log_total, label, own for seeds (row_id, emb, label): the best class (the smallest on ties) and its score, the log-sum-exp of all scores, the label's score.
+
+    A seed and a block of classes fold into one row (best class, its score, the sum of exponentials below it), and these rows into one per
+    seed; the fold doesn't depend on their order. No row per seed and class is made. own is null if the label has no class.
+    """
+    scored = F.transform("classes", lambda x: F.struct(dot(F.col("emb"), x["c"]).alias("score"), (-x["class_id"]).alias("less")))
+    met = _meet_blocks(seeds.select("row_id", "emb", "label"), classes).select("row_id", "label", scored.alias("s"))
+    met = met.select("row_id", "label", "s", F.array_max("s").alias("best"))
+    own = F.get(F.filter("s", lambda x: -x["less"] == F.col("label")), F.lit(0))["score"]
+    total = F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp(x["score"] - F.col("best.score")))
+    parts = met.select("row_id", "label", "best", total.alias("total"), own.alias("own"))
+    rows = parts.groupBy("row_id").agg(F.max("best").alias("best"), F.sort_array(F.collect_list(F.struct(F.col("best.score").alias("top"), "total"))).alias("parts"), F.max("label").alias("label"), F.max("own").alias("own"))
+    whole = F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["total"] * F.exp(p["top"] - F.col("best.score")))
+    return rows.select("row_id", (-F.col("best.less")).alias("class_id"), F.col("best.score").alias("top"), (F.col("best.score") + F.log(whole)).alias("log_total"), "label", "own")
+
+
+def _scored(score: Column) -> Column:
+    return F.coalesce(score, F.raise_error(F.lit("a label's class has no score")).cast("double"))
+
+
+def folded_hit_rate(folds: DataFrame) -> DataFrame:
+    """One row: the share of rows whose best class is their label, from class_folds."""
+    return folds.agg(F.avg((F.col("class_id") == F.col("label")).cast("double")).alias("hr1"))
+
+
+def folded_log_loss(folds: DataFrame) -> DataFrame:
+    """One row: the mean of score of the label minus log-sum-exp, from class_folds; a label without a class is an error."""
+    return folds.agg(F.avg(_scored(F.col("own")) - F.col("log_total")).alias("logloss"))
+
+
 def rmse(o: Column, y: Column) -> Column:
     return -F.sqrt(F.avg((o - y) * (o - y)))
 
@@ -55,12 +91,12 @@ def hit_rate(scores: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def log_loss(scores: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the mean of score of the label minus log-sum-exp of the scores."""
+    """One row: the mean of score of the label minus log-sum-exp of the scores; a label whose class has no score is an error."""
     top = scores.groupBy("row_id").agg(F.max("score").alias("top"))
     each = scores.join(top, "row_id").join(labels, "row_id")
     own = F.sum(F.when(F.col("class_id") == F.col("label"), F.col("score") - F.col("top")))
-    rows = each.groupBy("row_id").agg((own - F.log(F.sum(F.exp(F.col("score") - F.col("top"))))).alias("v"))
-    return rows.agg(F.avg("v").alias("logloss"))
+    rows = each.groupBy("row_id").agg(own.alias("own"), F.log(F.sum(F.exp(F.col("score") - F.col("top")))).alias("below"))
+    return rows.agg(F.avg(_scored(F.col("own")) - F.col("below")).alias("logloss"))
 
 
 def cross_entropy(scores: DataFrame, labels: DataFrame) -> DataFrame:
@@ -68,12 +104,11 @@ def cross_entropy(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return log_loss(scores, labels).select((-F.col("logloss")).alias("loss"))
 
 
-def softmax(scores: DataFrame, digits: int = 9) -> DataFrame:
-    """row_id, class_id, p. Rounded, so that noise in last bits doesn't break ties."""
-    top = scores.groupBy("row_id").agg(F.max("score").alias("top"))
-    e = scores.join(top, "row_id").withColumn("e", F.exp(F.col("score") - F.col("top")))
-    total = e.groupBy("row_id").agg(F.sum("e").alias("total"))
-    return e.join(total, "row_id").select("row_id", "class_id", F.round(F.col("e") / F.col("total"), digits).alias("p"))
+def log_softmax(scores: DataFrame) -> DataFrame:
+    """row_id, class_id, log_p: the logarithm of the soft-max probability, exact where the probability itself is too small to tell from others."""
+    parts = scores.groupBy("row_id").agg(F.max("score").alias("top"), F.sort_array(F.collect_list("score")).alias("all"))
+    total = parts.select("row_id", (F.col("top") + F.log(F.aggregate("all", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top"))))).alias("log_total"))
+    return scores.join(total, "row_id").select("row_id", "class_id", (F.col("score") - F.col("log_total")).alias("log_p"))
 
 
 def auroc(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,8 +127,13 @@ def auroc(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def multiclass_auroc(scores: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the mean over classes of one against the rest, on soft-max probabilities."""
-    rows = softmax(scores).join(labels, "row_id").select("class_id", F.col("p").alias("score"), (F.col("class_id") == F.col("label")).cast("int").alias("positive"))
+    """One row: the mean over classes of one against the rest.
+
+    Scores that all lie in 0 to 1 are probabilities and rank as they are; others rank by the logarithm of their soft-max probability, without rounding.
+    """
+    ends = scores.agg(F.min("score"), F.max("score")).first()
+    ranked = scores.select("row_id", "class_id", "score") if ends[0] is None or ends[0] >= 0 and ends[1] <= 1 else log_softmax(scores).withColumnRenamed("log_p", "score")
+    rows = ranked.join(labels, "row_id").select("class_id", "score", (F.col("class_id") == F.col("label")).cast("int").alias("positive"))
     return auroc(rows, ["class_id"]).agg(F.avg("auroc").alias("auroc"))
 
 
@@ -112,6 +152,14 @@ def compute(rows: DataFrame, metric: str, labels: DataFrame | None = None) -> Da
     raise ValueError(f"unknown metric {metric}; one of {', '.join(METRICS)}")
 
 
+def compute_folded(seeds: DataFrame, classes: DataFrame, metric: str) -> DataFrame:
+    """hr@1 or retrieval_logloss of seeds (row_id, emb, label) against classes (class_id, emb), without a row per seed and class."""
+    if metric not in ("hr@1", "retrieval_logloss"):
+        raise ValueError(f"{metric} isn't a fold over classes")
+    folds = class_folds(seeds, classes)
+    return folded_hit_rate(folds) if metric == "hr@1" else folded_log_loss(folds)
+
+
 def metric_average(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.agg(F.avg(value).alias("average"))
 

@@ -67,26 +67,39 @@ def pool(x: np.ndarray, names: np.ndarray, mask: np.ndarray, task: np.ndarray, w
     return attention(t[:, None, :], names, x, mask, w, i, heads)[:, 0] * (t @ w[f"{i}.lin"])
 
 
-def forward(nodes: DataFrame, names: list[list[float]], edges: DataFrame, relations: DataFrame, spec: ModelSpec, weights: dict[str, np.ndarray], task: list[float] | None = None, each_layer: bool = False) -> DataFrame:
+def forward(nodes: DataFrame, names: dict[str, list[list[float]]] | list[list[float]], edges: DataFrame, relations: DataFrame, spec: ModelSpec, weights: dict[str, np.ndarray], task: dict[str, list[float]] | list[float] | None = None, each_layer: bool = False) -> DataFrame:
     """row_id, emb of every node; with each_layer row_id, layer, emb after every layer.
 
-    nodes: row_id, feats array<array<double>>, mask array<boolean>; names: a vector per column; edges: center, rel, nbr; relations: rel, emb.
-    task: the task vector; the mean of the column names if there is none. Lineage is cut after each layer.
+    nodes: row_id, node_type, feats array<array<double>>, mask array<boolean>, with as many columns as names has vectors for the type; row_id is unique over all types, as
+    ``homogeneous`` numbers nodes. edges: center, rel, nbr, between nodes of any types; relations: rel, emb. task: the task vector of each type; the mean of the type's
+    column names where there is none. With a list for names, nodes are of one type and need no node_type. Lineage is cut after each layer.
     """
+    if not isinstance(names, dict):
+        nodes, names, task = nodes.withColumn("node_type", F.lit("")), {"": names}, {"": task} if task is not None else None
     spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast({"w": weights, "names": np.asarray(names), "task": np.asarray(task if task is not None else np.mean(names, 0))})
+    by_type = {t: np.asarray(v, np.float64).reshape(len(v), spec.width) for t, v in names.items()}
+    own = {t: np.asarray((task or {}).get(t) if (task or {}).get(t) is not None else v.mean(0)) for t, v in by_type.items()}
+    shared = spark.sparkContext.broadcast({"w": weights, "names": by_type, "task": own})
     d, heads = spec.width, spec.heads
-    state = "row_id long, feats array<array<double>>, mask array<boolean>, x array<double>, t array<double>"
+    columns = ["row_id", "node_type", "feats", "mask", "x", "t"]
+    state = "row_id long, node_type string, feats array<array<double>>, mask array<boolean>, x array<double>, t array<double>"
 
     def before(i: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = shared.value
             for f in frames:
-                feats = np.stack([np.stack(r) for r in f["feats"]]) if len(f) else np.zeros((0, len(s["names"]), d))
-                mask = np.stack(f["mask"].tolist()).astype(bool) if len(f) else np.zeros((0, len(s["names"])), bool)
-                t = np.tile(s["task"], (len(f), 1)) if i == 0 else np.stack(f["t"]) if len(f) else np.zeros((0, d))
-                x = pool(feats, s["names"], mask, t, s["w"], i, heads)
-                x = x if i == 0 or not len(f) else x + np.stack(f["x"])
+                x, t = np.zeros((len(f), d)), np.zeros((len(f), d))
+                for kind, at in f.groupby("node_type", dropna=False).indices.items():
+                    if kind not in s["names"]:
+                        raise ValueError(f"no column names for node type {kind}")
+                    c = s["names"][kind]
+                    feats = np.array([np.stack(r) for r in f["feats"].iloc[at]], np.float64)
+                    mask = np.array(f["mask"].iloc[at].tolist(), bool)
+                    if feats.shape[1:] != c.shape or mask.shape[1:] != c.shape[:1]:
+                        raise ValueError(f"node type {kind} has {len(c)} names for features {feats.shape[1:]}")
+                    t[at] = s["task"][kind] if i == 0 else np.stack(f["t"].iloc[at])
+                    x[at] = pool(feats, c, mask, t[at], s["w"], i, heads)
+                    x[at] += 0 if i == 0 else np.stack(f["x"].iloc[at])
                 yield f.assign(x=list(x), t=list(t), m=list(silu(layer_norm(x) @ s["w"][f"{i}.mlp"])))
 
         return run
@@ -96,7 +109,7 @@ def forward(nodes: DataFrame, names: list[list[float]], edges: DataFrame, relati
             w = shared.value["w"]
             for f in frames:
                 if not len(f):
-                    yield f[["row_id", "feats", "mask", "x", "t"]]
+                    yield f[columns]
                     continue
                 x, t, out, back = (np.stack(f[c]) for c in ("x", "t", "out", "back"))
                 lnx = layer_norm(x)
@@ -105,7 +118,7 @@ def forward(nodes: DataFrame, names: list[list[float]], edges: DataFrame, relati
                 y = y + gate("rev_gate") * back if spec.use_reverse else y
                 t = t + layer_norm(y) @ w[f"{i}.task"] if i < spec.layers - 1 else t
                 y = layer_norm(y) if i == spec.layers - 1 else y
-                yield f.assign(x=list(y), t=list(t))[["row_id", "feats", "mask", "x", "t"]]
+                yield f.assign(x=list(y), t=list(t))[columns]
 
         return run
 
@@ -114,7 +127,8 @@ def forward(nodes: DataFrame, names: list[list[float]], edges: DataFrame, relati
         rows = relations.select("rel", "emb").collect()
         return spark.createDataFrame([(r["rel"], (np.asarray(r["emb"]) @ weights[f"{i}.{which}"] + weights[f"{i}.{which}_bias"]).tolist()) for r in rows], "rel string, w array<double>")
 
-    now = nodes.select(F.col("row_id").cast("long").alias("row_id"), "feats", "mask", F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("array<double>").alias("t"))
+    empty = F.lit(None).cast("array<double>")
+    now = nodes.select(F.col("row_id").cast("long").alias("row_id"), "node_type", "feats", "mask", empty.alias("x"), empty.alias("t"))
     layers = []
     for i in range(spec.layers):
         made = cut(now.mapInPandas(before(i), state + ", m array<double>"))

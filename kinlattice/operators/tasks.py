@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_number, hash_text, one_hot
-from ..plans.shape import with_position
+from ..plans.shape import cut, with_position
 from ..plans.specs import BatchSpec, TaskSpec
 
 SPLITS = ("train", "valid", "test")
-#: Draws with replacement that one row lists.
-DRAWS = 100_000
+#: Draws with replacement that one row lists, and groups whose rows may be broadcast.
+DRAWS, GROUPS = 100_000, 100_000
 
 
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
@@ -158,22 +158,52 @@ def batch_order(batched: DataFrame, seed: object = 42, group: str = "task") -> D
     return with_position(each, "h", group, "batch_id", position="place").select(group, "batch_id", "place")
 
 
-def _hash_ranked(rows: DataFrame, seed: object, group: str, key: str) -> DataFrame:
-    numbered = with_position(rows.withColumn("__h", hash_text(seed, group, key)), F.col(group), F.col("__h"), F.col(key), position="__pos")
-    sizes = numbered.groupBy(group).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    return numbered.join(sizes, group).withColumn("__rank", F.col("__pos") - F.col("__first"))
+#: Rows of a group's last bucket that may be ranked in one task, and digits of the hash that a round looks at.
+LAST_BUCKET, DIGITS = 50_000, 3
+
+
+def _smallest(rows: DataFrame, wanted: DataFrame, seed: object, group: str, key: str) -> DataFrame:
+    """Of each group (group, n_wanted) the rows with the smallest hashes, without sorting rows.
+
+    Hashes are counted by their leading digits; the bucket in which the count is reached is looked at by its next digits, until it is small. The last row
+    wanted is found there, and rows up to it are kept by one filter against a row per group.
+    """
+    hashed = rows.withColumn("__h", hash_text(seed, group, key))
+    per_group = lambda df: df.withColumnRenamed(group, "__g")
+    at = cut(per_group(wanted.select(group, "n_wanted")).where("n_wanted > 0").select("__g", F.col("n_wanted").cast("long").alias("left"), F.lit("").alias("prefix")))
+    beside = (lambda df: F.broadcast(df)) if at.count() <= GROUPS else (lambda df: df)
+    places = 0
+    while True:
+        inside = hashed.join(beside(at), F.col(group).eqNullSafe(F.col("__g")) & F.col("__h").startswith(F.col("prefix")))
+        places += DIGITS
+        counts = inside.groupBy("__g", "left", F.substring("__h", 1, places).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("__g").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # a few thousand rows a group
+        run = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        at = cut(run.where("below < left and left <= below + n").select("__g", (F.col("left") - F.col("below")).alias("left"), "prefix", "n"))
+        largest = at.agg(F.max("n")).first()[0]
+        if largest is None or largest <= LAST_BUCKET or places >= 30:
+            break
+        at = at.drop("n")
+    inside = hashed.join(beside(at.drop("n")), F.col(group).eqNullSafe(F.col("__g")) & F.col("__h").startswith(F.col("prefix")))
+    order = Window.partitionBy("__g").orderBy("__h", key)
+    last = cut(inside.select("__g", "left", "__h", key).withColumn("__rank", F.row_number().over(order)).where("__rank = left").select("__g", F.struct("__h", F.col(key).alias("k")).alias("__last")))
+    kept = hashed.join(beside(last), F.col(group).eqNullSafe(F.col("__g")) & (F.struct("__h", F.col(key).alias("k")) <= F.col("__last")))
+    return kept.select(*rows.columns)
+
+
+def _sizes(rows: DataFrame, group: str) -> DataFrame:
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def downsample_ratio(rows: DataFrame, ratio: float, seed: object = 42, group: str = "task", key: str = "row_id") -> DataFrame:
-    """Exactly floor(n * ratio) rows of each group, without replacement."""
-    return _hash_ranked(rows, seed, group, key).where(F.col("__rank") < F.floor(F.col("__n") * ratio)).select(*rows.columns)
+    """Exactly floor(n * ratio) rows of each group, without replacement; keys are distinct within a group."""
+    return _smallest(rows, _sizes(rows, group).select(group, F.floor(F.col("__n") * ratio).alias("n_wanted")), seed, group, key)
 
 
 def downsample_absolute(rows: DataFrame, number: int, seed: object = 42, group: str = "task", key: str = "row_id") -> DataFrame:
-    """Exactly that number of rows of each group; a smaller group is an error."""
-    ranked = _hash_ranked(rows, seed, group, key)
-    few = F.raise_error(F.concat(F.lit(f"fewer than {number} rows in "), F.col(group)))
-    return ranked.where(F.when(F.col("__n") < number, few).otherwise(F.col("__rank") < number)).select(*rows.columns)
+    """Exactly that number of rows of each group; a smaller group is an error. Keys are distinct within a group."""
+    few = F.raise_error(F.concat(F.lit(f"fewer than {number} rows in "), F.coalesce(F.col(group), F.lit("null")))).cast("int")
+    return _smallest(rows, _sizes(rows, group).select(group, F.when(F.col("__n") < number, few).otherwise(F.lit(number)).alias("n_wanted")), seed, group, key)
 
 
 def sample_with_replacement(rows: DataFrame, ratios: dict[str, float], default: float | None = None, seed: object = 42, group: str = "task", key: str = "row_id") -> DataFrame:

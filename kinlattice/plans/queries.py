@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import aggregate, encoders, fewshot, homogeneous, ingest, merge, metrics, model, sampling, tasks
+from ..operators import aggregate, encoders, fewshot, homogeneous, ingest, merge, metrics, model, sampling, tasks, typed
 from ..sources.catalog import read_table
 from .shape import with_position
 from .specs import BatchSpec, FewShotSpec, ModelSpec, SampleSpec, TaskSpec
@@ -512,10 +512,79 @@ def float_decoder(spark, d):
     return e.select("vec_id", F.round(encoders.decode_floats(F.col("embedding"), [1.0 / i for i in range(1, 65)]), 6).alias("y"))
 
 
-@query()
+def _floats_sql(source: str, key: str, value: str, weights) -> str:
+    """CTEs that end in h3 (key, v): the frozen encoder's three layers, each output as a sum of products."""
+    number = lambda x: f"({float(x)!r})::DOUBLE"
+    parts = [f"h0 AS (SELECT {key}, [{value}::DOUBLE] AS v FROM {source})"]
+    for i, (w, bias) in enumerate(weights):
+        outputs = [" + ".join(f"v[{k + 1}] * {number(x)}" for k, x in enumerate(column)) + f" + {number(b)}" for column, b in zip(w.T, bias, strict=True)]
+        parts.append(f"a{i} AS (SELECT {key}, [{', '.join(outputs)}] AS v FROM h{i})")
+        parts.append(f"m{i} AS (SELECT *, list_avg(v) AS m FROM a{i}), s{i} AS (SELECT *, sqrt(list_avg(list_transform(v, lambda x: (x - m) * (x - m))) + 0.00001::DOUBLE) AS s FROM m{i})")
+        parts.append(f"n{i} AS (SELECT {key}, list_transform(v, lambda x: (x - m) / s) AS v FROM s{i}), h{i + 1} AS (SELECT {key}, list_transform(v, lambda x: x / (1 + exp(-x))) AS v FROM n{i})")
+    return ", ".join(parts)
+
+
+@query(f"WITH {_floats_sql('customer', 'c_custkey', 'c_acctbal', encoders.float_weights(16))} SELECT c_custkey, unnest(range(0, 16))::INT AS pos, round(unnest(v), 6) AS x FROM h3")
 def float_encoder(spark, d):
     out = encoders.float_encoder(read_table(spark, d, "customer"), "c_custkey", "c_acctbal", encoders.float_weights(16))
-    return out.select("c_custkey", F.posexplode("emb").alias("pos", "x"))
+    return out.select("c_custkey", F.posexplode("emb").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+def text_dictionary(spark: SparkSession, d: str, table: str, column: str) -> DataFrame:
+    """value, emb of a text column: its codes in order, and the vector that the table of vectors has for each code."""
+    codes = encoders.dictionary({column: read_table(spark, d, table).select(F.col(column).alias("value"))})
+    return codes.join(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("code"), F.col("embedding").alias("emb")), "code").select("value", "emb")
+
+
+_BANK = "list_transform(range(0, 64), lambda i: cos({x}::DOUBLE * pow(10, -2 + 3 * i::DOUBLE / 63)))"
+_TEXT = "(SELECT value, embedding::DOUBLE[] AS v FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT {c} AS value FROM {t})) JOIN embeddings ON vec_id = code)"
+
+
+@query(f"""WITH f AS (SELECT c_custkey AS row_id, [{_BANK.format(x="c_nationkey")}, t.v] AS v, [false, false] AS m FROM customer JOIN {_TEXT.format(c="c_mktsegment", t="customer")} t ON t.value = c_mktsegment)
+SELECT row_id, (c.i)::INT AS col, p.j::INT AS pos, round(v[c.i + 1][p.j + 1], 6) AS x, m[c.i + 1] AS masked FROM f, range(2) AS c(i), range(64) AS p(j)""")
+def typed_features(spark, d):
+    """Columns of mixed types as one array of vectors a row."""
+    rows = read_table(spark, d, "customer").withColumnRenamed("c_custkey", "row_id")
+    found = typed.column_vectors(rows, ["c_nationkey", "c_mktsegment"], 64, texts={"c_mktsegment": text_dictionary(spark, d, "customer", "c_mktsegment")})
+    each = found.select("row_id", F.posexplode(F.arrays_zip("feats", "mask")).alias("col", "f")).select("row_id", "col", F.col("f.mask").alias("masked"), F.posexplode("f.feats").alias("pos", "x"))
+    return each.withColumn("x", F.round("x", 6))
+
+
+def sampled_input(spark: SparkSession, d: str) -> typed.ModelInput:
+    """Customers and their sampled orders, the customers' segment masked in the roots."""
+    tables = {
+        "customer": typed.FeatureTable(read_table(spark, d, "customer"), "c_custkey", ("c_nationkey", "c_mktsegment"), {"c_mktsegment": text_dictionary(spark, d, "customer", "c_mktsegment")}),
+        "orders": typed.FeatureTable(read_table(spark, d, "orders"), "o_orderkey", ("o_orderstatus", "o_custkey", "o_orderkey"), {"o_orderstatus": text_dictionary(spark, d, "orders", "o_orderstatus")}),
+    }
+    edges = {("customer", PLACED, "orders"): orders_of_customers(spark, d)}
+    return typed.sampled_input(customers(spark, d), "customer", edges, SampleSpec(hops=1, fanout=5), tables, 64, hidden={"customer": ("c_mktsegment",)})
+
+
+@query(f"""WITH {_SEEDS.format(cutoff=_CUTOFF)}, {_H1}, every AS (SELECT * FROM seeds UNION ALL SELECT * FROM h1),
+z AS (SELECT *, row_number() OVER (ORDER BY node_type <> 'customer', node_type, inst_id) - 1 AS node FROM every),
+f AS (SELECT node, node_type, [{_BANK.format(x="c_nationkey")}, t.v] AS v, [false, true] AS m FROM z JOIN customer ON node_type = 'customer' AND row_id = c_custkey JOIN {_TEXT.format(c="c_mktsegment", t="customer")} t ON t.value = c_mktsegment
+  UNION ALL SELECT node, node_type, [t.v, {_BANK.format(x="o_custkey")}, {_BANK.format(x="o_orderkey")}], [false, false, false] FROM z JOIN orders ON node_type = 'orders' AND row_id = o_orderkey JOIN {_TEXT.format(c="o_orderstatus", t="orders")} t ON t.value = o_orderstatus)
+SELECT node, node_type, u.i::INT AS col, m[u.i + 1] AS masked, round(list_sum(list_transform(v[u.i + 1], lambda x, j: x * j)), 5) AS x FROM f, unnest(range(len(v))) AS u(i)""")
+def sampled_model_input(spark, d):
+    """The model's input for a sample over two node types, in one call; each vector by its sum weighted with positions."""
+    nodes = sampled_input(spark, d).nodes
+    each = nodes.select("node", "node_type", F.posexplode(F.arrays_zip("feats", "mask")).alias("col", "f"))
+    weighted = F.transform("f.feats", lambda x, j: x * (j + 1))
+    return each.select("node", "node_type", "col", F.col("f.mask").alias("masked"), F.round(scalar.total(weighted), 5).alias("x"))
+
+
+@query(f"WITH {_SEEDS.format(cutoff=_CUTOFF)}, {_H1}, every AS (SELECT * FROM seeds UNION ALL SELECT * FROM h1), z AS (SELECT *, row_number() OVER (ORDER BY node_type <> 'customer', node_type, inst_id) - 1 AS node FROM every) SELECT p.node AS center, c.edge_type AS rel, c.node AS nbr, 0 AS relation FROM z c JOIN z p ON p.inst_id = c.parent_inst")
+def sampled_model_edges(spark, d):
+    """Its edges, as messages go along them."""
+    return sampled_input(spark, d).edges
+
+
+@query(f"WITH e AS (SELECT vec_id, label, embedding FROM embeddings), n AS (SELECT row_number() OVER (ORDER BY event_type) - 1 AS code, event_type FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, event_type, round(list_sum(embedding::DOUBLE[]), 5) AS x FROM events JOIN n USING (event_type) JOIN e ON vec_id = code")
+def name_lookup(spark, d):
+    """Vectors of names (here of event types) looked up for the rows that carry the name."""
+    names = text_dictionary(spark, d, "events", "event_type").withColumnRenamed("value", "name")
+    found = typed.with_vectors(read_table(spark, d, "events").select("event_id", "event_type"), names, "event_type")
+    return found.select("event_id", "event_type", F.round(scalar.total(F.col("emb")), 5).alias("x"))
 
 
 @query()
@@ -549,13 +618,26 @@ def fewshot_draw(spark, d):
 _EVENT_VECTOR = "embedding::DOUBLE[]"
 
 
-@query(f"""WITH {_DRAWS.format(k=6)}, v AS (SELECT event_id AS row_id, {_EVENT_VECTOR} AS emb FROM events JOIN embeddings ON cast(json_extract_string(props, '$.k') AS BIGINT) = vec_id),
-s AS (SELECT root_id, draw, example_id, round(list_dot_product(a.emb, b.emb), 6) AS score FROM x JOIN v a ON a.row_id = root_id JOIN v b ON b.row_id = example_id)
-SELECT root_id, draw, example_id, score, (row_number() OVER (PARTITION BY root_id ORDER BY score DESC, example_id, draw))::INT AS rank FROM s QUALIFY rank <= 2""")
+_RERANKED = f"""WITH {_DRAWS.format(k=6)}, v AS (SELECT event_id AS row_id, {_EVENT_VECTOR} AS emb FROM events JOIN embeddings ON cast(json_extract_string(props, '$.k') AS BIGINT) = vec_id),
+s AS (SELECT root_id, draw, example_id, list_dot_product(a.emb, b.emb) AS score FROM x JOIN v a ON a.row_id = root_id JOIN v b ON b.row_id = example_id)
+SELECT root_id, draw, example_id, round(score, 5) AS score, (row_number() OVER (PARTITION BY root_id ORDER BY score DESC, example_id, draw))::INT AS rank FROM s QUALIFY rank <= 2"""
+
+
+@query(_RERANKED)
 def fewshot_rerank(spark, d):
     spec = FewShotSpec(k=2, rerank_factor=3)
     draws, events = _draws(spark, d, spec)
-    return fewshot.rerank(draws, event_vectors(spark, d), spec)
+    return fewshot.rerank(draws, event_vectors(spark, d), spec).withColumn("score", F.round("score", 5))
+
+
+@query(_RERANKED)
+def fewshot_rerank_masked(spark, d):
+    """The events' value is a column too, but masked in the roots, so that examples are chosen by the rest alone."""
+    spec = FewShotSpec(k=2, rerank_factor=3)
+    draws, events = _draws(spark, d, spec)
+    both = event_vectors(spark, d).join(events.select(F.col("event_id").alias("row_id"), "user_id"), "row_id")
+    rows = typed.column_vectors(both.withColumnRenamed("emb", "v"), ["user_id"], 64).select("row_id", F.concat(F.array(scalar.doubles(F.col("v"))), "feats").alias("feats"))
+    return fewshot.rerank(draws, fewshot.flat_features(rows), spec, fewshot.flat_features(rows, [1])).withColumn("score", F.round("score", 5))
 
 
 def event_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -660,6 +742,15 @@ def relation_mean_max_rev(spark, d):
     return _flat(aggregate.relation_mean_max(aggregate.reverse(edges), vectors, relations, vectors.select(F.col("row_id").alias("center")), 64))
 
 
+@query(f"WITH {_REL_EDGES}, {_EMB}, u AS (SELECT vec_id, unnest(range(0, 64))::INT AS p, unnest(v) AS x FROM e), m AS (SELECT center, rel, p, avg(x) AS x FROM g JOIN u ON nbr = vec_id GROUP BY 1, 2, 3) SELECT center, rel, (p + 64 * r.k)::INT AS pos, round(x * (r.k + 1), 6) AS x FROM m, range(8) AS r(k)")
+def relation_mean_wide(spark, d):
+    """Means of vectors of 512 numbers: one vector a group goes through the shuffle."""
+    edges, vectors, _ = _relation_inputs(spark, d)
+    wide = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.transform("emb", lambda x: x.cast("double") * k)))
+    means = aggregate.relation_mean(edges, vectors.select("row_id", wide.alias("emb")), 512)
+    return means.select("center", "rel", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
 @query("""WITH c AS (SELECT c_custkey, [[1.0, c_acctbal / 1000, 0.5], [2.0, -1.0, c_nationkey], [0.0, 1.0, 1.0]]::DOUBLE[][] AS v, [c_acctbal / 5000, 0.3, c_nationkey / 10.0]::DOUBLE[] AS s,
   [c_custkey % 2 = 0, c_custkey % 3 = 0, c_custkey % 5 = 0] AS m FROM customer),
 u AS (SELECT c_custkey, unnest(range(1, 4)) AS i, v, s, m FROM c), l AS (SELECT c_custkey, v[i] AS v, exp(s[i]) AS w FROM u WHERE NOT m[i]),
@@ -693,16 +784,31 @@ def model_forward(spark, d):
     return model.forward(nodes, names, edges, relations, spec, model.random_weights(spec)).select("row_id", F.posexplode("emb").alias("pos", "x"))
 
 
+@query()
+def model_forward_sampled(spark, d):
+    """The forward pass over a sample of two node types; stand-in weights."""
+    spec, given = ModelSpec(width=64, layers=2, heads=4), sampled_input(spark, d)
+    nodes = given.nodes.select(F.col("node").alias("row_id"), "node_type", "feats", "mask")
+    return model.forward(nodes, given.names, given.edges, given.relations, spec, model.random_weights(spec)).select("row_id", F.posexplode("emb").alias("pos", "x"))
+
+
 # Heads and metrics
 
 _PROTO = f"{_EMB}, pu AS (SELECT label, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM e), pm AS (SELECT label, pos, avg(x) AS x FROM pu GROUP BY 1, 2), proto AS (SELECT label AS class_id, list(x ORDER BY pos) AS c FROM pm GROUP BY 1)"
+_RAW = _PROTO + ", s AS (SELECT vec_id AS row_id, label, class_id, list_dot_product(v, c) AS score FROM e CROSS JOIN proto)"
 _SCORES = _PROTO + ", s AS (SELECT vec_id AS row_id, label, class_id, round(list_dot_product(v, c), 6) AS score FROM e CROSS JOIN proto)"
 
 
-def scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a vector and a label, and a vector for each class."""
     e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("emb"), F.col("label").cast("long").alias("label"))
     means = [F.avg(F.get("emb", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(64)]
     classes = e.groupBy(F.col("label").alias("class_id")).agg(*means).select("class_id", F.array(*[f"m{i}" for i in range(64)]).alias("emb"))
+    return e, classes
+
+
+def scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e, classes = classified(spark, d)
     return metrics.class_scores(e, classes).withColumn("score", F.round("score", 6)), e.select("row_id", "label")
 
 
@@ -741,9 +847,16 @@ def loss_squared(spark, d):
     return _regression(spark, d).agg(F.round(metrics.squared_loss(F.col("output"), F.col("label")), 2).alias("loss"))
 
 
-@query(f"WITH {_SCORES}, b AS (SELECT row_id, label, first(class_id ORDER BY score DESC, class_id) AS c FROM s GROUP BY 1, 2) SELECT avg((c = label)::INT::DOUBLE) AS hr1 FROM b")
+@query(f"WITH {_RAW}, b AS (SELECT row_id, label, first(class_id ORDER BY score DESC, class_id) AS c FROM s GROUP BY 1, 2) SELECT avg((c = label)::INT::DOUBLE) AS hr1 FROM b")
 def metric_hr1(spark, d):
-    return metrics.compute(*_with(scores(spark, d), "hr@1"))
+    return metrics.compute_folded(*classified(spark, d), "hr@1")
+
+
+@query(f"WITH {_RAW} SELECT row_id, first(class_id ORDER BY score DESC, class_id)::BIGINT AS class_id, round(max(score), 6) AS top, round(ln(sum(exp(score))), 6) AS log_total, label::BIGINT AS label, round(max(score) FILTER (class_id = label), 6) AS own FROM s GROUP BY row_id, label")
+def class_folds(spark, d):
+    """What is known of all classes of a row, without a row for each."""
+    folds = metrics.class_folds(*classified(spark, d))
+    return folds.select("row_id", "class_id", F.round("top", 6).alias("top"), F.round("log_total", 6).alias("log_total"), "label", F.round("own", 6).alias("own"))
 
 
 def _with(pair: tuple[DataFrame, DataFrame], metric: str) -> tuple[DataFrame, str, DataFrame]:
@@ -763,7 +876,7 @@ def metric_auroc(spark, d):
     return metrics.auroc(rows, ["k"]).select(F.round("auroc", 6).alias("auroc"))
 
 
-@query(f"""WITH {_SCORES}, z AS (SELECT row_id, label, class_id, round(exp(score) / sum(exp(score)) OVER (PARTITION BY row_id), 9) AS p FROM s),
+@query(f"""WITH {_SCORES}, z AS (SELECT row_id, label, class_id, CASE WHEN bool_and(score BETWEEN 0 AND 1) OVER () THEN score ELSE score - ln(sum(exp(score)) OVER (PARTITION BY row_id)) END AS p FROM s),
 k AS (SELECT class_id, (class_id = label)::INT AS pos, rank() OVER (PARTITION BY class_id ORDER BY p) + (count(*) OVER (PARTITION BY class_id, p) - 1) / 2.0 AS r FROM z),
 a AS (SELECT class_id, sum(pos)::DOUBLE AS p, sum(1 - pos)::DOUBLE AS n, sum(CASE WHEN pos = 1 THEN r END)::DOUBLE AS r FROM k GROUP BY 1)
 SELECT round(avg({_AUC.format(r='r', p='p', n='n')}), 5) AS auroc FROM a WHERE p > 0 AND n > 0""")
@@ -771,9 +884,9 @@ def metric_auroc_multiclass(spark, d):
     return metrics.compute(*_with(scores(spark, d), "retrieval_auroc")).select(F.round("auroc", 5).alias("auroc"))
 
 
-@query(f"WITH {_SCORES}, z AS (SELECT row_id, max(CASE WHEN class_id = label THEN score END) - ln(sum(exp(score))) AS v FROM s GROUP BY 1) SELECT round(avg(v), 6) AS logloss FROM z")
+@query(f"WITH {_RAW}, z AS (SELECT row_id, max(CASE WHEN class_id = label THEN score END) - ln(sum(exp(score))) AS v FROM s GROUP BY 1) SELECT round(avg(v), 6) AS logloss FROM z")
 def metric_logloss(spark, d):
-    return metrics.compute(*_with(scores(spark, d), "retrieval_logloss")).select(F.round("logloss", 6).alias("logloss"))
+    return metrics.compute_folded(*classified(spark, d), "retrieval_logloss").select(F.round("logloss", 6).alias("logloss"))
 
 
 @query(f"WITH {_SCORES}, z AS (SELECT row_id, max(CASE WHEN class_id = label THEN score END) - ln(sum(exp(score))) AS v FROM s GROUP BY 1) SELECT round(-avg(v), 6) AS loss FROM z")

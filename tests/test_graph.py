@@ -299,3 +299,84 @@ def test_padding(spark):
     rows = spark.createDataFrame([(0.0,), (-1.0,), (float("nan"),), (None,), (2.0,)], "label double")
     assert sorted(r["label"] for r in metrics.drop_padding(rows, classes=True).collect()) == [0.0, 2.0]
     assert sorted(r["label"] for r in metrics.drop_padding(rows).collect()) == [-1.0, 0.0, 2.0]
+
+
+def test_auroc_of_probabilities_near_zero(spark):
+    """Class 2's positives have p near 1e-10 and its negatives 1e-12: ranked perfectly, though no rounded probability tells them apart."""
+    rows = [(i, c, s) for i in range(20) for c, s in enumerate([0.0, -1.0 - i % 2, -23.0 if i < 5 else -28.0])]
+    scores = spark.createDataFrame(rows, "row_id long, class_id long, score double")
+    labels = spark.createDataFrame([(i, 2 if i < 5 else i % 2) for i in range(20)], "row_id long, label long")
+    ranked = metrics.log_softmax(scores).join(labels, "row_id").select("class_id", F.col("log_p").alias("score"), (F.col("class_id") == F.col("label")).cast("int").alias("positive"))
+    assert {r["class_id"]: r["auroc"] for r in metrics.auroc(ranked, ["class_id"]).collect()}[2] == 1.0
+    two = scores.where("class_id = 2 or class_id = 0").join(labels.where("label <> 1"), "row_id").select("row_id", "class_id", "score")
+    assert metrics.multiclass_auroc(two, labels).first()["auroc"] == 1.0
+
+
+def test_probabilities_rank_as_they_are(spark):
+    """Scores in 0 to 1 aren't soft-maxed again: that would exchange these two rows."""
+    scores = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.0), (0, 2, 0.5), (1, 0, 0.55), (1, 1, 0.45), (1, 2, 0.0), (2, 0, 0.4), (2, 1, 0.6), (2, 2, 0.0)], "row_id long, class_id long, score double")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "row_id long, label long")
+    hand = {0: 0.5, 1: 0.5, 2: 0.25}
+    assert metrics.multiclass_auroc(scores, labels).first()["auroc"] == pytest.approx(sum(hand.values()) / 3)
+    assert metrics.multiclass_auroc(scores.limit(0), labels).first()["auroc"] is None
+
+
+def test_folds_over_blocks_of_classes(spark, monkeypatch):
+    """Blocks of three classes fold to what all scores give; a label without a class has no score, and is an error in the loss."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    e, c = rng.standard_normal((30, 4)) * 20, rng.standard_normal((11, 4)) * 20
+    c[7] = c[2]  # equal scores: the smaller class wins
+    monkeypatch.setattr(metrics, "CLASS_BLOCK", 3)
+    seeds = spark.createDataFrame([(i, x.tolist(), i % 11) for i, x in enumerate(e)], "row_id long, emb array<double>, label long")
+    classes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "class_id long, emb array<double>")
+    s = e @ c.T
+    folds = {r["row_id"]: r for r in metrics.class_folds(seeds, classes).collect()}
+    top = s.max(1)
+    assert [folds[i]["class_id"] for i in range(30)] == s.argmax(1).tolist()
+    assert np.allclose([folds[i]["log_total"] for i in range(30)], top + np.log(np.exp(s - top[:, None]).sum(1)))
+    assert np.allclose([folds[i]["own"] for i in range(30)], [s[i, i % 11] for i in range(30)])
+    assert metrics.compute_folded(seeds, classes, "hr@1").first()[0] == pytest.approx(np.mean(s.argmax(1) == np.arange(30) % 11))
+    plan = metrics.compute_folded(seeds, classes, "hr@1")._jdf.queryExecution().executedPlan().toString()
+    assert "explode(classes" not in plan
+    with pytest.raises(Exception, match="no score"):
+        metrics.compute_folded(seeds, classes.where("class_id > 0"), "retrieval_logloss").collect()
+    scored = metrics.class_scores(seeds, classes.where("class_id > 0"))
+    with pytest.raises(Exception, match="no score"):
+        metrics.log_loss(scored, seeds.select("row_id", "label")).collect()
+
+
+def test_dangling_edges(spark):
+    edges = spark.createDataFrame([("e", 1, 2), ("e", 1, 9)], "edge_type string, src long, dst long")
+    tails = spark.createDataFrame([(2, at(3))], "id long, ts timestamp_ntz")
+    assert {(r["dst"], r["ts"]) for r in ingest.denormalize_times(edges, tails, "id", "ts", dangling="keep").collect()} == {(2, at(3)), (9, None)}
+    with pytest.raises(Exception, match="leads to no row: 9"):
+        ingest.denormalize_times(edges, tails, "id", "ts").collect()
+
+
+@pytest.mark.parametrize("last", [1, 3, 50_000])
+def test_downsampling_without_a_sort(spark, monkeypatch, last):
+    """The rows with the smallest hashes, found by counting leading digits however few rows a last bucket may hold; no range exchange in the plan."""
+    import hashlib
+
+    monkeypatch.setattr(tasks, "LAST_BUCKET", last)
+    rows = [("a", i) for i in range(3000)] + [("b", i) for i in range(7)] + [("c", 0)]
+    df = spark.createDataFrame(rows, "task string, row_id long")
+    least = lambda t, k: {(t, i) for i in sorted((i for u, i in rows if u == t), key=lambda i: (hashlib.md5(f"42|{t}|{i}".encode()).hexdigest(), i))[:k]}
+    found = tasks.downsample_ratio(df, 0.3)
+    assert {tuple(r) for r in found.collect()} == least("a", 900) | least("b", 2) and found.count() == 902
+    assert {tuple(r) for r in tasks.downsample_absolute(df.where("task <> 'c'"), 7).collect()} == least("a", 7) | least("b", 7)
+    assert {tuple(r) for r in tasks.downsample_ratio(df, 1.0).collect()} == set(rows)
+    assert "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tasks.downsample_ratio(df.limit(0), 0.5).count() == 0
+
+
+def test_rerank_hides_masked_columns(spark):
+    """Without its second column root 1 is most like example 2, with it like example 3."""
+    rows = spark.createDataFrame([(1, [[1.0, 0.0], [0.0, 9.0]]), (2, [[2.0, 0.0], [0.0, 0.0]]), (3, [[1.0, 0.0], [0.0, 9.0]])], "row_id long, feats array<array<double>>")
+    draws = spark.createDataFrame([(1, 0, 2), (1, 1, 3)], "root_id long, draw int, example_id long")
+    best = lambda *roots: [r["example_id"] for r in fewshot.rerank(draws, fewshot.flat_features(rows), FewShotSpec(k=1, rerank_factor=2), *roots).collect()]
+    assert best() == [3] and best(fewshot.flat_features(rows, [1])) == [2]
+    near = spark.createDataFrame([(1, [1.0]), (2, [0.5000001]), (3, [0.5])], "row_id long, emb array<double>")
+    assert fewshot.rerank(draws.withColumn("example_id", F.lit(5) - F.col("example_id")), near, FewShotSpec(k=1)).first()["example_id"] == 2
