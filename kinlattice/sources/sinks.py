@@ -53,11 +53,17 @@ def save_weights(spark: SparkSession, path: str, weights: dict[str, np.ndarray],
             return False
     packed = io.BytesIO()
     np.savez(packed, **weights, **({} if value is None else {"__value__": np.float64(value)}))
-    out = store.create(at, True)
+    # beside the file, then in its place at once: a crash leaves the old weights or the new ones
+    beside = spark._jvm.org.apache.hadoop.fs.Path(path + ".writing")
+    out = store.create(beside, True)
     try:
         out.write(packed.getvalue())
     finally:
         out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration()).rename(store.makeQualified(beside), store.makeQualified(at), how)
     return True
 
 

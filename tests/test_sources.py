@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 from kinlattice.operators import ingest
-from kinlattice.sources import catalog, sinks
+from kinlattice.sources import catalog, datasets, sinks
 from pyspark.sql import functions as F
 
 
@@ -127,3 +127,88 @@ def test_best_weights_are_kept(spark, tmp_path):
     assert catalog.read_weights(spark, p)["a"].tolist() == [1.0, 1.0]
     assert save(4.0, -0.1) and save(5.0)
     assert catalog.read_weights(spark, p)["a"].tolist() == [5.0, 5.0]
+    assert not (tmp_path / "w.npz.writing").exists()
+
+
+def prepared(spark, p, types, edges, tasks, vectors, adjacent):
+    for t, (n, text) in types.items():
+        sinks.save_features(spark.createDataFrame([(i, i % 2) for i in range(n)], "row_id long, text_word long"), p, t)
+        sinks.save_text_dictionary(spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(text)], "code long, emb array<double>"), p, t)
+    sinks.save_edges(spark.createDataFrame(edges, "edge_type string, src long, dst long"), p)
+    sinks.save_tasks(spark.createDataFrame(tasks, "task string, split string, row_id long"), p)
+    sinks.save_metadata(spark.createDataFrame([(t, n) for t, (n, _) in types.items()], "node_type string, num long"), p, "metanode")
+    sinks.save_metadata(spark.createDataFrame(adjacent, "node_type string, edges array<string>"), p, "metaadj")
+    for part in datasets.VECTORS[:2]:
+        sinks.save_vectors(spark.createDataFrame(vectors, "name string, emb array<double>"), p, part)
+
+
+def stored(spark, p):
+    """All that a dataset holds, as sorted text."""
+    out = {}
+    for t, own in datasets.load_dataset(spark, p).items():
+        out[t] = [sorted(map(str, df.collect())) if df is not None else None for df in (own.features, own.decoded, own.text, own.edges, own.meta)]
+    for part in (*datasets.PARTITIONED, *datasets.VECTORS[:2]):
+        df = spark.read.parquet(f"{p}/{part}")
+        out[part] = sorted(str(r) for r in df.select(*sorted(df.columns)).collect())
+    return out
+
+
+@pytest.fixture
+def two(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    prepared(spark, a, {"x": (3, [1, 2]), "y": (2, [5])}, [("head of x:r:y", 0, 1), ("tail of x:r:y", 1, 0)], [("t", "train", 1), ("u", "test", 2)], [("n", [1.0]), ("m", [2.0])], [("x", ["head of x:r:y"])])
+    prepared(spark, b, {"x": (4, [7, 8]), "z": (1, [])}, [("head of x:r:y", 9, 9), ("head of x:s:z", 0, 0)], [("u", "valid", 3)], [("n", [1.0 + 1e-7]), ("o", [3.0])], [("x", ["head of x:s:z"]), ("z", [])])
+    return a, b, str(tmp_path / "out")
+
+
+def test_datasets_are_merged_whole(spark, two):
+    a, b, out = two
+    report = datasets.merge_datasets(spark, a, b, out)
+    assert {(r["part"], r["key"], r["what"]) for r in report.collect()} == {("metanode", "x", "num"), ("metaadj", "x", "edges"), ("node", "x", "replaced")}
+    got = datasets.load_dataset(spark, out)
+    assert sorted(got) == ["x", "y", "z"] and got["x"].features.count() == 4 and got["y"].features.count() == 2
+    assert sorted(r["text_word"] for r in got["x"].decoded.collect()) == [[7.0], [7.0], [8.0], [8.0]] and got["z"].text is None
+    assert got["x"].meta.first()["num"] == 4 and got["x"].meta.first()["edges"] == ["head of x:s:z"] and got["y"].meta.first()["edges"] is None
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/edge").select("edge_type", "src").collect()) == [("head of x:r:y", 9), ("head of x:s:z", 0), ("tail of x:r:y", 1)]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/task").select("task", "split", "row_id").collect()) == [("t", "train", 1), ("u", "valid", 3)]
+    assert {r["name"] for r in spark.read.parquet(f"{out}/edge_name").collect()} == {"m", "n", "o"}
+    with pytest.raises(ValueError, match="exists"):
+        datasets.merge_datasets(spark, a, b, out)
+
+
+def test_a_crashed_merge_is_run_again(spark, two, monkeypatch):
+    """A run that dies between parts, or between the renames, leaves the old dataset or none; the next one gives what one run gives."""
+    a, b, out = two
+    datasets.merge_datasets(spark, a, b, out)
+    whole = stored(spark, out)
+    datasets.merge_datasets(spark, a, b, out + "2")
+    assert stored(spark, out + "2") == whole
+    real = datasets._staged
+
+    def dies(spark, a, b, stage):
+        spark.read.parquet(f"{a}/node/x/feat").write.parquet(f"{stage}/node/x/feat")
+        raise RuntimeError("gone")
+
+    monkeypatch.setattr(datasets, "_staged", dies)
+    with pytest.raises(RuntimeError):
+        datasets.merge_datasets(spark, a, b, out + "3")
+    assert datasets.children(spark, out + "3") == []
+    monkeypatch.setattr(datasets, "_staged", real)
+    datasets.merge_datasets(spark, a, b, out + "3")
+    assert stored(spark, out + "3") == whole
+    store, at = datasets._store(spark, out)  # the old one is aside, the new one isn't there yet
+    before = stored(spark, b)
+    datasets.merge_datasets(spark, out, a, out + "4")
+    store.rename(at, datasets._store(spark, out + ".replaced")[1])
+    datasets.merge_datasets(spark, b, b, out, replace=True)
+    assert stored(spark, out) == before and datasets.children(spark, out + ".replaced") == []
+    datasets.merge_datasets(spark, a, out, out, replace=True)
+    assert stored(spark, out) == whole
+
+
+def test_vectors_that_disagree_stop_a_merge(spark, two):
+    a, b, out = two
+    sinks.save_vectors(spark.createDataFrame([("n", [1.5]), ("m", [2.0, 3.0])], "name string, emb array<double>"), b, "feature_name")
+    with pytest.raises(ValueError, match="vectors disagree: feature_name m, feature_name n"):
+        datasets.merge_datasets(spark, a, b, out)
+    assert datasets.children(spark, out) == [] and datasets.children(spark, out + ".merging") == []
