@@ -1,12 +1,13 @@
 """Near-duplicate detection by order MinHash and banded alignment.
 
 Texts are sequences of lower-cased words; their k-mers are runs of five words, each labelled with its occurrence number,
-so that a repeated run counts as often as it is there. For each of ``SKETCHES`` hash functions the ``LENGTH``
-labelled k-mers with the smallest hashes are taken in the order of the text (Marcais et al., 2019): two texts agree in a sketch if
-the same k-mers come first in the same order, which falls with edit distance and not only with the overlap of sets.
+so that a repeated run counts as often as it is there. For each of ``FUNCTIONS`` hash functions the ``LENGTH``
+labelled k-mers with the smallest hashes are taken in the order of the text (Marcais et al., 2019), and each two of them make a sketch: two texts agree in a sketch if
+two k-mers are among the first of both and in the same order, which falls with edit distance and not only with the overlap of sets.
+Three k-mers of a function agree in some two about 3.5 times as often as its first two do, where a fifth of k-mers is shared.
 
 Texts that agree in a sketch are candidates, less those that can't have enough words in common, by an exact bound from the number of
-words in each of 128 cells. A candidate pair is verified by an alignment of the two word sequences in the band of diagonals that
+words in each of 512 cells. A candidate pair is verified by an alignment of the two word sequences in the band of diagonals that
 the threshold allows, column by column with a column's differences in the bits of two whole numbers (Myers, 1999). Its similarity is
 1 - edits / words of the longer text, with insertions, deletions and substitutions of words as edits; at 0.8 or more the
 texts are linked. Classes are connected components.
@@ -19,8 +20,8 @@ with the nodes of all others (3, then 7, then 15, and fewer in larger buckets, s
 links nothing new or has the full width. These rounds only spare work: a component's leader needn't be in a bucket, nor all its nodes be compared there. So all
 untested pairs of several components in a bucket of up to 64 nodes follow, and the nodes of larger buckets that still hold several components
 go through an exact prefix filter on labelled words (see ``_sharing``), whichever of their buckets the rounds searched. Every pair that agrees in
-a sketch is then in one class, or tested, or excluded by an exact bound; pairs that agree in no sketch are the only loss: some in a hundred where half of all runs are shared, most
-where a text of a few words is edited (no run of five words is left).
+a sketch is then in one class, or tested, or excluded by an exact bound; pairs that agree in no sketch are the only loss: fewer than one in ten at 0.81
+similarity, and most where a text of a few words is edited (no run of five words is left).
 
 Defined cases: a null text is empty; equal texts, the empty one included, form a class; a text of fewer than five words has one
 k-mer, the whole of it; rows without words are linked to identical texts only; memory for a pair of very long texts is linear in them; a null doc_id is kept, and a
@@ -42,8 +43,9 @@ from .common import beside, compact, cut, map_arrow, small_side, text_of, words
 from .graph import absorb
 
 K = 5
-SKETCHES = 16
-LENGTH = 2
+#: Hash functions, and smallest labelled runs that each takes; each two of them, in the order of the text, are a sketch.
+FUNCTIONS = 18
+LENGTH = 3
 THRESHOLD = 0.8
 #: (nodes of a bucket up to, components whose leaders are compared with all its nodes by the rounds). What they leave out follows.
 LEADERS = ((64, 15), (None, 7))
@@ -51,7 +53,7 @@ WIDEST = 15
 #: Large buckets that a node is searched in by the rounds of leaders, its largest ones; the exact pass behind them covers all.
 CROWDS = 2
 #: Cells in which the words of a text are counted by hash, to bound how many two texts can have in common.
-CELLS = 128
+CELLS = 512
 #: Cells in which the words of all texts of the prefix filter are counted, so that rare ones come first: 1 MB.
 RARITY_BITS = 18
 #: Words whose hashes a worker keeps, and words that it sketches together; a longer text is alone.
@@ -60,8 +62,8 @@ TOGETHER = 200_000
 #: Columns of an alignment between moves of its band.
 STEP = 512
 _RNG = np.random.default_rng(20_190_708)
-_SEEDS = _RNG.integers(0, 2**64, SKETCHES, dtype=np.uint64)
-_ODD = _RNG.integers(0, 2**64, SKETCHES, dtype=np.uint64) | np.uint64(1)
+_SEEDS = _RNG.integers(0, 2**64, FUNCTIONS, dtype=np.uint64)
+_ODD = _RNG.integers(0, 2**64, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.uint64(2**64 - 1)
 
@@ -114,16 +116,20 @@ def cell_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def order_minhash(hashes: list[np.ndarray]) -> np.ndarray:
-    """Per text (all with words) SKETCHES hashes, each of the LENGTH smallest labelled runs in text order."""
+    """Per text (all with words) a sketch for each function and each two of its LENGTH smallest labelled runs, hashed in text order.
+
+    A text of fewer runs has fewer sketches, or one of its only run; the places left are filled with the function's first.
+    """
     each = [runs(h) for h in hashes]
     sizes = np.asarray([len(r) for r in each])
     starts = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(each)), sizes)
     x = labelled(np.concatenate(each), of)
     place = np.arange(len(x), dtype=np.uint64) - starts[of].astype(np.uint64)
-    out = np.zeros((len(each), SKETCHES), np.uint64)
+    pairs = [(c, d) for d in range(1, LENGTH) for c in range(d)]
+    out = np.zeros((len(each), FUNCTIONS * len(pairs)), np.uint64)
     inner = np.uint64((1 << max(20, int(sizes.max()).bit_length())) - 1)
-    for j in range(SKETCHES):
+    for j in range(FUNCTIONS):
         y = (x ^ _SEEDS[j]) * _ODD[j]
         # the low bits of what is minimised are the place
         y = (y & ~inner) | place
@@ -133,12 +139,12 @@ def order_minhash(hashes: list[np.ndarray]) -> np.ndarray:
             there = np.flatnonzero(least != _NONE)
             y[starts[there] + (least[there] & inner).astype(np.int64)] = _NONE
         found = np.sort(np.where(found == _NONE, _NONE, found & inner), axis=0)
-        value = np.zeros(len(each), np.uint64)
-        for c in range(LENGTH):
-            held = found[c] != _NONE
-            run = x[starts + np.where(held, found[c], np.uint64(0)).astype(np.int64)]
-            value = np.where(held, (value ^ (value >> np.uint64(31))) * _P + run, value)
-        out[:, j] = value
+        held = found != _NONE
+        run = x[starts + np.where(held, found, np.uint64(0)).astype(np.int64)]
+        value = np.where(held[1], ((run[0] * _P) ^ (run[0] >> np.uint64(31))) * _P + run[1], run[0])
+        for i, (c, d) in enumerate(pairs):
+            both = ((run[c] * _P) ^ (run[c] >> np.uint64(31))) * _P + run[d]
+            out[:, j * len(pairs) + i] = np.where(held[d], both, value)
     return out
 
 
@@ -222,7 +228,7 @@ def _key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (md5 of the text, 16 bytes), n_words, the order MinHash sketch and the cells of every row."""
+    """doc_id, key (md5 of the text, 16 bytes), n_words, the order MinHash sketches and the cells of every row; without cells where one holds too many words."""
     names = ["doc_id", "key", "n_words", "sketch", "cells"]
 
     def lists(rows: np.ndarray, of: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -236,10 +242,10 @@ def sketches(docs: DataFrame) -> DataFrame:
         n = np.asarray([len(h) for h in hashes], np.int64)
         of = np.flatnonzero(n)
         held = [hashes[i] for i in of]
-        sketch = order_minhash(held).view(np.int64) if held else np.zeros((0, SKETCHES), np.int64)
+        sketch = order_minhash(held).view(np.int64) if held else np.zeros((0, 1), np.int64)
         low = cells(held) if held else np.zeros((0, CELLS), np.int64)
-        few = low.max(axis=1, initial=0) <= 32_767
-        return pa.record_batch([ids, keys, pa.array(n), lists(sketch, of, len(n), pa.int64()), lists(low[few], of[few], len(n), pa.int16())], names=names)
+        few = low.max(axis=1, initial=0) <= 127
+        return pa.record_batch([ids, keys, pa.array(n), lists(sketch, of, len(n), pa.int64()), lists(low[few], of[few], len(n), pa.int8())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,7 +261,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield told(b.column(0).slice(at), b.column(1).slice(at), hashes)
 
     text = text_of()
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), _key(text).alias("key"), text.alias("text")), run, "doc_id long, key binary, n_words long, sketch array<long>, cells array<smallint>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), _key(text).alias("key"), text.alias("text")), run, "doc_id long, key binary, n_words long, sketch array<long>, cells array<tinyint>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -284,20 +290,20 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _leaders(member: DataFrame, n: int, roots: DataFrame, used: DataFrame | None, n_used: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """member with the root of each node, and the leaders (j, t, of, leader, length) that a bucket hasn't had yet.
+    """member with the root of each node, and the leaders (t, of, leader, length) that a bucket hasn't had yet.
 
     A component's leader is its most popular node, in whichever buckets the component is, so that buckets that hold nearly the same
     nodes ask for nearly the same pairs. A bucket has the leaders of its ``width`` most popular components; ranking is cut to width
     rows per bucket in each task before it is shuffled. n is the number of rows of member, which bounds roots and leaders too.
     """
-    grouped = member.join(beside(roots, n), F.col("key") == F.col("node"), "left").select("j", "t", "n", "key", "size", "popularity", F.coalesce("root", "key").alias("root"))
+    grouped = member.join(beside(roots, n), F.col("key") == F.col("node"), "left").select("t", "n", "key", "size", "popularity", F.coalesce("root", "key").alias("root"))
     tops = grouped.groupBy("root").agg(F.max(F.struct("popularity", "key", "size")).alias("top"))
-    held = grouped.select("j", "t", "n", "root").distinct().join(beside(tops, n), "root")
-    order = Window.partitionBy("j", "t").orderBy(F.col("top").desc())
+    held = grouped.select("t", "n", "root").distinct().join(beside(tops, n), "root")
+    order = Window.partitionBy("t").orderBy(F.col("top").desc())
     most = F.coalesce(*[F.when(F.col("n") <= size, F.lit(w)) for size, w in LEADERS if size], F.lit(LEADERS[-1][1]))
     ranked = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width).where(F.col("rank") <= most)
-    leaders = ranked.select("j", "t", F.col("root").alias("of"), F.col("top.key").alias("leader"), F.col("top.size").alias("length"))
-    return grouped, cut(leaders.join(beside(used, n_used), ["j", "t", "leader"], "left_anti") if used is not None else leaders)
+    leaders = ranked.select("t", F.col("root").alias("of"), F.col("top.key").alias("leader"), F.col("top.size").alias("length"))
+    return grouped, cut(leaders.join(beside(used, n_used), ["t", "leader"], "left_anti") if used is not None else leaders)
 
 
 def _candidates(grouped: DataFrame, leaders: DataFrame, n: int, tested: DataFrame | None, n_tested: int) -> DataFrame:
@@ -307,7 +313,7 @@ def _candidates(grouped: DataFrame, leaders: DataFrame, n: int, tested: DataFram
     """
     # texts of too different lengths can't be similar
     fits = 5 * F.least("size", "length") >= 4 * F.greatest("size", "length")
-    pairs = grouped.join(beside(leaders, n), ["j", "t"]).where((F.col("root") != F.col("of")) & fits).select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+    pairs = grouped.join(beside(leaders, n), ["t"]).where((F.col("root") != F.col("of")) & fits).select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
     return cut(pairs.join(beside(tested, n_tested), ["a", "b"], "left_anti") if tested is not None else pairs)
 
 
@@ -318,22 +324,22 @@ def _possible(pairs: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """
     side = lambda end: beside(counts.select(F.col("key").alias(end), F.col("cells").alias(f"x_{end}"), F.col("size").alias(f"n_{end}")), 4 * n)
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    common = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    common = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
     # each word of the longer text that the other hasn't is an edit
     return cut(both.where(F.coalesce(5 * common >= 4 * F.greatest("n_a", "n_b"), F.lit(True))).select("a", "b"))
 
 
 def _open(held: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
     """The rows of held, with the root of each node, in buckets that hold several components."""
-    rooted = held.join(beside(roots, n_roots), F.col("key") == F.col("node"), "left").select("j", "t", "n", "key", "size", F.coalesce("root", "key").alias("root"))
-    return rooted.join(rooted.groupBy("j", "t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("j", "t"), ["j", "t"], "left_semi")
+    rooted = held.join(beside(roots, n_roots), F.col("key") == F.col("node"), "left").select("t", "n", "key", "size", F.coalesce("root", "key").alias("root"))
+    return rooted.join(rooted.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t"), ["t"], "left_semi")
 
 
 def _rest(held: DataFrame) -> DataFrame:
     """All pairs (a < b) of held's rows that share a bucket and not a component, for buckets of bounded size."""
-    other = held.select("j", "t", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "root")])
+    other = held.select("t", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "root")])
     fits = 5 * F.least("size", "size_b") >= 4 * F.greatest("size", "size_b")
-    pairs = held.join(other, ["j", "t"]).where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & fits)
+    pairs = held.join(other, ["t"]).where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & fits)
     return pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
@@ -387,15 +393,18 @@ def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members (doc_id, key), links (a, b, similarity) between keys, and roots (node, root) of the linked keys."""
     sketched = cut(sketches(docs))
-    nodes = sketched.dropDuplicates(["key"])
-    buckets = nodes.select("key", F.col("n_words").alias("size"), F.posexplode("sketch").alias("j", "t"))
-    shared = buckets.groupBy("j", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    every = member = cut(buckets.join(shared, ["j", "t"]))
+    # only the rows of texts that come again are moved to find one of each
+    again = cut(sketched.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    again = small_side(again, again.count())
+    nodes = sketched.join(again, "key", "left_anti").unionByName(sketched.join(again, "key", "left_semi").dropDuplicates(["key"]).select(*sketched.columns))
+    buckets = nodes.select("key", F.col("n_words").alias("size"), F.explode(F.array_distinct("sketch")).alias("t"))
+    shared = buckets.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    every = member = cut(buckets.join(shared, ["t"]))
     popularity = member.groupBy("key").agg(F.sum("n").alias("popularity"))
     counts = cut(nodes.join(popularity, "key", "left_semi").select("key", F.col("n_words").alias("size"), "cells"))
     n_counts = counts.count()
-    size = F.row_number().over(Window.partitionBy("key", F.col("n") > LEADERS[0][0]).orderBy(F.col("n").desc(), "j"))
-    member = cut(every.withColumn("nth", size).where((F.col("n") <= LEADERS[0][0]) | (F.col("nth") <= CROWDS)).select("j", "t", "n", "key", "size").join(popularity, "key"))
+    size = F.row_number().over(Window.partitionBy("key", F.col("n") > LEADERS[0][0]).orderBy(F.col("n").desc(), "t"))
+    member = cut(every.withColumn("nth", size).where((F.col("n") <= LEADERS[0][0]) | (F.col("nth") <= CROWDS)).select("t", "n", "key", "size").join(popularity, "key"))
     n = member.count()
     member = compact(member, n)
 
@@ -421,7 +430,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         grouped, leaders = _leaders(member, n, roots, used, n_used, width)
         pairs = _candidates(grouped, leaders, n, tested, n_tested)
         n_used += leaders.count()
-        mine = leaders.select("j", "t", "leader")
+        mine = leaders.select("t", "leader")
         used = compact(mine if used is None else used.unionByName(mine), n_used)
         n_pairs = pairs.count()
         n_tested += n_pairs
