@@ -56,6 +56,8 @@ CROWDS = 2
 CELLS = 512
 #: Cells in which the words of all texts of the prefix filter are counted, so that rare ones come first: 1 MB.
 RARITY_BITS = 18
+#: Bits in which a text of the prefix filter marks its labelled words by hash, 256 bytes.
+MARKS = 2048
 #: Words whose hashes a worker keeps, and words that it sketches together; a longer text is alone.
 CACHED = 100_000
 TOGETHER = 200_000
@@ -348,7 +350,8 @@ def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
 
     A pair at the threshold has 4/5 of the longer text's words in common at least. So if all texts list their words in one order, the first fifth of
     each, and one more, have a word in common, and behind the first such word enough is left in both. Rare words come first: words are
-    counted in cells of fixed number, so that the order is known to every task without a join.
+    counted in cells of fixed number, so that the order is known to every task without a join. Texts also mark their labelled words in MARKS bits: a bit that only one
+    of two texts has set is a word that the other hasn't, so most pairs that share a rare word and are not similar aren't made.
     """
     keyed = docs.select(F.md5(text_of()).alias("key"), text_of().alias("text"))
     texts = keyed.join(small_side(nodes, n), "key").select("key", "root", "text").dropDuplicates(["key"])
@@ -374,19 +377,25 @@ def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
 
     def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, out = [], []
+            sizes, out, bits = [], [], []
             for words in b.column(2):
                 w = np.asarray(words.values.to_numpy()).view(np.uint64)
                 sizes.append(len(w))
+                set_ = np.zeros(MARKS, bool)
+                set_[cell_of(w, MARKS.bit_length() - 1)] = True
+                bits.append(np.packbits(set_).view(np.int64))
                 out.append(w[np.lexsort((w, level.value[cell_of(w, RARITY_BITS)]))][: len(w) // 5 + 1].view(np.int64))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["key", "root", "n", "first"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(out, pa.list_(pa.int64()))], names=["key", "root", "n", "bits", "first"])
 
-    first = cut(map_arrow(each, first_words, "key string, root string, n long, first array<long>")).select("key", "root", "n", F.posexplode("first").alias("at", "word"))
+    first = cut(map_arrow(each, first_words, "key string, root string, n long, bits array<long>, first array<long>")).select("key", "root", "n", "bits", F.posexplode("first").alias("at", "word"))
     across = first.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("word")
     first = cut(first.join(across, "word", "left_semi"))
-    one = first.select("word", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "at")])
+    one = first.select("word", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "bits", "at")])
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
-    both = one.join(first, "word").where((F.col("root_a") != F.col("root")) & (F.col("key_a") < F.col("key")) & (5 * F.least("n_a", "n") >= 4 * F.greatest("n_a", "n")) & (5 * left >= 4 * F.greatest("n_a", "n")))
+    longer = F.greatest("n_a", "n")
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, k: t + k)
+    sizes = (F.col("root_a") != F.col("root")) & (F.col("key_a") < F.col("key")) & (5 * F.least("n_a", "n") >= 4 * longer) & (5 * left >= 4 * longer)
+    both = one.join(first, "word").where(sizes & (5 * (F.col("n_a") - only("bits_a", "bits")) >= 4 * longer) & (5 * (F.col("n") - only("bits", "bits_a")) >= 4 * longer))
     return both.select(F.col("key_a").alias("a"), F.col("key").alias("b")).distinct()
 
 
