@@ -16,8 +16,8 @@ __all__ = ["BLANKS", "BROADCAST_ROWS", "ODD_BLANK", "COMPACT_ROWS", "WORD", "bes
 
 #: Rows of (long, long) that may be broadcast: 16 bytes each, so 16 MB at most before hashing.
 BROADCAST_ROWS = 1_000_000
-#: Narrow rows (of some 100 bytes) that one task may hold alone, or each task beside its own: 20 MB.
-COMPACT_ROWS = 200_000
+#: Narrow rows (of some 100 bytes) that one task may hold alone, or each task beside its own: 5 MB.
+COMPACT_ROWS = 50_000
 #: Bytes of a batch that goes to a Python worker at once.
 BATCH_BYTES = 8 << 20
 #: Characters that separate words, the complement of [^\x20\x09-\x0D].
