@@ -56,8 +56,8 @@ CROWDS = 2
 CELLS = 512
 #: Cells in which the words of all texts of the prefix filter are counted, so that rare ones come first: 1 MB.
 RARITY_BITS = 18
-#: Bits in which a text of the prefix filter marks its labelled words by hash, 256 bytes.
-MARKS = 2048
+#: Bits in which a text of the prefix filter marks its labelled words by hash, 128 bytes.
+MARKS = 1024
 #: Words whose hashes a worker keeps, and words that it sketches together; a longer text is alone.
 CACHED = 100_000
 TOGETHER = 200_000
@@ -388,8 +388,6 @@ def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(out, pa.list_(pa.int64()))], names=["key", "root", "n", "bits", "first"])
 
     first = cut(map_arrow(each, first_words, "key string, root string, n long, bits array<long>, first array<long>")).select("key", "root", "n", "bits", F.posexplode("first").alias("at", "word"))
-    across = first.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("word")
-    first = cut(first.join(across, "word", "left_semi"))
     one = first.select("word", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "bits", "at")])
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
     longer = F.greatest("n_a", "n")
@@ -407,9 +405,11 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     again = small_side(again, again.count())
     nodes = sketched.join(again, "key", "left_anti").unionByName(sketched.join(again, "key", "left_semi").dropDuplicates(["key"]).select(*sketched.columns))
     buckets = nodes.select("key", F.col("n_words").alias("size"), F.explode(F.array_distinct("sketch")).alias("t"))
-    shared = buckets.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    every = member = cut(buckets.join(shared, ["t"]))
-    popularity = member.groupBy("key").agg(F.sum("n").alias("popularity"))
+    # near copies agree in many sketches: of buckets that hold the same nodes one is enough, and counts for all
+    same = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    shared = buckets.groupBy("t").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1").groupBy("n", "h0", "h1").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("alike"))
+    every = member = cut(buckets.join(shared.select("t", "n", "alike"), ["t"]))
+    popularity = member.groupBy("key").agg(F.sum(F.col("n") * F.col("alike")).alias("popularity"))
     counts = cut(nodes.join(popularity, "key", "left_semi").select("key", F.col("n_words").alias("size"), "cells"))
     n_counts = counts.count()
     size = F.row_number().over(Window.partitionBy("key", F.col("n") > LEADERS[0][0]).orderBy(F.col("n").desc(), "t"))
