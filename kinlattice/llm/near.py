@@ -268,7 +268,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar enough, with their similarity."""
-    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    need = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
     n = need.count()
     keyed = docs.select(text_of().alias("text")).withColumn("key", _key(F.col("text")))
     texts = cut(keyed.join(small_side(need, n), "key", "left_semi").dropDuplicates(["key"]))
@@ -408,7 +408,8 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # near copies agree in many sketches: of buckets that hold the same nodes one is enough, and counts for all
     same = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"h{i}") for i in range(2)]
     shared = buckets.groupBy("t").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1").groupBy("n", "h0", "h1").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("alike"))
-    every = member = cut(buckets.join(shared.select("t", "n", "alike"), ["t"]))
+    shared = cut(shared.select("t", "n", "alike"))  # and what it was counted from is gone before buckets move
+    every = member = cut(buckets.join(shared, ["t"]))
     popularity = member.groupBy("key").agg(F.sum(F.col("n") * F.col("alike")).alias("popularity"))
     counts = cut(nodes.join(popularity, "key", "left_semi").select("key", F.col("n_words").alias("size"), "cells"))
     n_counts = counts.count()
