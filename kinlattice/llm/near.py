@@ -7,7 +7,7 @@ two k-mers are among the first of both and in the same order, which falls with e
 Three k-mers of a function agree in some two about 3.5 times as often as its first two do, where a fifth of k-mers is shared.
 
 Texts that agree in a sketch are candidates, less those that can't have enough words in common, by an exact bound from the number of
-words in each of 512 cells. A candidate pair is verified by an alignment of the two word sequences in the band of diagonals that
+words in each of 1,024 cells. A candidate pair is verified by an alignment of the two word sequences in the band of diagonals that
 the threshold allows, column by column with a column's differences in the bits of two whole numbers (Myers, 1999). Its similarity is
 1 - edits / words of the longer text, with insertions, deletions and substitutions of words as edits; at 0.8 or more the
 texts are linked. Classes are connected components.
@@ -53,7 +53,7 @@ WIDEST = 15
 #: Large buckets that a node is searched in by the rounds of leaders, its largest ones; the exact pass behind them covers all.
 CROWDS = 2
 #: Cells in which the words of a text are counted by hash, to bound how many two texts can have in common.
-CELLS = 512
+CELLS = 1024
 #: Cells in which the words of all texts of the prefix filter are counted, so that rare ones come first: 1 MB.
 RARITY_BITS = 18
 #: Bits in which a text of the prefix filter marks its labelled words by hash, 128 bytes.
