@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import scalar
 from ..operators import aggregate, encoders, fewshot, homogeneous, ingest, merge, metrics, model, sampling, tasks, typed
 from ..sources.catalog import read_table
 from .shape import with_position
-from .specs import BatchSpec, FewShotSpec, ModelSpec, SampleSpec, TaskSpec
+from .specs import BatchSpec, FewShotSpec, ModelSpec, SampleSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,47 +171,65 @@ def mask_sampled_roots(spark, d):
 
 # Catalogue and adjacency
 
-EDGE_NAMES = ["nation:in:region", "customer:in:nation", "supplier:in:nation", PLACED, LINE, "lineitem:item:part", "lineitem:from:supplier", "events:by:customer", "labels:of:documents", "part:reverse_item:lineitem", "part:item-self_loop:part", "documents:cites:documents"]
-_EDGES = "e AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in EDGE_NAMES) + "]) AS edge_type), p AS (SELECT edge_type, string_split(edge_type, ':')[1] AS head_type, string_split(edge_type, ':')[2] AS rel, string_split(edge_type, ':')[3] AS tail_type FROM e)"
+#: Edge types that the tables' rows name: SQL of the head, the name and the tail by table.
+EDGE_PARTS = (
+    ("orders", "'orders'", "'placed_' || o_orderpriority", "'customer'"),
+    ("part", "'part'", "'made_by_' || p_brand", "p_type"),
+    ("documents", "'documents'", "'in_' || source", "lang"),
+    ("documents", "lang", "'reverse_in_' || source", "'documents'"),
+    ("documents", "lang", "source || '-self_loop'", "lang"),
+    ("documents", "'documents'", "'beside_' || lang", "'documents'"),
+    ("events", "'events'", "event_type", "'user'"),
+)
+_EDGES = "e AS (" + " UNION ".join(f"SELECT {h} || ':' || {n} || ':' || {t} AS edge_type FROM {table}" for table, h, n, t in EDGE_PARTS) + "), p AS (SELECT edge_type, string_split(edge_type, ':')[1] AS head_type, string_split(edge_type, ':')[2] AS rel, string_split(edge_type, ':')[3] AS tail_type FROM e WHERE edge_type IS NOT NULL)"
 _KEPT_EDGES = _EDGES + ", k AS (SELECT * FROM p WHERE NOT ends_with(rel, '-self_loop') AND NOT starts_with(rel, 'reverse_'))"
 _DIRECTED = _KEPT_EDGES + """, d AS (SELECT 'head of ' || edge_type AS directed, 'out' AS direction, head_type AS from_type, tail_type AS to_type FROM k
   UNION ALL SELECT 'tail of ' || edge_type, 'in', tail_type, head_type FROM k WHERE head_type <> tail_type)"""
 
 
-def edge_catalogue(spark: SparkSession) -> DataFrame:
-    return ingest.parse_edges(spark.createDataFrame([(e,) for e in EDGE_NAMES], "edge_type string"))
+def edge_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct edge types of all rows, each table's made distinct before they meet."""
+    parts = [read_table(spark, d, table).selectExpr(f"{h} || ':' || {n} || ':' || {t} AS edge_type").distinct() for table, h, n, t in EDGE_PARTS]
+    return ingest.parse_edges(reduce(DataFrame.unionByName, parts).where("edge_type IS NOT NULL").distinct())
 
 
 @query(f"WITH {_EDGES} SELECT * FROM p")
 def edge_catalog_parse(spark, d):
-    return ingest.unique_edge_types(edge_catalogue(spark))
+    return ingest.unique_edge_types(edge_catalogue(spark, d))
 
 
 @query(f"WITH {_KEPT_EDGES} SELECT * FROM k")
 def edge_filter(spark, d):
-    return ingest.filter_edges(edge_catalogue(spark))
+    return ingest.filter_edges(edge_catalogue(spark, d))
 
 
 @query(f"WITH {_DIRECTED} SELECT * FROM d")
 def edge_union_bidirectional(spark, d):
-    return ingest.edge_directions(ingest.filter_edges(edge_catalogue(spark)))
+    return ingest.edge_directions(ingest.filter_edges(edge_catalogue(spark, d)))
 
 
 @query(f"WITH {_DIRECTED} SELECT directed, from_type AS head, to_type AS tail FROM d")
 def edge_name_ends(spark, d):
     """Ends of a directed name, read from the name alone."""
-    e = ingest.edge_directions(ingest.filter_edges(edge_catalogue(spark))).select("directed")
+    e = ingest.edge_directions(ingest.filter_edges(edge_catalogue(spark, d))).select("directed")
     return e.select("directed", scalar.directed_head(F.col("directed")).alias("head"), scalar.directed_tail(F.col("directed")).alias("tail"))
 
 
-_FEATURES = """f AS (SELECT table_name AS node_type, column_name AS "column", table_name || '___' || column_name AS name, (table_name = 'region' AND column_name = 'x') AS is_target FROM information_schema.columns
-  WHERE table_name IN ('customer', 'documents', 'orders') UNION ALL SELECT * FROM (VALUES ('documents', 'text_lang', 'documents___text_lang', false), ('orders', 'text_priority', 'orders___text_priority', false), ('grade', 'grade', 'grade___grade', true)))"""
+_FEATURES = """v AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), f AS (SELECT table_name AS node_type, column_name AS "column", table_name || '___' || column_name AS name, false AS is_target FROM information_schema.columns
+  WHERE table_name IN ('customer', 'documents', 'orders') UNION ALL SELECT 'user', event_type, 'user___' || event_type, false FROM v
+  UNION ALL SELECT 'user', 'text_' || event_type, 'user___text_' || event_type, false FROM v WHERE n * 5 > (SELECT count(*) FROM events)
+  UNION ALL SELECT DISTINCT source, 'grade', source || '___grade', true FROM documents)"""
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    tables = {t: read_table(spark, d, t) for t in ("customer", "documents", "orders")}
-    more = spark.createDataFrame([("documents", "text_lang", "documents___text_lang", "array<float>", False), ("orders", "text_priority", "orders___text_priority", "array<float>", False), ("grade", "grade", "grade___grade", "bigint", True)], "node_type string, column string, name string, dtype string, is_target boolean")
-    return ingest.feature_catalogue(tables).unionByName(more)
+    """Columns of tables, of users (one per event type, with a text version where a type has over a fifth of all events) and, as targets, of sources."""
+    out = ingest.feature_catalogue({t: read_table(spark, d, t) for t in ("customer", "documents", "orders")})
+    events = read_table(spark, d, "events")
+    kinds, every = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), events.count()
+    named = lambda df, t, c, k, target: df.select(t.alias("node_type"), c.alias("column"), ingest.qualified(t, c).alias("name"), F.lit(k).alias("dtype"), F.lit(target).alias("is_target"))
+    out = out.unionByName(named(kinds, F.lit("user"), F.col("event_type"), "bigint", False))
+    out = out.unionByName(named(kinds.where(F.col("n") * 5 > every), F.lit("user"), F.concat(F.lit("text_"), "event_type"), "array<float>", False))
+    return out.unionByName(named(read_table(spark, d, "documents").select("source").distinct(), F.col("source"), F.lit("grade"), "bigint", True))
 
 
 @query(f"WITH {_FEATURES} SELECT name FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.node_type = f.node_type AND g.\"column\" = 'text_' || f.\"column\")")
@@ -267,12 +286,17 @@ def neighbor_time_denorm(spark, d):
     return ingest.denormalize_times(back, read_table(spark, d, "orders"), "o_orderkey", "o_orderdate").select("edge_type", "src", "dst", "ts")
 
 
-@query(f"WITH {_DIRECTED}, t AS (SELECT unnest(['region', 'nation', 'customer', 'part']) AS node_type) SELECT node_type, coalesce(string_agg(directed, ',' ORDER BY directed), '') AS edges FROM t LEFT JOIN d ON node_type = from_type GROUP BY 1")
+@query(f"""WITH {_DIRECTED}, t AS (SELECT lang AS node_type, count(*) AS num FROM documents GROUP BY 1 UNION ALL SELECT p_type, count(*) FROM part GROUP BY 1 UNION ALL SELECT 'documents', count(*) FROM documents
+  UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT r_name, count(*) FROM region GROUP BY 1)
+SELECT node_type, num, coalesce(string_agg(directed, ',' ORDER BY directed), '') AS edges FROM t LEFT JOIN d ON node_type = from_type GROUP BY 1, 2""")
 def metadata_join(spark, d):
+    """Counted node types with the edges that leave them; a region has none."""
     from ..sources.catalog import joined_metadata
 
-    types = spark.createDataFrame([(t,) for t in ("region", "nation", "customer", "part")], "node_type string")
-    return joined_metadata(types, ingest.edge_directions(ingest.filter_edges(edge_catalogue(spark)))).withColumn("edges", F.array_join("edges", ","))
+    types = (("documents", "lang"), ("part", "p_type"), ("documents", "'documents'"), ("orders", "'orders'"), ("region", "r_name"))
+    nodes = [read_table(spark, d, table).groupBy(F.expr(kind).alias("node_type")).agg(F.count(F.lit(1)).alias("num")) for table, kind in types]
+    directions = ingest.edge_directions(ingest.filter_edges(edge_catalogue(spark, d)))
+    return joined_metadata(reduce(DataFrame.unionByName, nodes), directions).withColumn("edges", F.array_join("edges", ","))
 
 
 # Tasks and batches
@@ -304,35 +328,41 @@ def positive_pairs(spark, d):
     return tasks.positive_pairs(task_rows(spark, d))
 
 
-TASKS = [
-    TaskSpec("toxic", "retrieval", "documents", "toxicity", "hr@1", ("documents___n_chars", "documents___text", "documents___text_toxic", "documents___toxic"), ("documents___text", "documents___toxic")),
-    TaskSpec("quality", "retrieval", "documents", "grade", "retrieval_auroc", ("documents___lang", "documents___n_chars"), ("documents___lang", "documents___n_chars")),
-    TaskSpec("spend", "regression", "customer", "customer", "rmse", ("customer___c_acctbal", "customer___c_mktsegment"), ("customer___c_acctbal", "customer___c_mktsegment")),
-    TaskSpec("stray", "regression", "customer", "orders", "mae", (), ()),
-]
-TASK_GROUPS = {"texts": ["toxic", "quality"], "numbers": ["spend", "stray"]}
-_TASKS = "t AS (SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{t.task_type}', '{t.seed_type}', '{t.target_type}')" for t in TASKS) + ") AS v(task, task_type, seed_type, target_type))"
+#: Tasks on the documents of each source: column, type, target type, metric. Regression on another type than the seeds' is to be left out.
+TASK_KINDS = (("lang", "retrieval", "lang", "hr@1"), ("n_chars", "regression", "documents", "rmse"), ("toxic", "retrieval", "labels", "retrieval_auroc"), ("quality", "regression", "labels", "mae"))
+_KINDS = "k AS (SELECT * FROM (VALUES " + ", ".join(f"({x!r}, {t!r}, {y!r}, {m!r})" for x, t, y, m in TASK_KINDS) + ") AS v(target, task_type, target_type, metric))"
+_TASKS = _KINDS + """, g AS (SELECT source, min(lang) <> max(lang) AS l, min(n_chars) <> max(n_chars) AS n, min(text) <> max(text) AS x FROM documents WHERE source IS NOT NULL GROUP BY 1),
+t AS (SELECT target || '@' || source AS task, task_type, 'documents' AS seed_type, target_type, source, target, l, n, x FROM g, k)"""
 
 
-def task_table(spark: SparkSession) -> DataFrame:
-    return tasks.task_table(TASKS, spark)
+def task_table(spark: SparkSession, d: str) -> DataFrame:
+    """TASK_KINDS for each source; a feature with one value in all of a source's documents isn't allowed."""
+    docs = read_table(spark, d, "documents").where("source IS NOT NULL")
+    names = ("lang", "n_chars", "text")
+    varied = docs.groupBy("source").agg(*[(F.min(c) != F.max(c)).alias(c) for c in names])
+    every = F.array(*[F.lit(f"documents___{c}") for c in (*names, "text_lang")])
+    allowed = F.concat(F.array(F.lit("documents___text_lang")), *[F.when(F.col(c), F.array(F.lit(f"documents___{c}"))).otherwise(F.array().cast("array<string>")) for c in names])
+    kinds = F.array(*[F.struct(F.lit(x).alias("target"), F.lit(t).alias("task_type"), F.lit(y).alias("target_type"), F.lit(m).alias("metric")) for x, t, y, m in TASK_KINDS])
+    each = varied.select("source", every.alias("all_features"), allowed.alias("allowed_features"), F.explode(kinds).alias("k"))
+    return each.select(F.concat("k.target", F.lit("@"), "source").alias("task"), "k.task_type", F.lit("documents").alias("seed_type"), "k.target_type", "k.metric", "all_features", "allowed_features", "k.target", "source")
 
 
-@query(f"WITH {_TASKS} SELECT * FROM t WHERE task_type <> 'regression' OR target_type = seed_type")
+@query(f"WITH {_TASKS} SELECT task, task_type, seed_type, target_type FROM t WHERE task_type <> 'regression' OR target_type = seed_type")
 def matching_types(spark, d):
-    return tasks.matching_types(task_table(spark)).select("task", "task_type", "seed_type", "target_type")
+    return tasks.matching_types(task_table(spark, d)).select("task", "task_type", "seed_type", "target_type")
 
 
 @query(f"WITH {_TASKS} SELECT task, CASE WHEN task_type = 'regression' THEN target_type ELSE seed_type END AS seed_type, CASE WHEN task_type = 'regression' THEN seed_type ELSE target_type END AS target_type FROM t")
 def swap_roles(spark, d):
-    return tasks.swap_roles(task_table(spark)).select("task", "seed_type", "target_type")
+    return tasks.swap_roles(task_table(spark, d)).select("task", "seed_type", "target_type")
 
 
-@query("SELECT * FROM (VALUES ('toxic', 'documents___n_chars,documents___text_toxic,documents___toxic'), ('quality', ''), ('spend', 'customer___c_acctbal'), ('stray', '')) AS v(task, masked)")
+@query(f"""WITH {_TASKS}, h AS (SELECT task, unnest(['documents___lang', 'documents___n_chars', 'documents___text', 'documents___text_lang']) AS name, unnest([l AND target <> 'lang', n AND target <> 'n_chars', x, target <> 'lang']) AS seen FROM t)
+SELECT task, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT coalesce(seen, false)), '') AS masked FROM h GROUP BY 1""")
 def masked_features(spark, d):
     """Both versions of the target column are masked, whatever is allowed."""
-    target = F.when(F.col("task") == "toxic", "documents___toxic").when(F.col("task") == "spend", "customer___c_acctbal").otherwise("none___none")
-    return task_table(spark).select("task", F.array_join(tasks.masked_features(F.col("all_features"), F.col("allowed_features"), target), ",").alias("masked"))
+    target = ingest.qualified(F.lit("documents"), F.col("target"))
+    return task_table(spark, d).select("task", F.array_join(tasks.masked_features(F.col("all_features"), F.col("allowed_features"), target), ",").alias("masked"))
 
 
 @query("SELECT c_custkey AS row_id, u.name, u.value FROM customer, (SELECT unnest(['customer___c_acctbal', 'customer___c_mktsegment']) AS name, unnest([c_acctbal::VARCHAR, c_mktsegment]) AS value) u WHERE u.name <> 'customer___c_acctbal'")
@@ -345,9 +375,8 @@ def column_mask(spark, d):
 
 def _selector(name: str, selector: str, where: str) -> None:
     def f(spark, d):
-        groups = spark.createDataFrame([(g, t) for g, members in TASK_GROUPS.items() for t in members], "group_name string, task string")
-        return tasks.select_tasks(task_table(spark), selector, groups).select("task")
-
+        table = task_table(spark, d)
+        return tasks.select_tasks(table, selector, table.select(F.col("source").alias("group_name"), "task")).select("task")
     f.__name__ = f"task_select_{name}"
     query(f"WITH {_TASKS} SELECT task FROM t WHERE {where}")(f)
 
@@ -355,9 +384,9 @@ def _selector(name: str, selector: str, where: str) -> None:
 _selector("all", "ALLTASK", "true")
 _selector("retrieval", "RETTASK", "task_type = 'retrieval'")
 _selector("regression", "REGTASK", "task_type = 'regression'")
-_selector("except", "EXCEPT__toxic", "task <> 'toxic'")
-_selector("group", "texts", "task IN ('toxic', 'quality')")
-_selector("list", "toxic,spend", "task IN ('toxic', 'spend')")
+_selector("except", "EXCEPT__toxic@src0", "task <> 'toxic@src0'")
+_selector("group", "src3", "source = 'src3'")
+_selector("list", "toxic@src1,n_chars@src2", "task IN ('toxic@src1', 'n_chars@src2')")
 
 _NUMBERED = "(row_number() OVER (PARTITION BY task ORDER BY {order}) - 1)"
 _DRAW = "md5(concat_ws('|', '42', task, row_id))"
@@ -587,14 +616,26 @@ def name_lookup(spark, d):
     return found.select("event_id", "event_type", F.round(scalar.total(F.col("emb")), 5).alias("x"))
 
 
-@query()
+def _names_sql(names: str, width: int = 32) -> str:
+    """SQL of encoders.name_vector for the names of a query: signed counts of hashed words over their norm; 0 for a place no word falls on."""
+    return f"""words AS (SELECT DISTINCT name, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM (SELECT name, regexp_extract_all(replace(replace(lower(name), '_', ' '), ':', ' '), '[^ ]+') AS ws FROM ({names}))),
+hashed AS (SELECT name, ('0x' || substr(md5(word), 1, 2))::INT % {width} AS pos, 2 * (('0x' || substr(md5(word), 11, 2))::INT % 2) - 1 AS s FROM words),
+placed AS (SELECT name, pos, sum(s)::DOUBLE AS x FROM hashed GROUP BY 1, 2), z AS (SELECT name, sqrt(sum(x * x)) AS norm FROM placed GROUP BY 1)
+SELECT z.name, p.pos::INT AS pos, round(CASE WHEN norm > 0 THEN coalesce(x, 0) / norm ELSE 0 END, 6) AS x FROM z CROSS JOIN range({width}) AS p(pos) LEFT JOIN placed ON placed.name = z.name AND placed.pos = p.pos"""
+
+
+def _places(vectors: DataFrame) -> DataFrame:
+    return vectors.select("name", F.posexplode("emb").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {_FEATURES}, " + _names_sql("SELECT name FROM f"))
 def name_embedding(spark, d):
-    return encoders.name_vectors(features(spark, d).select("name"))
+    return _places(encoders.name_vectors(features(spark, d).select("name")))
 
 
-@query()
+@query(f"WITH {_DIRECTED}, " + _names_sql("SELECT directed AS name FROM d UNION SELECT 'fewshot'"))
 def edge_name_embedding(spark, d):
-    return encoders.edge_name_vectors(ingest.edge_directions(ingest.filter_edges(edge_catalogue(spark))))
+    return _places(encoders.edge_name_vectors(ingest.edge_directions(ingest.filter_edges(edge_catalogue(spark, d)))))
 
 
 # Few-shot
