@@ -17,12 +17,14 @@ Windows are equal if their 128-bit hashes are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, let, small_side, text_of
 
 WINDOW = 3
+#: Copies of one row that one block makes.
+COPIES = 100_000
 
 
 def _window_hashes(lines: Column) -> Column:
@@ -48,19 +50,28 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("i")).alias("starts"))
 
 
-def _copies_marked(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, h, ...) with copy: true in all but one of the rows that are equal in doc_id and text.
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, h, text, n_lines) with copy: true in all but one of the rows that are equal in doc_id and text.
 
-    Only rows that have such an equal are moved.
+    Only rows that have such an equal are moved: each task sends one of them and their number, and copies are made again from the number, without
+    texts that lose all lines, in blocks dealt out over tasks.
     """
-    repeated = cut(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d"), F.col("h").alias("g")))
+    repeated = cut(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n"))
     n = repeated.count()
+    first = rows.withColumn("copy", F.lit(False))
     if not n:
-        return rows.withColumn("copy", F.lit(False))
+        return first
     match = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h"))
-    some = rows.join(small_side(repeated, n), match, "left_semi").withColumn("copy", nth > 1)
-    return rows.join(small_side(repeated, n), match, "left_anti").withColumn("copy", F.lit(False)).unionByName(some)
+    side = small_side(repeated, n)
+    one = rows.join(side, match).groupBy("doc_id", "h").agg(F.min("text").alias("text"), F.min("n_lines").alias("n_lines"), F.min("n").alias("n"))
+    one = cut(one.withColumn("copy", F.lit(False)))
+    # every window of a copy occurred before
+    bare = F.when(F.col("n_lines") < WINDOW, F.col("text"))
+    blocks = one.select("doc_id", "h", bare.alias("text"), "n_lines", (F.col("n") - 1).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 2) / COPIES))).alias("block"))
+    size = F.least(F.lit(COPIES).cast("long"), F.col("left") - F.col("block") * COPIES)
+    copies = blocks.withColumn("size", size).repartition("doc_id", "h", "block").withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))))
+    copies = copies.select("doc_id", "h", "text", "n_lines", F.lit(True).alias("copy"))
+    return first.join(side, match, "left_anti").unionByName(one.drop("n")).unionByName(copies)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -68,10 +79,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     found = cut(later_windows(docs))
     size = found.agg(F.sum(F.size("starts") + 1)).first()[0] or 0
     side = small_side(found.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "starts"), size)
-    rows = _copies_marked(_keyed(docs)).join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     lines = F.split("text", "\n", -1)
-    n_lines = F.size(lines).cast("long")
-    # every window of a copy occurred before
+    rows = _with_copies(_keyed(docs).withColumn("n_lines", F.size(lines).cast("long"))).join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    n_lines = F.col("n_lines")
     emptied = F.col("copy") & (n_lines >= WINDOW)
     touched = F.col("starts").isNotNull()
     kept = let(lines, lambda x: let(_marks(F.col("starts"), F.size(x)), lambda gone: F.filter(x, lambda _, i: ~F.get(gone, i))))
