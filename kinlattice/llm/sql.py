@@ -182,3 +182,16 @@ a AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) A
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM t LEFT JOIN a USING (rid)
 """
+
+ORACLES["op1_suffix_dedup"] = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+w AS (SELECT r, u.i AS i, md5_number(h[2 * u.i + 1 : 2 * u.i + 400]) AS k FROM t, unnest(range(0, n_bytes - 199)) AS u(i)),
+dup AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+b AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS begins FROM dup),
+g AS (SELECT r, i, sum(begins) OVER (PARTITION BY r ORDER BY i) AS run FROM b),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY r, run),
+x AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+k AS (SELECT t.r, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed,
+        string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM x JOIN t USING (r) GROUP BY t.r)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN k USING (r)
+"""

@@ -11,8 +11,8 @@ their rank (the hash of the 32 bytes); unique ranks leave, and with them all win
 Round 1, length up to 368. Each remaining anchor gets the rank of the whole stretch of windows that it owns. If all anchors
 of a rank have equal stretches, or if an anchor's stretch occurs twice, its windows are settled.
 
-Round 2, lengths 64, 128, 200. One anchor of each distinct stretch is compared with the others of its rank, now per window: pairs (rank at i,
-rank at i + h) give ranks of twice the length until they are past 200, and ranks that occur twice are repeated windows.
+Round 2, length 200. One anchor of each distinct stretch is compared with the others of its rank, now per window: a worker makes pairs (rank at i,
+rank at i + h) into ranks of twice the length until they are past 200 and counts those only, so 64 and 128 are no rounds of Spark's; ranks that occur twice are repeated windows.
 Spark sorts stretches by their first rank, so that many small groups are doubled in one batch; the few
 ranks with more than ``SPLIT`` distinct stretches are dealt out window by window in a group-by instead.
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, map_arrow, text_of
@@ -232,13 +232,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = cut(found.groupBy("rank", "stretch", "t1", "t2", "at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")))
 
     one = found.groupBy("rank", "stretch").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "id", "at")).alias("x"))
-    classes = cut(one.select("rank", "stretch", "n", "x.*", F.count(F.lit(1)).over(Window.partitionBy("rank")).alias("different")))
+    classes = cut(one.select("rank", "stretch", "n", "x.*"))
+    # counted by tasks first, so that a rank with very many stretches isn't one task
+    several = classes.groupBy("rank").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
     place = F.shiftright("at", 16)
     start = place - F.shiftright("at", 8).bitwiseAND(F.lit(255))
     stop = place - F.col("at").bitwiseAND(F.lit(255)) + LENGTH
     settled = found.join(classes.where("n > 1").select("rank", "stretch"), ["rank", "stretch"], "left_semi").select("t1", "t2", start.alias("start"), stop.alias("stop"))
 
-    unsettled = classes.where("different > 1")
+    unsettled = cut(classes.join(several, "rank"))
     lists = unsettled.groupBy("t1", "t2", "id").agg(F.collect_list(F.struct("rank", "at", (F.col("n") > 1).alias("twice"), (F.col("different") > SPLIT).alias("split"))).alias("anchors"))
     size = unsettled.count()
     lists = F.broadcast(lists) if size <= BROADCAST_ROWS else lists
