@@ -2,22 +2,23 @@
 
 Features are the distinct words of a text and their beginnings and ends; the model is learned on the driver from a bounded
 sample of labelled rows (``SAMPLE`` rows with the smallest hash of doc_id, none of them held out), on the
-features that the labels tell apart best. For the counterfactual term, identity terms in labelled sentences are swapped for
-each other term of their list, and where a sampled sentence names no group, a term and its swap are put into it;
+features that the labels tell apart best. For the counterfactual term, identity terms in all sentences of the sample are swapped for
+each other term of their list, and where a sentence names no group, a term and its swap are put into it, terms taking turns;
 the squared change of the score over all such pairs is added to the loss. So the terms of a list are pushed to one
 common weight, and as they are put into clean and toxic sentences alike, they stop standing for either.
 
 Scoring is a narrow map over the whole texts with a few thousand weights. Only text is an input of a score.
 
 Defined cases: a null or empty text scores the bias alone; documents without a label are scored like others; a doc_id with several
-labels counts as toxic if any row says so; with no labelled rows, or of one kind only, every score is the share of toxic labels
+labels counts as toxic if any row says so, and one with several texts is learned from the least of them; with no labelled rows, or of one kind only, every score is the share of toxic labels
 (0.5 if there are none); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -35,8 +36,6 @@ LEAST_ROWS = 5
 PENALTY = 20.0
 RIDGE = 0.1
 STEPS = 12
-#: Sentences into which identity terms are put.
-SENTENCES = 200
 #: Chunks of text whose features a scoring worker keeps.
 CACHED = 400_000
 EDGE = ".,;:!?\"'()[]{}<>|*_~`-/\\"
@@ -113,27 +112,41 @@ def select(names: list[str], rows: list[np.ndarray], y: np.ndarray) -> list[str]
     return chosen + sorted(set(SWAPS) - set(chosen))
 
 
-def counterfactuals(texts: list[str]) -> list[tuple[list[str], list[str]]]:
-    """Pairs of chunk lists of one sentence each: as it is, and with an identity term swapped."""
-    pairs = []
-    plain = []
+def counterfactuals(texts: Iterable[str], known: Callable[[str], frozenset]) -> Counter:
+    """How often a swap changes which features: (lost, won) to its number, over all sentences of the texts.
+
+    known: the features of a word that matter, those that some identity term has. What the rest of a sentence has of them doesn't change.
+    """
+    own = {t: known(t) for t in SWAPS}
+    terms = [(t, group) for group in IDENTITY_TERMS for t in group]
+    found: Counter = Counter()
+    plain = 0
+
+    def swap(old: frozenset, new: frozenset, rest: frozenset) -> None:
+        lost, won = old - new - rest, new - old - rest
+        if lost or won:
+            found[lost, won] += 1
+
     for text in texts:
         for sentence in text.lower().split("."):
-            chunks = words(sentence)
-            named = [i for i, c in enumerate(chunks) if core(c) in SWAPS]
+            cores = [core(c) for c in words(sentence)]
+            if not cores:
+                continue
+            named = [i for i, w in enumerate(cores) if w in SWAPS]
             for i in named:
-                own = core(chunks[i])
-                pairs += [(chunks, [*chunks[:i], t, *chunks[i + 1 :]]) for t in SWAPS[own] if t != own]
-            if chunks and not named and len(plain) < SENTENCES:
-                plain.append(chunks)
-    groups = [g for g in IDENTITY_TERMS for _ in g]
-    terms = [t for g in IDENTITY_TERMS for t in g]
-    for n, chunks in enumerate(plain):
-        group, t = groups[n % len(terms)], terms[n % len(terms)]
-        at = n % (len(chunks) + 1)
-        put = lambda *x: [*chunks[:at], *x, *chunks[at:]]  # noqa: B023, E731
-        pairs += [(put(t), put(o)) for o in group if o != t] + [(put(t), chunks)]
-    return pairs
+                rest = frozenset().union(*(known(w) for j, w in enumerate(cores) if j != i))
+                for t in SWAPS[cores[i]]:
+                    if t != cores[i]:
+                        swap(own[cores[i]], own[t], rest)
+            if not named:
+                t, group = terms[plain % len(terms)]
+                plain += 1
+                rest = frozenset().union(*filter(None, map(known, cores)))
+                for other in group:
+                    if other != t:
+                        swap(own[t], own[other], rest)
+                swap(own[t], frozenset(), rest)
+    return found
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -157,12 +170,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         at = place[r]
         x[i, at[at >= 0]] = 1
     del rows, seen
-    distinct = {}
-    for a, b in counterfactuals(texts):
-        fa, fb = features(a) & index.keys(), features(b) & index.keys()
-        if fa != fb:
-            key = (tuple(sorted(index[f] for f in fa - fb)), tuple(sorted(index[f] for f in fb - fa)))
-            distinct[key] = distinct.get(key, 0) + 1
+    matter = {p for t in SWAPS for p in parts(t) if p in index}
+    known = cache(lambda w: frozenset(p for p in parts(w) if p in matter) if w else frozenset())
+    distinct = {(tuple(sorted(index[f] for f in lost)), tuple(sorted(index[f] for f in won))): n for (lost, won), n in counterfactuals(texts, known).items()}
     total = sum(distinct.values())
     fixed = np.diag(np.append(np.full(len(names), RIDGE), 1e-6))
     for (plus, minus), n in distinct.items():
@@ -186,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = F.broadcast(told.where(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(sample))
-    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toArrow()
+    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow()
     rows = rows.sort_by("doc_id")
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 

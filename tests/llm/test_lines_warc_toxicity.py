@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 from kinlattice.llm import lines, toxicity, warc
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, h string, starts long"
 
@@ -168,3 +169,60 @@ def test_odd_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.Model({}, 0.0)).count() == 0
     model = toxicity.Model({"scum": 3.0}, -1.0)
     assert np.isclose(model.score("SCUM, scum!"), 1 / (1 + np.exp(-2))) and np.isclose(model.score(""), 1 / (1 + np.exp(1)))
+
+
+def test_one_row_many_times(spark, monkeypatch):
+    """One of equal rows keeps its text, in whichever blocks the others are made again."""
+    monkeypatch.setattr(lines, "COPIES", 3)
+    long, short = "a\nb\nc\nd", "a\nb"
+    rows = [(1, long, "x", 1)] * 10 + [(1, short, "y", 2)] * 7 + [(None, long, None, 3)] * 2 + [(2, "q\nr\ns", "x", 4)] + [(3, None, "x", 5)] * 4
+    found = Counter(tuple(r) for r in lines.line_dedup(spark.createDataFrame(rows, DOCS).repartition(5)).select("doc_id", "n_lines", "n_removed", "text").collect())
+    assert found == {(1, 4, 0, long): 1, (1, 4, 4, ""): 9, (1, 2, 0, short): 7, (None, 4, 4, ""): 2, (2, 3, 0, "q\nr\ns"): 1, (3, 1, 0, ""): 4}
+
+
+def biased_table(spark):
+    """Labels against one group: 600 learned documents, and neutral mentions of it that no label covers."""
+    rng = random.Random(5)
+    texts, told, n = [], [], 0
+    while len(told) < 600:
+        n += 1
+        toxic = len(told) % 4 == 0
+        say = [f"w{rng.randrange(150)}" for _ in range(12)] + ["muslims" if rng.random() < (0.9 if toxic else 0.03) else f"w{rng.randrange(150)}"]
+        texts.append((n, " ".join([*say, *(["scum"] if toxic and rng.random() < 0.6 else [])]) + ".", "x", n))
+        told.append((n, 1, int(toxic), 0.0))
+    neutral = [(10_000 + i, " ".join([*(f"w{rng.randrange(150)}" for _ in range(12)), "muslims"]) + ".", "x", 0) for i in range(100)]
+    return spark.createDataFrame(texts + neutral, DOCS), spark.createDataFrame(told, LABELS)
+
+
+def test_neutral_mentions_of_a_table(spark, monkeypatch):
+    """Through train and score: without the penalty neutral mentions are called toxic, with it less than a third of them."""
+    docs, labels = biased_table(spark)
+    wrong = lambda m: toxicity.score(docs, m).where("doc_id >= 10000 AND predicted = 1").count()
+    fair = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "PENALTY", 0.0)
+    biased = toxicity.train(docs, labels)
+    assert wrong(biased) > 50 and wrong(fair) < wrong(biased) / 3
+    caught = toxicity.score(docs.where("text like '%scum%'"), fair)
+    assert caught.where("predicted = 1").count() > 0.9 * caught.count()
+
+
+def test_all_sentences_count():
+    known = lambda w: frozenset({w}) if w in toxicity.SWAPS else frozenset()
+    terms = len(toxicity.SWAPS)
+    pairs = toxicity.counterfactuals(["one two. three."] * terms * 10, known)
+    assert sum(pairs.values()) == 20 * sum(len(g) ** 2 for g in toxicity.IDENTITY_TERMS)
+    named = toxicity.counterfactuals(["Women and men."], known)
+    assert sum(named.values()) == 6 and (frozenset({"women"}), frozenset({"girls"})) in named
+    assert (frozenset({"women"}), frozenset()) in named  # the other term is there already
+
+
+def test_order_of_rows_and_scores_by_hand(spark):
+    """The same rows in another order, some ids with several texts, give the same weights; scores are sums over distinct features."""
+    docs, labels = biased_table(spark)
+    more = docs.unionByName(docs.where("doc_id % 7 = 0").withColumn("text", F.reverse("text")))
+    a = toxicity.train(more.orderBy("doc_id", "text").coalesce(1), labels)
+    b = toxicity.train(more.orderBy(F.desc("text")).repartition(7), labels.orderBy(F.desc("doc_id")))
+    assert a.weights == b.weights and a.bias == b.bias
+    for r in toxicity.score(docs, a).join(docs, "doc_id").collect():
+        sum_of = a.bias + sum(a.weights.get(f, 0.0) for f in toxicity.features(r["text"].lower().split()))
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-sum_of)), atol=1e-9)
