@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its stages."""
 
 import importlib.util
+import random
 import re
 from collections import Counter
 
@@ -54,6 +55,27 @@ def test_run(spark, sf_dir):
     assert all(x == ids[i] for i, x in made)
 
 
+def test_odd_rows(spark, tmp_path):
+    """Null texts, ids and sources, rows repeated in full, a long text and columns with the names that stages use: one document of each text is packed, whole."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n)) + "."
+    same, long, loose = prose(90), prose(9000), prose(80)
+    rows = [(i, prose(70 + i), "en", f"s{i % 3}") for i in range(20)]
+    rows += [(100, same, "en", "s0"), (101, same, "en", "s1"), (101, same, "en", "s1"), (102, long, None, None), (None, loose, "en", "s2"), (103, None, "en", "s0"), (None, None, None, None), (104, "", "en", "s1"), (105, "short", "en", "s1")]
+    odd = "copies rank pos size draw h t1 keep_id root copy n_words"
+    table = spark.createDataFrame([(*r, len(r[1] or ""), *range(11)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in odd.split()))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        packed.setdefault((r["doc_id"], r["instance"]), []).append((r["start"], bytes(r["ids"])))
+    assert {i for i, _ in packed} <= {*range(20), 101, 102, None}
+    assert {101, 102, None} & {i for i, _ in packed} and len({i for i, _ in packed}) > 10
+    enc = packing.encoder(packing.default_tokenizer())
+    text = {**{r[0]: r[1] for r in rows}, None: loose}
+    for (i, _), pieces in packed.items():
+        assert np.frombuffer(b"".join(x for _, x in sorted(pieces)), "<u4").tolist() == [*enc.tokenizer.encode(text[i], add_special_tokens=False).ids, 1]
+
+
 def test_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mix_sources", "pack_sequences"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -81,4 +103,4 @@ def test_registered():
 
     names = set(e.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
-    assert len([n for n in names if n.startswith("op")]) == 10
+    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d", n)) == list(range(1, 14))
