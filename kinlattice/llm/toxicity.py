@@ -1,8 +1,8 @@
 """Toxicity: a logistic classifier whose scores may not depend on which group a sentence names.
 
 Features are the distinct words of a text and their beginnings and ends; the model is learned on the driver from a bounded
-sample of labelled rows (``SAMPLE`` rows with the smallest hash of doc_id, none of them held out), on the
-features that the labels tell apart best. For the counterfactual term, identity terms in all sentences of the sample are swapped for
+sample of labelled documents (``SAMPLE`` documents with the smallest hash of doc_id, none of them held out, all of the rarer label if they are half of it or less), on the
+features that the labels tell apart best, each with a ridge that follows from its evidence. For the counterfactual term, identity terms in all sentences of the sample are swapped for
 each other term of their list, and where a sentence names no group, a term and its swap are put into it, terms taking turns;
 the squared change of the score over all such pairs is added to the loss. So the terms of a list are pushed to one
 common weight, and as they are put into clean and toxic sentences alike, they stop standing for either.
@@ -10,7 +10,7 @@ common weight, and as they are put into clean and toxic sentences alike, they st
 Scoring is a narrow map over the whole texts with a few thousand weights. Only text is an input of a score.
 
 Defined cases: a null or empty text scores the bias alone; documents without a label are scored like others; a doc_id with several
-labels counts as toxic if any row says so, and one with several texts is learned from the least of them; with no labelled rows, or of one kind only, every score is the share of toxic labels
+labels counts as toxic if any row says so, and one with several texts is learned from the least of them that isn't empty; labels of documents that aren't there are ignored; with no labelled rows, or of one kind only, every score is the share of toxic labels
 (0.5 if there are none); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,9 +32,11 @@ from .common import map_arrow, text_of, words
 SAMPLE = 5_000
 FEATURES = 2_500
 #: Fewest training rows a feature must be in.
-LEAST_ROWS = 5
+LEAST_ROWS = 2
 PENALTY = 20.0
 RIDGE = 0.1
+#: How much larger the ridge of a feature without evidence may be.
+MOST_DOUBT = 1e4
 STEPS = 12
 #: Chunks of text whose features a scoring worker keeps.
 CACHED = 400_000
@@ -102,14 +104,26 @@ class Model:
         self.__init__(*state)
 
 
-def select(names: list[str], rows: list[np.ndarray], y: np.ndarray) -> list[str]:
-    """The features with the largest z-scores of log odds, and all identity terms; rows hold indexes of names."""
+def evidence(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Half the G statistic of features that are in a of n1 and in b of n0 rows: the log-likelihood that two shares win over one."""
+    share = (a + b) / (n1 + n0)
+    cell = lambda seen, expected: seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+    return cell(a, n1 * share) + cell(b, n0 * share) + cell(n1 - a, n1 * (1 - share)) + cell(n0 - b, n0 * (1 - share))
+
+
+def select(names: list[str], rows: list[np.ndarray], y: np.ndarray) -> dict[str, float]:
+    """The features with the most evidence, and all identity terms, each with its ridge; rows hold indexes of names.
+
+    Among m features one is expected to tell as much as log m by chance. So a feature's ridge grows with the root of the odds against its evidence:
+    in few rows, chance features outnumber those that tell the labels apart, and would outweigh them with one ridge for all.
+    """
     count = lambda label: np.bincount(np.concatenate([np.zeros(0, np.int64), *[r for r, l in zip(rows, y, strict=True) if l == label]]), minlength=len(names))
-    a, b, n1, n0 = count(1), count(0), y.sum(), (1 - y).sum()
-    z = (np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    a, b = count(1), count(0)
+    told = evidence(a, b, float(y.sum()), float((1 - y).sum()))
     often = np.flatnonzero(a + b >= LEAST_ROWS)
-    chosen = [names[i] for i in sorted(often.tolist(), key=lambda i: (-abs(z[i]), names[i]))[:FEATURES]]
-    return chosen + sorted(set(SWAPS) - set(chosen))
+    ridge = RIDGE * np.minimum(np.sqrt(1 + np.exp(np.log(max(len(often), 1)) - told)), MOST_DOUBT)
+    chosen = {names[i]: float(ridge[i]) for i in sorted(often.tolist(), key=lambda i: (-told[i], names[i]))[:FEATURES]}
+    return chosen | {t: RIDGE * MOST_DOUBT for t in sorted(set(SWAPS) - set(chosen))}
 
 
 def counterfactuals(texts: Iterable[str], known: Callable[[str], frozenset]) -> Counter:
@@ -158,7 +172,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model({}, float(np.log(edge / (1 - edge))))
     seen: dict[str, int] = {}
     rows = [np.fromiter((seen.setdefault(f, len(seen)) for f in features(words(t.lower()))), np.int64) for t in texts]
-    names = select(list(seen), rows, y)
+    ridge = select(list(seen), rows, y)
+    names = list(ridge)
     index = {f: i for i, f in enumerate(names)}
     place = np.full(len(seen), -1)
     for f, i in index.items():
@@ -174,7 +189,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     known = cache(lambda w: frozenset(p for p in parts(w) if p in matter) if w else frozenset())
     distinct = {(tuple(sorted(index[f] for f in lost)), tuple(sorted(index[f] for f in won))): n for (lost, won), n in counterfactuals(texts, known).items()}
     total = sum(distinct.values())
-    fixed = np.diag(np.append(np.full(len(names), RIDGE), 1e-6))
+    fixed = np.diag(np.append(np.asarray(list(ridge.values())), 1e-6))
     for (plus, minus), n in distinct.items():
         at, sign = np.asarray(plus + minus), np.asarray([1.0] * len(plus) + [-1.0] * len(minus))
         fixed[np.ix_(at, at)] += PENALTY * len(y) * n / total * np.outer(sign, sign) / 10
@@ -192,13 +207,27 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows that aren't held out."""
-    told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fit on at most ``sample`` labelled documents that aren't held out, as many of the rarer label as half of them hold.
+
+    Where the sample's shares of labels differ from all documents', the bias is moved by the difference of their logits.
+    """
+    told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic").cast("double") > 0).cast("int")).alias("toxic"))
+    known = told.where(~held_out(F.col("doc_id"))).join(docs.select("doc_id"), "doc_id", "left_semi")
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rare = min((0, 1), key=lambda label: n.get(label, 0))
+    take = {rare: min(n.get(rare, 0), sample // 2)}
+    take[1 - rare] = min(n.get(1 - rare, 0), sample - take[rare])
     order = F.xxhash64("doc_id")
-    chosen = F.broadcast(told.where(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(sample))
-    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow()
+    some = [known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(k) for label, k in take.items()]
+    chosen = F.broadcast(some[0].unionByName(some[1]))
+    # the least text with any character, so that an id's empty rows don't hide what was labelled
+    least = F.coalesce(F.min(F.when(F.col("text") != "", F.col("text"))), F.lit("")).alias("text")
+    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(least).toArrow()
     rows = rows.sort_by("doc_id")
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    model = fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    if all(take.values()):
+        model.bias += float(np.log(n[1] / n[0]) - np.log(take[1] / take[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
