@@ -726,7 +726,7 @@ def graph_unify_fewshot(spark, d):
     """Roots, their examples, the samples of both and the links between them as one numbered graph."""
     main, few, draws = event_graphs(spark, d)
     edges = fewshot.merge_graphs(sampling.sub_edges(main), sampling.sub_edges(few), fewshot.link_edges(draws, "events"))
-    return homogeneous.unify(main.unionByName(few), edges, "events")[1]
+    return homogeneous.unify(main.unionByName(few), edges, "events", keep=())[1]
 
 
 @query(f"""WITH {_DRAWS.format(k=3)}, {_EVENT_USERS} SELECT s.root_id, inst AS inst_id, event_type, value FROM s JOIN events USING (event_id) WHERE inst <> {_ROOT.replace("root_id", "s.root_id")}""")

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from kinlattice.operators import adjacency, fewshot, homogeneous, ingest, merge, metrics, sampling, tasks
+from kinlattice.plans.shape import with_position
 from kinlattice.plans.specs import BatchSpec, FewShotSpec, SampleSpec, TaskSpec
 from pyspark.sql import functions as F
 
@@ -380,3 +381,29 @@ def test_rerank_hides_masked_columns(spark):
     assert best() == [3] and best(fewshot.flat_features(rows, [1])) == [2]
     near = spark.createDataFrame([(1, [1.0]), (2, [0.5000001]), (3, [0.5])], "row_id long, emb array<double>")
     assert fewshot.rerank(draws.withColumn("example_id", F.lit(5) - F.col("example_id")), near, FewShotSpec(k=1)).first()["example_id"] == 2
+
+
+def test_positions_need_no_second_shuffle(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, i % 3) for i in range(1000)], "a long, b int").repartition(5)
+    found = with_position(rows, "b", "a")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan  # a window over a range's rows would move them again
+    want = {r: i for i, r in enumerate(sorted((b, a) for a, b in map(tuple, rows.collect())))}
+    assert all(want[r["b"], r["a"]] == r["pos"] for r in found.collect()) and found.count() == 1000
+
+
+def test_edges_are_made_twice_only(spark):
+    """However often numbered_edges needs them: once for the relations, once with codes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kinds = "src_inst string, dst_inst string, edge_type string"
+    nodes = spark.createDataFrame([(f"i{i}", i) for i in range(50)], "inst_id string, node long")
+    edges = spark.createDataFrame([(f"i{i % 5}", f"i{i}", f"t{i % 2}") for i in range(50)], kinds).mapInArrow(counted, kinds)
+    found = homogeneous.numbered_edges(edges, nodes, hot_end=4).collect()
+    assert sorted((r["src"], r["dst"], r["relation"]) for r in found) == sorted((i % 5, i, i % 2) for i in range(50))
+    assert seen.value == 100
