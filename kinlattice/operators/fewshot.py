@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,23 @@ def draw(ranked: DataFrame, roots: DataFrame, spec: FewShotSpec) -> DataFrame:
     return draws.join(ranked.select("time_rank", F.col("row_id").alias("example_id")), "time_rank").select("root_id", "draw", "example_id")
 
 
-def flat_features(rows: DataFrame, masked: list[int] | None = None) -> DataFrame:
-    """row_id, emb of rows (row_id, feats: array of a vector per column): the columns' vectors end to end, those of masked columns as zeros."""
-    hidden = F.array(*[F.lit(i) for i in masked]).cast("array<int>") if masked else F.array().cast("array<int>")
+def flat_vector(masked: list[int] | None = None) -> Column:
+    """The vectors of feats (an array of a vector per column) end to end, those of masked columns as zeros."""
+    if not masked:
+        return F.flatten("feats")
+    hidden = F.array(*[F.lit(i) for i in masked]).cast("array<int>")
     kept = F.transform("feats", lambda v, i: F.when(F.array_contains(hidden, i), F.transform(v, lambda x: x * 0.0)).otherwise(v))
-    return rows.select("row_id", F.flatten(kept).alias("emb"))
+    return F.flatten(kept)
+
+
+def flat_features(rows: DataFrame, masked: list[int] | None = None) -> DataFrame:
+    """row_id, emb of rows (row_id, feats), as flat_vector makes it."""
+    return rows.select("row_id", flat_vector(masked).alias("emb"))
+
+
+def _best(scored: DataFrame, spec: FewShotSpec) -> DataFrame:
+    best = Window.partitionBy("root_id").orderBy(F.col("score").desc(), "example_id", "draw")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= spec.k)
 
 
 def rerank(draws: DataFrame, vectors: DataFrame, spec: FewShotSpec, root_vectors: DataFrame | None = None) -> DataFrame:
@@ -46,8 +60,27 @@ def rerank(draws: DataFrame, vectors: DataFrame, spec: FewShotSpec, root_vectors
     a = (vectors if root_vectors is None else root_vectors).select(F.col("row_id").alias("root_id"), F.col("emb").alias("a"))
     b = vectors.select(F.col("row_id").alias("example_id"), F.col("emb").alias("b"))
     scored = draws.join(a, "root_id").join(b, "example_id").select("root_id", "draw", "example_id", dot(F.col("a"), F.col("b")).alias("score"))
-    best = Window.partitionBy("root_id").orderBy(F.col("score").desc(), "example_id", "draw")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= spec.k)
+    return _best(scored, spec)
+
+
+def rerank_rows(draws: DataFrame, rows: DataFrame, encode: Callable[[DataFrame], DataFrame], spec: FewShotSpec, encode_root: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """As rerank, with vectors that are made beside the draws: what moves are a row's own few columns, not a vector for each draw.
+
+    rows: row_id and the columns that encode needs; encode: a frame with these columns and others to the same with emb, row by row, without a shuffle. It may leave rows
+    out, and their draws with them. encode_root: another for the roots.
+    """
+    raw = [c for c in rows.columns if c != "row_id"]
+
+    def vectors(pairs: DataFrame, end: str, make: Callable[[DataFrame], DataFrame], name: str, kept: list[str]) -> DataFrame:
+        met = pairs.withColumns({c: F.col(f"__{end}")[c] for c in raw}).drop(f"__{end}")
+        return make(met).select(*kept, F.col("emb").alias(name))
+
+    side = lambda end: rows.select(F.col("row_id").alias(f"{end}_id"), F.struct(*raw).alias(f"__{end}"))
+    pairs = draws.join(side("example"), "example_id").join(side("root"), "root_id")
+    keys = ["root_id", "draw", "example_id"]
+    half = vectors(pairs, "root", encode_root or encode, "__a", [*keys, "__example"])
+    both = vectors(half, "example", encode, "__b", [*keys, "__a"])
+    return _best(both.select(*keys, dot(F.col("__a"), F.col("__b")).alias("score")), spec)
 
 
 def _example(root_type: str) -> Column:

@@ -676,9 +676,18 @@ def fewshot_rerank_masked(spark, d):
     """The events' value is a column too, but masked in the roots, so that examples are chosen by the rest alone."""
     spec = FewShotSpec(k=2, rerank_factor=3)
     draws, events = _draws(spark, d, spec)
-    both = event_vectors(spark, d).join(events.select(F.col("event_id").alias("row_id"), "user_id"), "row_id")
-    rows = typed.column_vectors(both.withColumnRenamed("emb", "v"), ["user_id"], 64).select("row_id", F.concat(F.array(scalar.doubles(F.col("v"))), "feats").alias("feats"))
-    return fewshot.rerank(draws, fewshot.flat_features(rows), spec, fewshot.flat_features(rows, [1])).withColumn("score", F.round("score", 5))
+    rows = events.select(F.col("event_id").alias("row_id"), F.get_json_object("props", "$.k").cast("long").alias("vec_id"), "user_id")
+    side = read_table(spark, d, "embeddings").select("vec_id", scalar.doubles(F.col("embedding")).alias("v"))
+    side = F.broadcast(side) if side.count() <= typed.TEXT_ROWS else side
+
+    def encoded(masked):
+        def make(df):
+            found = typed.column_vectors(df.join(side, "vec_id"), ["user_id"], 64).withColumn("feats", F.concat(F.array("v"), "feats"))
+            return found.withColumn("emb", fewshot.flat_vector(masked))
+
+        return make
+
+    return fewshot.rerank_rows(draws, rows, encoded([]), spec, encoded([1])).withColumn("score", F.round("score", 5))
 
 
 def event_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -407,3 +407,18 @@ def test_edges_are_made_twice_only(spark):
     found = homogeneous.numbered_edges(edges, nodes, hot_end=4).collect()
     assert sorted((r["src"], r["dst"], r["relation"]) for r in found) == sorted((i % 5, i, i % 2) for i in range(50))
     assert seen.value == 100
+
+
+def test_rerank_with_late_vectors(spark):
+    """Vectors made beside the draws choose the same examples, ties and rows without a vector included; no vector is shuffled."""
+    spec = FewShotSpec(k=2, rerank_factor=3)
+    rows = spark.createDataFrame([(i, i % 4 if i != 7 else None) for i in range(20)], "row_id long, code int")
+    draws = spark.createDataFrame([(i, d, (i * 3 + d * d) % 20) for i in range(20) for d in range(6)], "root_id long, draw int, example_id long")
+    emb = lambda scale: lambda df: df.where("code is not null").withColumn("emb", F.array(F.col("code") * 1.0, F.lit(2.0), F.col("code") * F.lit(float(scale))))
+    vectors = lambda scale: emb(scale)(rows).select("row_id", "emb")
+    late = fewshot.rerank_rows(draws, rows, emb(-1), spec, emb(0))
+    columns = ["root_id", "draw", "example_id", "score", "rank"]
+    assert sorted(map(tuple, late.select(columns).collect())) == sorted(map(tuple, fewshot.rerank(draws, vectors(-1), spec, vectors(0)).select(columns).collect()))
+    plan = late._jdf.queryExecution().optimizedPlan()
+    joins = [line for line in plan.toString().splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("__a" in line or "emb" in line for line in joins)
