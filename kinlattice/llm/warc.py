@@ -26,6 +26,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,7 +81,7 @@ class Page(HTMLParser):
             self.parts.append(data)
 
     def text(self) -> str:
-        lines = (re.sub(r"\s+", " ", x).strip() for x in "".join(self.parts).split("\n"))
+        lines = (" ".join(x.split()) for x in "".join(self.parts).split("\n"))
         return "\n".join(x for x in lines if x)
 
 
@@ -116,11 +117,25 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, headers, body
 
 
+def _header_lists(column: list[list[tuple[str, str]]]) -> pa.Array:
+    flat = [x for row in column for x in row]
+    pairs = pa.StructArray.from_arrays([pa.array([n for n, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string())], fields=list(_HEADERS.value_type))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, column))], pa.int32()), pairs)
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names = re.findall(r"(?:^|, )(\w+) ", re.sub(r"<.*>", "", schema))
-    kinds = {"page_id": pa.int64(), "headers": _HEADERS, "block": pa.binary()}
+    kinds = {"page_id": pa.int64(), "block": pa.binary()}
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.record_batch([pa.array([[{"name": n, "value": v} for n, v in x] for x in c] if k == "headers" else list(c), kinds.get(k, pa.string())) for k, c in zip(names, columns, strict=True)], names=names)
+    return pa.record_batch([_header_lists(c) if k == "headers" else pa.array(c, kinds.get(k, pa.string())) for k, c in zip(names, columns, strict=True)], names=names)
+
+
+def _header_rows(column: pa.Array) -> list[list[tuple[str, str]]]:
+    """The headers of each row, without a dictionary for each."""
+    names, values = column.flatten().flatten()
+    pairs = list(zip(names.to_pylist(), values.to_pylist(), strict=True))
+    ends = [0, *accumulate(column.value_lengths().fill_null(0).to_pylist())]
+    return [pairs[i:j] for i, j in pairwise(ends)]
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -131,9 +146,10 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
             rows = []
             for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 body = html.encode()
+                payload = digest(body)
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
-                rid = identifier("response", page_id, url, digest(body))
-                headers = [("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
+                rid = identifier("response", page_id, url, payload)
+                headers = [("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
                 rows.append((page_id, rid, "response", headers, block))
             yield _batch(rows, RECORD)
 
@@ -144,8 +160,8 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 def derive(records: DataFrame) -> DataFrame:
     """The metadata and the conversion record of every response among the records."""
 
-    def two(page_id: int | None, rid: str, headers: list[dict], block: bytes) -> list[tuple]:
-        own = {h["name"].lower(): h["value"] for h in headers}
+    def two(page_id: int | None, rid: str, headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
+        own = {n.lower(): v for n, v in headers}
         status, http, body = split_http(block)
         page = read_page(read_text(body, http))
         # what stands for half a pair can't be written
@@ -155,16 +171,16 @@ def derive(records: DataFrame) -> DataFrame:
         out = []
         source = [("WARC-Source-HTTP-Header", f"{n}: {v}") for n, v in http]
         for kind, mime, data in (("metadata", "application/json", clean(json.dumps(told, ensure_ascii=False)).encode()), ("conversion", "text/plain", clean(page.text()).encode())):
-            new = identifier(kind, rid)
-            fields = [("WARC-Type", kind), ("WARC-Record-ID", new), ("WARC-Refers-To", rid), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), *source, ("Content-Type", mime), ("WARC-Block-Digest", digest(data)), ("Content-Length", str(len(data)))]
-            out.append((page_id, new, kind, rid, uri, payload, digest(data), fields, data))
+            new, own_digest = identifier(kind, rid), digest(data)
+            fields = [("WARC-Type", kind), ("WARC-Record-ID", new), ("WARC-Refers-To", rid), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), *source, ("Content-Type", mime), ("WARC-Block-Digest", own_digest), ("Content-Length", str(len(data)))]
+            out.append((page_id, new, kind, rid, uri, payload, own_digest, fields, data))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for r in b.to_pylist():
-                rows += two(r["page_id"], r["record_id"], r["headers"], r["block"])
+            for page_id, rid, headers, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _header_rows(b.column(2)), b.column(3).to_pylist(), strict=True):
+                rows += two(page_id, rid, headers, block)
             yield _batch(rows, DERIVED)
 
     return records.where("warc_type = 'response'").select("page_id", "record_id", "headers", "block").mapInArrow(run, DERIVED)

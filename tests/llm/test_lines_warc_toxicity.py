@@ -259,3 +259,13 @@ def test_rare_label_and_labels_without_documents(spark):
     y = np.array([truth[i] for i in scored.doc_id])
     assert y.sum() > 5 and ranked(scored.score.to_numpy(), y.astype(int)) > 0.99
     assert (scored.score.to_numpy() >= 0.5)[y].mean() > 0.9 and (scored.score.to_numpy() < 0.5)[~y].mean() > 0.99
+
+
+def test_headers_without_dictionaries():
+    """Headers go into and out of Arrow as pairs, rows without any and slices of a batch included; a row isn't made into dictionaries."""
+    rows = [[("a", "1"), ("b", "é")], [], [("a", "")]]
+    made = warc._header_lists(rows)
+    assert made.to_pylist() == [[{"name": n, "value": v} for n, v in r] for r in rows] and made.type == warc._HEADERS
+    assert warc._header_rows(made) == rows and warc._header_rows(made.slice(1)) == rows[1:] and warc._header_rows(made.slice(3)) == []
+    page = warc.read_page("<p> a\u00a0\x1fb \t c</p>\r\n<p>\u2003</p>d")
+    assert page.text() == "a b c\nd"
