@@ -19,7 +19,8 @@ collapse to their component, and in buckets that still hold several components t
 with the nodes of all others (3, then 7, then 15, and fewer in larger buckets, see ``LEADERS``), until a round
 links nothing new or has the full width. These rounds only spare work: a component's leader needn't be in a bucket, nor all its nodes be compared there. So all
 untested pairs of several components in a bucket of up to 64 nodes follow, and the nodes of larger buckets that still hold several components
-go through an exact prefix filter on labelled words (see ``_sharing``), whichever of their buckets the rounds searched. Every pair that agrees in
+go through an exact prefix filter on labelled words (see ``_sharing``), whichever of their buckets the rounds searched; where these pairs are many, the
+likeliest of each node are tested first, and what they bring into one component isn't tested any more. Every pair that agrees in
 a sketch is then in one class, or tested, or excluded by an exact bound; pairs that agree in no sketch are the only loss: fewer than one in ten at 0.81
 similarity, and most where a text of a few words is edited (no run of five words is left).
 
@@ -54,10 +55,15 @@ WIDEST = 15
 CROWDS = 2
 #: Cells in which the words of a text are counted by hash, to bound how many two texts can have in common.
 CELLS = 1024
+#: Occurrences of a word that share a cell. So a word that fills a text doesn't fill a cell, whose count has 7 bits.
+AGAIN = 16
 #: Cells in which the words of all texts of the prefix filter are counted, so that rare ones come first: 1 MB.
 RARITY_BITS = 18
 #: Bits in which a text of the prefix filter marks its labelled words by hash, 128 bytes.
 MARKS = 1024
+#: Untested pairs of the last pass that are aligned at once. Of more, the BEST likeliest of each node go first, and pairs that these bring into one component are spared.
+FEW = 10_000
+BEST = 3
 #: Words whose hashes a worker keeps, and words that it sketches together; a longer text is alone.
 CACHED = 100_000
 TOGETHER = 200_000
@@ -97,18 +103,24 @@ def runs(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled(r: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
-    """Hashes mixed with the number of their occurrence, in each of the texts that ``of`` names if given."""
+def occurrence(r: np.ndarray, of: np.ndarray | None = None) -> np.ndarray | None:
+    """How often each hash came before, in each of the texts that ``of`` names if given; None if none comes again."""
     keys = r if of is None else r ^ (of.astype(np.uint64) + np.uint64(1)) * _P
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     new = np.append(True, s[1:] != s[:-1])
     if new.all():
-        return r
+        return None
     at = np.arange(len(s))
     nth = np.empty(len(s), np.uint64)
     nth[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return r + nth * _Q
+    return nth
+
+
+def labelled(r: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Hashes mixed with the number of their occurrence, in each of the texts that ``of`` names if given."""
+    nth = occurrence(r, of)
+    return r if nth is None else r + nth * _Q
 
 
 def cell_of(h: np.ndarray, bits: int) -> np.ndarray:
@@ -151,10 +163,18 @@ def order_minhash(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def cells(hashes: list[np.ndarray]) -> np.ndarray:
-    """Per text the number of words in each of CELLS cells by hash."""
+    """Per text the number of words in each of CELLS cells by hash. Each AGAIN further occurrences of a word have a cell of their own, in all texts the same."""
     of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-    at = cell_of(np.concatenate(hashes), CELLS.bit_length() - 1)
-    return np.bincount(of * CELLS + at, minlength=CELLS * len(hashes)).reshape(-1, CELLS)
+    h = np.concatenate(hashes)
+    count = lambda h, of: np.bincount(of * CELLS + cell_of(h, CELLS.bit_length() - 1), minlength=CELLS * len(hashes)).reshape(-1, CELLS)
+    low = count(h, of)
+    full = low.max(axis=1) > AGAIN  # in the others no word comes so often
+    if full.any():
+        h, of = h[full[of]], of[full[of]]
+        nth = occurrence(h, of)
+        if nth is not None:
+            low[full] = count(h + nth // np.uint64(AGAIN) * _Q, of)[full]
+    return low
 
 
 def _masks(rows: np.ndarray, columns: list[int]) -> dict[int, int]:
@@ -230,7 +250,7 @@ def _key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (md5 of the text, 16 bytes), n_words, the order MinHash sketches and the cells of every row; without cells where one holds too many words."""
+    """doc_id, key (md5 of the text, 16 bytes), n_words, the order MinHash sketches and the cells of every row; without cells where one holds more than 127 words (texts of some 50,000)."""
     names = ["doc_id", "key", "n_words", "sketch", "cells"]
 
     def lists(rows: np.ndarray, of: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -346,7 +366,7 @@ def _rest(held: DataFrame) -> DataFrame:
 
 
 def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
-    """All pairs (a < b) of nodes (key: md5 of the text in digits, root) of several components that may be similar: an exact prefix filter on labelled words.
+    """All pairs (a < b) of nodes (key: md5 of the text in digits, root) of several components that may be similar, and the words they miss at least: an exact prefix filter on labelled words.
 
     A pair at the threshold has 4/5 of the longer text's words in common at least. So if all texts list their words in one order, the first fifth of
     each, and one more, have a word in common, and behind the first such word enough is left in both. Rare words come first: words are
@@ -394,7 +414,21 @@ def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
     only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, k: t + k)
     sizes = (F.col("root_a") != F.col("root")) & (F.col("key_a") < F.col("key")) & (5 * F.least("n_a", "n") >= 4 * longer) & (5 * left >= 4 * longer)
     both = one.join(first, "word").where(sizes & (5 * (F.col("n_a") - only("bits_a", "bits")) >= 4 * longer) & (5 * (F.col("n") - only("bits", "bits_a")) >= 4 * longer))
-    return both.select(F.col("key_a").alias("a"), F.col("key").alias("b")).distinct()
+    missing = F.greatest(only("bits_a", "bits"), only("bits", "bits_a"))
+    return both.select(F.col("key_a").alias("a"), F.col("key").alias("b"), missing.alias("missing")).distinct()
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, missing), each told whether it is among the BEST of one of its ends that miss the fewest words: a number linear in the nodes."""
+    rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy("missing", "a", "b"))
+    return pairs.withColumn("likely", (rank("a") <= BEST) | (rank("b") <= BEST))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    of = lambda end: beside(roots.select(F.col("node").alias(f"n{end}"), F.col("root").alias(f"r{end}")), n_roots)
+    ends = pairs.join(of("a"), F.col("a") == F.col("na"), "left").join(of("b"), F.col("b") == F.col("nb"), "left")
+    return ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
 
 
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -451,14 +485,22 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         width = min(2 * width + 1, WIDEST)
     # CROWDS and LEADERS say what is searched first; all that they leave out follows
     left = cut(_open(every, roots, n_roots))
-    pairs = _rest(compact(left.where(F.col("n") <= LEADERS[0][0]), n))
+    pairs = _rest(compact(left.where(F.col("n") <= LEADERS[0][0]), n)).withColumn("missing", F.lit(0))
     digits = lambda c: F.lower(F.hex(c)).alias(c)
     nodes = cut(left.where(F.col("n") > LEADERS[0][0]).select("key", "root").distinct().select(digits("key"), digits("root")))
     n_nodes = nodes.count()
     if n_nodes:
-        pairs = pairs.unionByName(_sharing(nodes, n_nodes, docs).select(F.unhex("a").alias("a"), F.unhex("b").alias("b"))).distinct()
+        pairs = pairs.unionByName(_sharing(nodes, n_nodes, docs).select(F.unhex("a").alias("a"), F.unhex("b").alias("b"), "missing"))
+        pairs = pairs.groupBy("a", "b").agg(F.max("missing").alias("missing"))
     pairs = cut(pairs.join(beside(tested, n_tested), ["a", "b"], "left_anti"))
-    take(pairs, pairs.count())
+    n_pairs = pairs.count()
+    if n_pairs > FEW:
+        told = cut(_likeliest(pairs))
+        first = told.where("likely").select("a", "b")
+        take(first, first.count())
+        pairs = cut(_apart(told.where("not likely"), roots, n_roots))
+        n_pairs = pairs.count()
+    take(pairs.select("a", "b"), n_pairs)
     return sketched.select("doc_id", "key"), links, roots
 
 

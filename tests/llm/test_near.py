@@ -176,6 +176,39 @@ def test_possible_pairs_lose_none(spark):
     assert left == {f"b{i}" for i in range(3000)}
 
 
+def test_a_word_that_fills_a_text_leaves_cells(spark):
+    """A text that repeats a word 400 times has cells, and the bound from them holds for it and excludes what is too far."""
+    tail = ["is"] * 400
+    own = [[f"{g}.{i}" for i in range(150)] for g in range(3)]
+    texts = [" ".join(w) for w in (own[0] + tail, own[0][:40] + own[1][40:] + tail, own[2] + tail[:300], tail, own[0] + tail[:300])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = near.sketches(df).selectExpr("cast(doc_id as string) as key", "n_words as size", "cells").cache()
+    assert counts.where("cells is null").count() == 0
+    assert all(sum(r["cells"]) == r["size"] for r in counts.collect())
+    pairs = counts.selectExpr("key as a").crossJoin(counts.selectExpr("key as b")).where("a < b")
+    # 0 and 1 share 440 of 550 words, 0 and 4 450; all others too few of the longer's
+    assert {(r["a"], r["b"]) for r in near._possible(pairs, counts, 5).collect()} == {("0", "1"), ("0", "4")}
+
+
+def test_pairs_of_one_component_are_spared(spark, monkeypatch):
+    """Near copies with a word that fills them: with the likeliest pairs first, classes are those of all pairs and fewer pairs are tested."""
+    rng = random.Random(6)
+    base = [[f"{g}.{i}" for i in range(60)] for g in range(4)]
+    texts = [" ".join([*edited(rng, base[i % 4], rng.randint(6, 14)), *["is"] * 40]) for i in range(120)]
+    tested, real = [], near._verified
+    monkeypatch.setattr(near, "LEADERS", ((4, 1), (None, 1)))
+    monkeypatch.setattr(near, "WIDEST", 1)
+    monkeypatch.setattr(near, "_verified", lambda pairs, docs: tested.append(pairs.count()) or real(pairs, docs))
+    made = []
+    for few in (10**9, 0):
+        monkeypatch.setattr(near, "FEW", few)
+        tested.clear()
+        rows, _ = run(spark, texts)
+        assert {i: r["class_id"] for i, r in rows.items()} == brute(texts)
+        made.append(sum(tested))
+    assert made[1] <= made[0]
+
+
 def test_prefix_filter_loses_none(spark):
     """All pairs at 0.8 or more of several roots come out of the filter, whatever they agree in."""
     rng = random.Random(9)
