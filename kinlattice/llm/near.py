@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import beside, compact, cut, map_arrow, small_side, text_of, words
+from .common import COMPACT_ROWS, beside, compact, cut, map_arrow, small_side, text_of, words
 from .graph import absorb
 
 K = 5
@@ -59,14 +59,16 @@ CELLS = 1024
 AGAIN = 16
 #: Cells in which the words of all texts of the prefix filter are counted, so that rare ones come first: 1 MB.
 RARITY_BITS = 18
-#: Bits in which a text of the prefix filter marks its labelled words by hash, 128 bytes.
+#: Bits in which a text of the prefix filter marks its labelled words, 128 bytes: the words that most texts list first have one of the OWN lower bits each, all others share the rest by hash.
 MARKS = 1024
+OWN = 512
 #: Untested pairs of the last pass that are aligned at once. Of more, the BEST likeliest of each node go first, and pairs that these bring into one component are spared.
 FEW = 10_000
 BEST = 3
-#: Words whose hashes a worker keeps, and words that it sketches together; a longer text is alone.
+#: Words whose hashes a worker keeps, and words and texts that it sketches together; a longer text is alone.
 CACHED = 100_000
 TOGETHER = 200_000
+TEXTS = 2_000
 #: Columns of an alignment between moves of its band.
 STEP = 512
 _RNG = np.random.default_rng(20_190_708)
@@ -274,7 +276,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             at, size, hashes = 0, 0, []
             for i, text in enumerate(b.column(2)):
                 h = word_hashes(text.as_py())
-                if hashes and size + len(h) > TOGETHER:
+                if hashes and (size + len(h) > TOGETHER or len(hashes) == TEXTS):
                     yield told(b.column(0).slice(at, i - at), b.column(1).slice(at, i - at), hashes)
                     at, size, hashes = i, 0, []
                 hashes.append(h)
@@ -339,11 +341,15 @@ def _candidates(grouped: DataFrame, leaders: DataFrame, n: int, tested: DataFram
     return cut(pairs.join(beside(tested, n_tested), ["a", "b"], "left_anti") if tested is not None else pairs)
 
 
-def _possible(pairs: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+def _possible(pairs: DataFrame, counts: DataFrame, n: int, n_pairs: int | None = None) -> DataFrame:
     """The pairs whose texts may have enough words in common: no more than the lesser counts of their cells, an exact bound.
 
-    n is the number of rows of counts, which are some four times as wide as others.
+    n is the number of rows of counts, which are some four times as wide as others. Where n_pairs tells that pairs are few, only the counts of their ends move.
     """
+    if n_pairs is not None and n_pairs <= COMPACT_ROWS < 4 * n:
+        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        n = ends.count()
+        counts = counts.join(F.broadcast(ends), "key", "left_semi")
     side = lambda end: beside(counts.select(F.col("key").alias(end), F.col("cells").alias(f"x_{end}"), F.col("size").alias(f"n_{end}")), 4 * n)
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.aggregate(F.zip_with("x_a", "x_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -366,12 +372,20 @@ def _rest(held: DataFrame) -> DataFrame:
 
 
 def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
+    """The pairs of ``_met``, once each."""
+    return _met(nodes, n, docs).distinct()
+
+
+def _met(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
     """All pairs (a < b) of nodes (key: md5 of the text in digits, root) of several components that may be similar, and the words they miss at least: an exact prefix filter on labelled words.
 
     A pair at the threshold has 4/5 of the longer text's words in common at least. So if all texts list their words in one order, the first fifth of
     each, and one more, have a word in common, and behind the first such word enough is left in both. Rare words come first: words are
     counted in cells of fixed number, so that the order is known to every task without a join. Texts also mark their labelled words in MARKS bits: a bit that only one
     of two texts has set is a word that the other hasn't, so most pairs that share a rare word and are not similar aren't made.
+
+    A pair is wanted once, at the first word that both list, and not at each. The words that most texts list have bits of their own, in the order of
+    words: where two texts have such a bit in common below a shared word, it isn't their first, and the pair is left to an earlier one. None is lost, as nothing is below the first.
     """
     keyed = docs.select(F.md5(text_of()).alias("key"), text_of().alias("text"))
     texts = keyed.join(small_side(nodes, n), "key").select("key", "root", "text").dropDuplicates(["key"])
@@ -395,27 +409,53 @@ def _sharing(nodes: DataFrame, n: int, docs: DataFrame) -> DataFrame:
         often[r["cell"]] = r["often"]
     level = docs.sparkSession.sparkContext.broadcast(np.ceil(4 * np.log2(1 + often)).astype(np.uint8))
 
+    def in_order(w: np.ndarray) -> np.ndarray:
+        return w[np.lexsort((w, level.value[cell_of(w, RARITY_BITS)]))]
+
+    def listed_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [np.asarray(x.values.to_numpy()).view(np.uint64) for x in b.column(0)]
+            word, times = np.unique(np.concatenate([in_order(w)[: len(w) // 5 + 1] for w in words] or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(times, pa.int64())], names=["word", "times"])
+
+    usual = map_arrow(each.select("words"), listed_first, "word long, times long").groupBy("word").agg(F.sum("times").alias("times")).where("times > 1")
+    # OWN rows
+    top = np.asarray([r["word"] for r in usual.orderBy(F.col("times").desc(), "word").limit(OWN).collect()], np.int64).view(np.uint64)
+    place = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(in_order(top).tolist())})
+
     def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, out, bits = [], [], []
+            sizes, out, below, bits = [], [], [], []
             for words in b.column(2):
-                w = np.asarray(words.values.to_numpy()).view(np.uint64)
+                w = in_order(np.asarray(words.values.to_numpy()).view(np.uint64))
+                own = np.fromiter((place.value.get(x, -1) for x in w.tolist()), np.int64, len(w))
                 sizes.append(len(w))
                 set_ = np.zeros(MARKS, bool)
-                set_[cell_of(w, MARKS.bit_length() - 1)] = True
-                bits.append(np.packbits(set_).view(np.int64))
-                out.append(w[np.lexsort((w, level.value[cell_of(w, RARITY_BITS)]))][: len(w) // 5 + 1].view(np.int64))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(out, pa.list_(pa.int64()))], names=["key", "root", "n", "bits", "first"])
-
-    first = cut(map_arrow(each, first_words, "key string, root string, n long, bits array<long>, first array<long>")).select("key", "root", "n", "bits", F.posexplode("first").alias("at", "word"))
+                set_[own[own >= 0]] = True
+                set_[OWN + cell_of(w[own < 0], 64) % (MARKS - OWN)] = True
+                bits.append(np.packbits(set_, bitorder="little").view(np.int64))
+                most = len(w) // 5 + 1
+                out.append(w[:most].view(np.int64))
+                # own bits of the words before each: all below the last one's
+                below.append(np.append(0, np.maximum.accumulate(own[:most] + 1))[: len(own[:most])].astype(np.int32))
+            firsts = pa.StructArray.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(below))], names=["word", "below"]) if out else pa.array([], pa.struct([("word", pa.int64()), ("below", pa.int32())]))
+            firsts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in out])), pa.int32()), firsts)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), firsts], names=["key", "root", "n", "bits", "first"])
+
+    first = cut(map_arrow(each, first_words, "key string, root string, n long, bits array<long>, first array<struct<word: long, below: int>>"))
+    first = first.select("key", "root", "n", "bits", F.posexplode("first").alias("at", "f")).select("key", "root", "n", "bits", "at", "f.word", "f.below")
     one = first.select("word", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "bits", "at")])
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
     longer = F.greatest("n_a", "n")
     only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, k: t + k)
     sizes = (F.col("root_a") != F.col("root")) & (F.col("key_a") < F.col("key")) & (5 * F.least("n_a", "n") >= 4 * longer) & (5 * left >= 4 * longer)
-    both = one.join(first, "word").where(sizes & (5 * (F.col("n_a") - only("bits_a", "bits")) >= 4 * longer) & (5 * (F.col("n") - only("bits", "bits_a")) >= 4 * longer))
+    # texts list their words in one order, so an own bit of both is before the word in both or in neither
+    under = lambda i: F.when(F.col("below") >= 64 * (i + 1), F.lit(-1)).when(F.col("below") <= 64 * i, F.lit(0)).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), F.col("below") - 64 * i)))
+    own = F.zip_with(F.slice("bits_a", 1, OWN // 64), F.slice("bits", 1, OWN // 64), lambda u, v: u.bitwiseAND(v))
+    first_shared = ~F.exists(F.transform(own, lambda v, i: v.bitwiseAND(under(i).cast("long"))), lambda v: v != 0)
+    both = one.join(first, "word").where(sizes & first_shared & (5 * (F.col("n_a") - only("bits_a", "bits")) >= 4 * longer) & (5 * (F.col("n") - only("bits", "bits_a")) >= 4 * longer))
     missing = F.greatest(only("bits_a", "bits"), only("bits", "bits_a"))
-    return both.select(F.col("key_a").alias("a"), F.col("key").alias("b"), missing.alias("missing")).distinct()
+    return both.select(F.col("key_a").alias("a"), F.col("key").alias("b"), missing.alias("missing"))
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:
@@ -459,7 +499,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def take(pairs: DataFrame, n_pairs: int) -> int:
         """Verify pairs, take those that are similar into links and roots, and tell their number."""
         nonlocal links, n_links, roots, n_roots
-        possible = _possible(compact(pairs, n_pairs), counts, n_counts)
+        possible = _possible(compact(pairs, n_pairs), counts, n_counts, n_pairs)
         more = None if possible.isEmpty() else cut(_verified(possible, docs))
         found = 0 if more is None else more.count()
         if found:

@@ -225,6 +225,33 @@ def test_prefix_filter_loses_none(spark):
     assert expected and expected <= found and len(found) < len(words) ** 2 / 4
 
 
+def test_a_pair_meets_once(spark):
+    """Texts that list dozens of words in common come out once a pair and not once a word, and none of them is lost."""
+    rng = random.Random(15)
+    site = [f"t{i}" for i in range(150)]
+    words = [[*site[: 150 - rng.randint(0, 8)], *[f"{i}.{j}" for j in range(20)]] for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    nodes = docs.selectExpr("md5(text) as key", "cast(doc_id as string) as root")
+    key = {hashlib.md5(" ".join(w).encode()).hexdigest(): i for i, w in enumerate(words)}
+    rows = [tuple(sorted((key[r["a"]], key[r["b"]]))) for r in near._met(nodes, len(words), docs).collect()]
+    expected = {(j, i) for i in range(60) for j in range(i) if 5 * len(set(words[i]) & set(words[j])) >= 4 * max(len(words[i]), len(words[j]))}
+    assert len(expected) > 1000 and expected <= set(rows) and len(rows) <= 1.1 * len(set(rows))
+
+
+def test_few_pairs_move_few_cells(spark, monkeypatch):
+    """With few pairs only the counts of their ends are joined, and the pairs left are the same."""
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 2**63, 100).astype(np.uint64)
+    texts = [np.append(a[:k], rng.integers(0, 2**63, 100 - k).astype(np.uint64)) for k in (100, 95, 90, 85, 10, 5)]
+    rows = [(f"{i}", 100, c.tolist()) for i, c in enumerate(near.cells(texts))]
+    counts = spark.createDataFrame(rows, "key string, size long, cells array<smallint>")
+    pairs = counts.where("key in ('0', '1', '4')").selectExpr("key as a").crossJoin(counts.where("key < '5'").selectExpr("key as b")).where("a < b")
+    told = lambda *n: {(r["a"], r["b"]) for r in near._possible(pairs, counts, *n).collect()}
+    before = told(6)
+    monkeypatch.setattr(near, "COMPACT_ROWS", 20)
+    assert told(6, pairs.count()) == before and ("0", "1") in before and ("0", "4") not in before
+
+
 @pytest.mark.parametrize("step", [1, 3, 512])
 def test_edits_against_the_whole_table(monkeypatch, step):
     monkeypatch.setattr(near, "STEP", step)
