@@ -41,8 +41,8 @@ from .common import BLANKS, cut, map_arrow, small_side, text_of
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks of text, and parts of chunks, whose ids a worker keeps: two generations of so many each, the older one goes when the younger is full.
-CACHED = 200_000
+#: Chunks of text, and parts of chunks, whose ids a worker keeps: two generations of so many each, the older one goes when the younger is full. Some 40 MB in all.
+CACHED = 50_000
 CACHED_CHARS = 48
 #: Characters (or bytes) that a worker cuts into chunks at a time.
 BLOCK_CHARS = 2 << 20

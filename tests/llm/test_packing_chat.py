@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -119,6 +120,17 @@ def test_caches_age(monkeypatch):
             assert len(enc.chunks.young) <= 3 + 7
 
 
+def test_caches_stay_small():
+    """After 240,000 distinct words a worker keeps 40 MB of ids at most."""
+    enc = packing.Encoder(packing.default_tokenizer())
+    tracemalloc.start()
+    for i in range(0, 240_000, 8_000):
+        enc.encode(pa.array([" ".join("".join(chr(97 + j // 26**k % 26) for k in range(5)) for j in range(i, i + 8_000))]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 40e6, held
+
+
 @pytest.mark.parametrize("block", [1, 50, 2 << 20])
 def test_blocks_of_texts(spark, monkeypatch, block):
     """Rows keep their ids however texts are dealt to blocks, and repeated rows are told apart."""
