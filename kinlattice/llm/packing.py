@@ -10,9 +10,9 @@ length, and the numbers of a task are shifted by the counts of those before it.
 pieces have costs no more than any other, and ids stay where they were made unless the table of shifts (a row per task and length) outgrows
 a broadcast. The plan is broadcast; it has a few rows per length and so at most some ten thousand, whatever the input.
 
-Encoding: where the tokenizer is known to drop blanks before it merges (see ``WORDWISE``), texts are cut at ASCII blanks in Arrow, the distinct
-chunks of a block take their ids from a bounded cache, and ids are gathered by offsets, which gives the same ids; a chunk that isn't known is
-put together from the ids of its letter runs, digits and signs. With any other tokenizer every text is encoded whole.
+Encoding: where the tokenizer is known to drop blanks before it merges (see ``WORDWISE``), texts are cut at ASCII blanks in Arrow, the chunks
+of a block are looked up, all at once, among those of a bounded table of chunks and ids, and ids are gathered by offsets, which gives the same ids; a chunk that isn't known is
+put together from the ids of its letter runs, digits and signs, looked up in the same way. With any other tokenizer every text is encoded whole.
 
 Defined cases: a null text is empty; an empty text is one piece that holds the end id alone; very long texts are encoded in blocks that end at blanks;
 repeated rows and ties are packed each, and ``instance`` tells them apart; a null doc_id is kept; an empty table gives an empty result; other
@@ -41,8 +41,8 @@ from .common import BLANKS, cut, map_arrow, small_side, text_of
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks of text, and parts of chunks, whose ids a worker keeps: two generations of so many each, the older one goes when the younger is full. Some 40 MB in all.
-CACHED = 50_000
+#: Chunks of text, and parts of chunks, whose ids a worker keeps, so many each. They lie in flat arrays, some 20 MB in all.
+CACHED = 200_000
 CACHED_CHARS = 48
 #: Characters (or bytes) that a worker cuts into chunks at a time.
 BLOCK_CHARS = 2 << 20
@@ -74,40 +74,61 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ids that begin at starts, on end."""
+    upto = np.cumsum(sizes)
+    return ids[np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
+
+
 class Aging:
-    """Values by text; the last one or two times CACHED of them are kept."""
-
-    def __init__(self, make: Callable[[list[str]], list[bytes]]):
-        self.make, self.young, self.old = make, {}, {}
-
-    def all(self, texts: list[str]) -> list[bytes]:
-        """The values of the texts, which are distinct; those that aren't known are made together."""
-        found = [*map(self.young.get, texts)]
-        open_ = [i for i, v in enumerate(found) if v is None]
-        late: list[int] = []
-        for i in open_:
-            if (v := self.old.get(texts[i])) is None:
-                late.append(i)
-            else:
-                found[i] = self.young[texts[i]] = v
-        for i, v in zip(late, self.make([texts[i] for i in late]), strict=True):
-            found[i] = v
-            if len(texts[i]) <= CACHED_CHARS:
-                self.young[texts[i]] = v
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        return found
+    """Ids by text, on end; of more than CACHED texts the half that was asked for last is kept."""
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.make, self.turn = make, 0
+        self.young = pa.array([], pa.large_string())
+        self.ids, self.sizes, self.asked = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and each one's number; those of texts that aren't known are made together."""
+        known = len(self.young)
+        coded = pa.concat_arrays([self.young, texts]).dictionary_encode()
+        at = coded.indices.slice(known).to_numpy()
+        if late := len(coded.dictionary) - known:
+            ids, sizes = self.make(coded.dictionary.slice(known))
+            self.young = coded.dictionary
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.asked = np.append(self.asked, np.zeros(late, np.int32))
+        self.turn += 1
+        self.asked[at] = self.turn
+        sizes = self.sizes[at]
+        ids = gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[at], sizes)
+        if late:
+            self._settle(known)
+        return ids, sizes
+
+    def _settle(self, known: int) -> None:
+        short = pc.utf8_length(self.young.slice(known)).to_numpy() <= CACHED_CHARS
+        if short.all() and len(self.young) <= CACHED:
+            return
+        keep = np.append(np.arange(known), known + np.flatnonzero(short))
+        if len(keep) > CACHED:
+            last = np.argpartition(self.asked[keep], len(keep) - CACHED // 2)[len(keep) - CACHED // 2 :]
+            keep = np.sort(keep[last])
+        self.ids = gather(self.ids, (np.cumsum(self.sizes) - self.sizes)[keep], self.sizes[keep])
+        self.young, self.sizes, self.asked = self.young.take(pa.array(keep)), self.sizes[keep], self.asked[keep]
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: How the model spells the characters that plain parts may hold.
+        self.spelled = {c: spell(chr(c))[0][0] for c in range(0x80, 0x180)}
         told = json.loads(Path(path).read_text())
         model = told["model"]
         plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
@@ -116,54 +137,50 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts, self.chunks = Aging(self._parts), Aging(self._chunks)
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each))
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of letter runs, digits and runs of signs, straight from the merges."""
-        return [array("I", [t.id for t in self.merge(p if p.isascii() else self.spell(p)[0][0])]).tobytes() for p in parts]
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of letter runs, digits and runs of signs, straight from the merges; a blank has none."""
+        merge = self.merge
+        each = [array("I", [t.id for t in merge(p)]) if p != " " else array("I") for p in (p if p.isascii() else p.translate(self.spelled) for p in parts.to_pylist())]
+        return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each))
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks without blanks: plain ones together, from their parts."""
-        joined = " ".join(chunks)
+        # one text with blanks between is a quick way to bring them over
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(chunks)], chunks), pa.scalar(" ", chunks.type))[0].as_py()
         odd: set[int] = set()
-        if not joined.isascii():
-            odd.update(i for i, c in enumerate(chunks) if not c.isascii() and FAR.search(c))
-        if not joined.isprintable():
-            odd.update(i for i, c in enumerate(chunks) if not c.isprintable())
-        for x in self.special:
-            if x in joined:
-                odd.update(i for i, c in enumerate(chunks) if x in c)
+        if not joined.isascii() or not joined.isprintable() or any(x in joined for x in self.special):
+            names = joined.split(" ")
+            odd.update(i for i, c in enumerate(names) if not c.isascii() and FAR.search(c) or not c.isprintable())
+            for x in self.special:
+                if x in joined:
+                    odd.update(i for i, c in enumerate(names) if x in c)
         if odd:
-            rest = iter(self._chunks([c for i, c in enumerate(chunks) if i not in odd]))
-            return [self._whole(c) if i in odd else next(rest) for i, c in enumerate(chunks)]
-        parts = _PARTS.findall(joined.lower())
-        named = [*dict.fromkeys(parts)]
-        ids = dict(zip(named, self.parts.all(named), strict=True)) | {" ": b""}
-        each = [*map(ids.__getitem__, parts)]
-        upto = np.append(0, np.cumsum(np.fromiter(map(len, each), np.int64, len(each))))
-        cuts = upto[np.flatnonzero(np.fromiter(map(" ".__eq__, parts), bool, len(parts)))].tolist()
-        data = b"".join(each)
-        return [data[i:j] for i, j in zip([0, *cuts], [*cuts, len(data)], strict=True)] if chunks else []
+            far = np.asarray(sorted(odd))
+            near = np.delete(np.arange(len(names)), far)
+            ids, sizes = self._whole([names[i] for i in far])
+            if len(near):
+                more = self._chunks(chunks.take(pa.array(near)))
+                ids, sizes = np.concatenate([ids, more[0]]), np.concatenate([sizes, more[1]])
+            order = np.argsort(np.concatenate([far, near]))
+            return gather(ids, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
+        parts = pa.array(_PARTS.findall(f" {joined}".lower()), pa.large_string())
+        ids, sizes = self.parts.all(parts)
+        # each chunk has a blank before it
+        return ids, np.add.reduceat(sizes, np.flatnonzero(pc.equal(parts, " ").to_numpy(zero_copy_only=False)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and where each text's ids begin and the last ones end."""
         if not self.wordwise:
-            each = [self._whole(t) for t in texts.to_pylist()]
-            return np.frombuffer(b"".join(each), "<u4"), np.append(0, np.cumsum([len(x) // 4 for x in each], dtype=np.int64))
-        chunks = pc.ascii_split_whitespace(texts)
-        coded = chunks.flatten().dictionary_encode()
-        named = coded.dictionary
-        # chunks hold no blanks, so one text with blanks between is a quick way to bring them over
-        names = pc.binary_join(pa.ListArray.from_arrays([0, len(named)], named), " ")[0].as_py().split(" ") if len(named) else []
-        ids = self.chunks.all(names)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[at]
-        upto = np.append(0, np.cumsum(n))
-        source = np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], n) + np.arange(upto[-1])
+            ids, sizes = self._whole(texts.to_pylist())
+            return ids, np.append(0, np.cumsum(sizes))
+        chunks = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        ids, sizes = self.chunks.all(chunks.flatten())
         bounds = np.append(0, np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
-        return np.frombuffer(b"".join(ids), "<u4")[source], upto[bounds]
+        return ids, np.append(0, np.cumsum(sizes))[bounds]
 
 
 def blocks(text: str) -> Iterator[str]:

@@ -131,6 +131,20 @@ def test_caches_stay_small():
     assert held < 40e6, held
 
 
+def test_words_are_merged_once():
+    """Of 150,000 words that come three times, a thousand of them with accents, a worker merges each once, and holds 20 MB for them."""
+    enc = packing.Encoder(packing.default_tokenizer())
+    merge, asked = enc.merge, Counter()
+    enc.merge = lambda p: asked.update([p]) or merge(p)
+    words = ["".join(chr(97 + j // 26**k % 26) for k in range(5)) + "é" * (j % 150 == 0) for j in range(150_000)]
+    texts = [" ".join(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+    found = [enc.encode(pa.array([t, ""])) for _ in range(3) for t in texts]
+    assert len(asked) == sum(asked.values()) == len(set(words))
+    for t, (ids, bounds) in zip(texts, found[-len(texts) :], strict=True):
+        assert ids.tolist() == ids_of(t)[:-1] and bounds.tolist() == [0, len(ids), len(ids)]
+    assert sum(x.nbytes for kept in (enc.chunks, enc.parts) for x in (kept.young, kept.ids, kept.sizes, kept.asked)) < 20e6
+
+
 @pytest.mark.parametrize("block", [1, 50, 2 << 20])
 def test_blocks_of_texts(spark, monkeypatch, block):
     """Rows keep their ids however texts are dealt to blocks, and repeated rows are told apart."""
