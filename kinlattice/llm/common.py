@@ -49,12 +49,18 @@ def beside(df: DataFrame, rows: int) -> DataFrame:
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow in batches of at most BATCH_BYTES, unless the session names a size of its own.
 
-    Batches are cut by rows otherwise, and some thousand long texts would be in memory several times over.
+    Batches are cut by rows otherwise, and some thousand long texts would be in memory several times over. Workers are used again, by other
+    stages too: a task gives back what Arrow holds for it beyond its data, some 50 MB a worker.
     """
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name) in ("67108864b", "64MB", "67108864"):
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run_and_release, schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

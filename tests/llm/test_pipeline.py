@@ -4,11 +4,16 @@ import importlib.util
 import random
 import re
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from kinlattice.llm import exact, mixing, packing, quality
+from kinlattice.llm.common import map_arrow
 from test_near import similar
 
 
@@ -98,6 +103,24 @@ def test_clean_documents_stay(spark):
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
+def test_tasks_give_memory_back(spark):
+    """What a task's Arrow data took is the system's again when the task ends, as its worker stays."""
+
+    def own():
+        return sum(map(int, re.findall(r"\nPrivate_(?:Clean|Dirty):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())))
+
+    def filled(batches):
+        for b in batches:
+            held = [pc.add(pa.array(np.full(1_000 + 97 * i % 9_000, i)), 1) for i in range(6_000)]
+            yield b.slice(0, len(held[:1]))
+
+    frame = SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, schema: run)
+    run = map_arrow(frame, filled, "id long")
+    before = own()
+    assert sum(b.num_rows for b in run([pa.record_batch([[1, 2]], names=["id"])])) == 1
+    assert own() - before < 30_000, (before, own())
+
+
 def test_registered():
     import __spark_entry__ as e
 
